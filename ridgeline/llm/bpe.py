@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import map_rows
 
 #: The characters that the pattern's \s matches (fixed values of Unicode's White_Space).
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: Entries of a memo; at the limit it starts afresh, which costs time but changes no result.
 MEMO = 300_000
