@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe
+from ridgeline.llm import bpe, html, packing, pii, quality, rules, toxicity
 from ridgeline.llm.common import table
 
 
@@ -15,5 +15,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", held)
+    scored = quality.score(docs, "doc_id", "text", model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", definition, end_id=1, capacity=2048)
+
+
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    ratio = rules.ratios(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), "text")
+    return rules.judge(docs, "doc_id", "text", ratio)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages"), "page_id", "html", keep=("url",))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", held)
+    scored = toxicity.score(docs, "doc_id", "text", model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op5_rules": op5_rules, "op8_pii": op8_pii, "op9_html": op9_html, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
