@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, html, packing, pii, quality, rules, toxicity
+from ridgeline.llm import bpe, html, jaccard, packing, pii, quality, rules, topk, toxicity
 from ridgeline.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, "doc_id", "text", ratio)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, k=10)
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text", words=5, percent=75)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -52,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op5_rules": op5_rules, "op8_pii": op8_pii, "op9_html": op9_html, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op5_rules": op5_rules, "op6_topk": op6_topk, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_html": op9_html, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
