@@ -53,7 +53,20 @@ def test_tokens_equal_library():
     rnd = random.Random(4)
     texts = ["".join(rnd.choice(" \t\n\x85\xa0　\x1cabcé'st!12🎉") for _ in range(rnd.randint(0, 40))) for _ in range(500)]
     texts += ["a <|endoftext|> b  <|endoftext|>", "", "x" * 5000]
-    assert packing.Tokens(DEFINITION).encode(texts) == [packed(ids_of(t)[:-1]) for t in texts]
+    tokens = packing.Tokens(DEFINITION)
+    assert tokens.fast is not None
+    want = [packed(ids_of(t)[:-1]) for t in texts]
+    assert [tokens.encode(t) for t in texts] == want
+    tokens.fast = None
+    tokens.memo.clear()
+    assert [tokens.encode(t) for t in texts] == want
+
+
+def test_other_definitions_go_through_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = packing.Tokens(open(path, encoding="utf-8").read())
+    assert tokens.fast is None
+    assert tokens.encode("Hello") == packed(Tokenizer.from_file(path).encode("Hello", add_special_tokens=False).ids)
 
 
 def test_pack(spark):
