@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, html, jaccard, packing, pii, quality, rules, topk, toxicity
+from ridgeline.llm import bpe, html, jaccard, lines, packing, pii, quality, rules, topk, toxicity
 from ridgeline.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", definition, end_id=1, capacity=2048)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_chunks", "n_removed", "text")
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -60,5 +64,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op5_rules": op5_rules, "op6_topk": op6_topk, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_html": op9_html, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_lines": op4_lines, "op5_rules": op5_rules, "op6_topk": op6_topk, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_html": op9_html, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
