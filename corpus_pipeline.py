@@ -1,12 +1,64 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Toxic documents go; repeated passages go, with documents that consist of nothing else; of each group of near copies the
+document of the smallest id stays; personal data is replaced by its kind; what is left is packed into sequences.
+Every stage but the last returns the columns of documents, with n_chars set to the length of the text it leaves.
+
+Null or empty texts pass all filters (their toxicity is that of no words) and are packed as an end id alone. Rows
+without an id are kept by every filter that their text doesn't fail. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.llm import jaccard, lines, packing, pii, toxicity
+from ridgeline.llm.common import table, written
 
-STAGES: list = []
+TOXIC_FROM = 0.7
 ORACLE_SQL = None
 
 
+def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars in step with the text."""
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(like.columns) if "n_chars" in like.columns else df.select(like.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model is trained on labels of the original documents that aren't held out."""
+    held = toxicity.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", held)
+    return toxicity.keep(docs, "text", model, TOXIC_FROM)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = lines.dedup(docs, "doc_id", "text")
+    return _columns(out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.join(docs, "doc_id", "text", words=5, percent=75)
+    lost = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti").select(docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _columns(pii.redacted(docs, "text"), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return packing.pack(docs, "doc_id", "text", definition, end_id=1, capacity=2048)
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram_jaccard_join", drop_near_copies), ("pii", redact_personal_data), ("packing", pack)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
