@@ -12,7 +12,8 @@ are listed: what is known of one set is carried over to sets related to it.
    pair whose positions leave too little to share. Only pairs across components are compared. Lists of more than CELL
    entries are dealt to pairs of blocks, so that no task holds such a list.
 
-Every comparison counts the whole intersection. 64-bit hashes stand for n-grams.
+A candidate pair is first held against histograms of both sets, whose common part bounds the intersection from above;
+what is left is compared by whole sets. Hashes of 64 bits stand for n-grams, and their top 48 bits in that comparison.
 
 Null or empty text, or text without words: an empty set, linked with nothing. Texts of fewer words than n: their whole
 word sequence is their only element. Very long texts: whole. Rows without an id: their n_shingles, a null component.
@@ -26,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import map_rows, mix64, written
@@ -34,6 +35,8 @@ from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
 BANDS = 8
+#: Size of the bitmap of ids whose sets are asked for: 2 MB.
+BITS = 1 << 24
 #: Entries of an index list beyond which it is dealt to pairs of blocks.
 CELL = 2048
 #: n-grams that at least so many sets of one task's buffer share count as frequent; the order keeps the most frequent
@@ -100,11 +103,28 @@ def bands(x: np.ndarray, count: int = BANDS) -> list[int]:
     return [(least[2 * i] * 3 + least[2 * i + 1] + i) % (1 << 63) for i in range(count)]
 
 
+def histogram(x: np.ndarray) -> bytes:
+    """How many elements fall into each of 2^k classes by their top bits, two on average; empty if a count is above 255."""
+    bits = max(6, (max(1, len(x) // 2) - 1).bit_length())
+    count = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+
+def most_common(a: bytes, b: bytes) -> int:
+    """At least as much as two sets with these histograms share."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if not len(x) or not len(y):
+        return 1 << 62
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.minimum(x.reshape(len(y), -1).sum(axis=1), y).sum())
+
+
 def summaries(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """One row per document (kind 0: id, n, digests x and y, keys) and per frequent n-gram of a buffer (kind 1: id its hash, n its count)."""
+    """One row per document (kind 0: id, n, digests x and y, keys, histogram) and per frequent n-gram of a buffer (kind 1: id its hash, n its count)."""
 
     def run(batches):
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("keys", pa.list_(pa.int64())), ("h", pa.binary())])
         kept, size = [], 0
 
         def frequent():
@@ -114,14 +134,14 @@ def summaries(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             m = len(value)
             if m:
                 none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(signed(value)), pa.array(count.astype(np.int64)), none, none, pa.nulls(m, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(signed(value)), pa.array(count.astype(np.int64)), none, none, pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary())], schema=schema)
 
         for batch in batches:
             rows = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(t, words)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
-                rows.append((0, k, len(s), (h & (1 << 63) - 1), h >> 65, bands(s) if len(s) else []))
+                rows.append((0, k, len(s), (h & (1 << 63) - 1), h >> 65, bands(s) if len(s) else [], histogram(s)))
                 kept.append(s)
                 size += len(s)
                 if size >= BUFFER:
@@ -132,7 +152,7 @@ def summaries(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
         if kept:
             yield from frequent()
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "kind int, id long, n long, x long, y long, keys array<long>")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "kind int, id long, n long, x long, y long, keys array<long>, h binary")
 
 
 def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -140,27 +160,67 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def hopeful(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms leave room for enough overlap."""
+    side = sets.groupBy("rep").agg(F.collect_list(F.struct("n", "h")).alias("v"))  # one, or one for each text of an id
+    full = pairs.join(side.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b").join(side.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a")
+
+    def compare():
+        def step(batch, rows) -> None:
+            for a, b, va, vb in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if any(100 * min(x["n"], y["n"], common) >= percent * (x["n"] + y["n"] - min(x["n"], y["n"], common)) for x in va for y in vb for common in (most_common(x["h"], y["h"]),)):
+                    rows.add(a, b, size=16)
+
+        return step
+
+    return map_rows(full.select("a", "b", "va", "vb"), "a long,b long", compare)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """The top 48 bits of sorted hashes."""
+    x = x >> np.uint64(16)
+    return (x >> np.uint64(16)).astype(np.uint32).tobytes() + (x & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(16) | np.frombuffer(raw, np.uint16, n, 4 * n)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) of ids whose sets are linked. Sets travel to the pairs, the many pairs of one id staying apart."""
+    """The distinct pairs (a, b) of ids whose sets are linked.
+
+    A bitmap of fixed size tells which texts may be asked for, so that texts stay where they are and only sets travel;
+    the many pairs of one id stay apart.
+    """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS)).cast("long")
+    marks = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("m")).toPandas()
+    bitmap = np.zeros(BITS // 32, np.int64)
+    bitmap[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))  # BITS / 8 bytes
 
     def make():
+        bits = shared.value
+
         def step(batch, rows) -> None:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(t, words)
-                rows.add(k, s.tobytes(), size=8 * len(s) + 16)
+            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            asked = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1))
+            for i in asked.tolist():
+                s = shingles(batch.column(1)[i].as_py(), words)
+                rows.add(batch.column(0)[i].as_py(), _pack(s), size=6 * len(s) + 16)
 
         return step
 
-    sets = written(map_rows(texts, "id long,s binary", make))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
+    sets = written(map_rows(texts.select("id", "t", place.alias("p")), "id long,s binary", make))
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
 
     def compare():
         def step(batch, rows) -> None:
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = _unpack(x), _unpack(y)
+                common = len(np.intersect1d(x, y))
                 if len(x) and 100 * common >= percent * (len(x) + len(y) - common):
                     rows.add(a, b, size=16)
 
@@ -169,11 +229,36 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     return map_rows(full.select("a", "b", "sa", "sb"), "a long,b long", compare).distinct()
 
 
-def _prefixes(hot: tuple[np.ndarray, np.ndarray], parts: int, words: int, percent: int):
-    """Documents (id, c, text) to rows of (part, packed entries). An entry: token, id, component, size, position, side."""
+def prefixes(docs: DataFrame, key: str, text: str, shared, words: int, percent: int) -> DataFrame:
+    """id, n and the packed prefix of each text's set: its n-grams in the global order, then how frequent each is."""
+
+    def make():
+        tokens, counts = shared.value
+
+        def step(batch, rows) -> None:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = shingles(t, words)
+                n = len(s)
+                if not n:
+                    continue
+                count = np.zeros(n, np.int64)
+                if len(tokens):
+                    place = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                    count = np.where(tokens[place] == s, counts[place], 0)
+                    order = np.argsort(count, kind="stable")
+                    s, count = s[order], count[order]
+                m = n - -(-percent * n // 100) + 1
+                rows.add(k, n, s[:m].tobytes(), count[:m].astype(np.uint32).tobytes() if count[m - 1] else b"", size=12 * m + 16)
+
+        return step
+
+    return map_rows(docs.select(F.col(key).cast("long").alias("id"), text).where("id IS NOT NULL"), "id long,n long,tokens binary,counts binary", make)
+
+
+def _deal(parts: int):
+    """Prefixes with components (id, c, n, tokens, counts) to rows of (part, packed entries). An entry: token, id, component, size, position, side."""
 
     def run(batches):
-        tokens, counts = hot
         kept, size = [], 0
 
         def emit():
@@ -185,24 +270,15 @@ def _prefixes(hot: tuple[np.ndarray, np.ndarray], parts: int, words: int, percen
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
             for at in range(0, len(cuts) - 1, 16):
                 some = [(a, b) for a, b in zip(cuts[at : at + 16], cuts[at + 1 : at + 17])]
-                packed = [b"".join(c[a:b].tobytes() for c in columns) for a, b in some]
+                packed = [b"".join(_bytes(c[a:b]) for c in columns) for a, b in some]
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in some], pa.int64()), pa.array(packed, pa.binary())], names=["part", "entries"])
 
         for batch in batches:
-            for k, c, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                s = shingles(t, words)
-                n = len(s)
-                if not n:
-                    continue
-                count = np.zeros(n, np.int64)
-                if len(tokens):
-                    place = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    count = np.where(tokens[place] == s, counts[place], 0)
-                    order = np.argsort(count, kind="stable")
-                    s, count = s[order], count[order]
-                m = n - -(-percent * n // 100) + 1
-                s, count, position = s[:m], count[:m], np.arange(m, dtype=np.int32)
-                side = np.zeros(m, np.int32)
+            for k, c, n, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                s = np.frombuffer(tokens, np.uint64)
+                m = len(s)
+                position, side = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+                count = np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.zeros(m, np.int64)
                 big = count > CELL
                 if big.any():  # to each pair of blocks that this id's block is one of
                     more = []
@@ -212,10 +288,10 @@ def _prefixes(hot: tuple[np.ndarray, np.ndarray], parts: int, words: int, percen
                         for other in range(blocks):
                             cell = min(mine, other) * blocks + max(mine, other)
                             more.append((token ^ (cell + 1) * 0x9E3779B97F4A7C15 % (1 << 64), pos, 0 if mine == other else 1 if mine < other else 2))
-                    extra = [np.array(x, t) for x, t in zip(zip(*more), (np.uint64, np.int32, np.int32))]
+                    extra = [np.array(x, t) for x, t in zip(zip(*more), (np.uint64, np.int32, np.uint8))]
+                    extra[0] = mix64(extra[0])
                     s, position, side = (np.concatenate([a[~big], b]) for a, b in zip((s, position, side), extra))
-                    s[-len(extra[0]) :] = mix64(s[-len(extra[0]) :])
-                kept.append((s, np.full(len(s), k, np.int64), np.full(len(s), c, np.int64), np.full(len(s), n, np.int32), position, side))
+                kept.append((s, np.full(len(s), k, np.int64), np.full(len(s), c - k, np.int64), np.full(len(s), n, np.int32), position, side))
                 size += len(s)
                 if size >= BUFFER // 2:
                     yield from emit()
@@ -226,17 +302,26 @@ def _prefixes(hot: tuple[np.ndarray, np.ndarray], parts: int, words: int, percen
     return run
 
 
-_ENTRY = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32)
+def _bytes(x: np.ndarray) -> bytes:
+    """Byte planes rather than values, so that high bytes, mostly alike, compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+_ENTRY = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8)
 
 
 def unpack(chunks: list[bytes]) -> list[np.ndarray]:
     columns: list[list[np.ndarray]] = [[] for _ in _ENTRY]
+    width = sum(np.dtype(t).itemsize for t in _ENTRY)
     for raw in chunks:
-        n, at = len(raw) // 36, 0
+        n, at = len(raw) // width, 0
         for column, kind in zip(columns, _ENTRY):
-            column.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) for c in columns]
+            size = np.dtype(kind).itemsize
+            column.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+            at += n * size
+    out = [np.concatenate(c) for c in columns]
+    out[2] = out[2] + out[1]
+    return out
 
 
 def candidates(entries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,29 +382,35 @@ def join(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int
     spark = docs.sparkSession
     docs = docs.select(key, text)
     table = written(summaries(docs, key, text, words))
-    rows = table.where("kind = 0").select("id", "n", "x", "y", "keys")
+    rows = table.where("kind = 0").select("id", "n", "x", "y", "keys", "h")
     # 1. Equal sets.
-    sets = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("x", "y", "n").agg(F.min(F.struct("id", "keys")).alias("m")).select("x", "y", "n", F.col("m.id").alias("rep"), F.col("m.keys").alias("keys")))
-    # 2. Highly similar sets, each against two of its key.
+    sets = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("x", "y", "n").agg(F.min(F.struct("id", "keys", "h")).alias("m")).select("x", "y", "n", F.col("m.id").alias("rep"), F.col("m.keys").alias("keys"), F.col("m.h").alias("h")))
+    # 2. Highly similar sets, each against the ends of its keys; of those the two that share most keys with it.
     keyed = sets.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "value"))
     ends = keyed.groupBy("band", "value").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).where("lo.id < hi.id")
     stars = keyed.join(ends, ["band", "value"]).select("id", "n", F.explode(F.array("lo", "hi")).alias("o"))
     fits = 100 * F.least("n", "o.n") >= percent * F.greatest("n", "o.n")
-    close = stars.where((F.col("id") != F.col("o.id")) & fits).select(F.col("id").alias("a"), F.col("o.id").alias("b")).distinct()
-    near = components(verified(written(close), docs, key, text, words, percent))
+    shares = stars.where((F.col("id") != F.col("o.id")) & fits).groupBy("id", F.col("o.id").alias("other")).agg(F.count("*").alias("k"))
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "other"))
+    close = shares.withColumn("place", best).where("place <= 2").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    near = components(verified(written(hopeful(close, sets, percent)), docs, key, text, words, percent))
     # 3. The rest by prefixes.
     often = table.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(HOT).toPandas()
     hot_tokens = often["id"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hot_tokens)
     shared = spark.sparkContext.broadcast((hot_tokens[by], often["n"].to_numpy(np.int64)[by]))  # at most HOT entries, 2 MB
     nodes = sets.select(F.col("rep").alias("v")).distinct().join(near, "v", "left").select("v", F.coalesce("c", "v").alias("c"))
-    labelled = docs.join(nodes, docs[key].cast("long") == nodes["v"]).select("v", "c", text)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * tasks
-    packed = labelled.mapInArrow(lambda batches: _prefixes(shared.value, parts, words, percent)(batches), "part long, entries binary")
+    labelled = prefixes(docs, key, text, shared, words, percent).join(nodes, F.col("id") == F.col("v")).select("id", "c", "n", "tokens", "counts")
+    packed = labelled.mapInArrow(_deal(4 * tasks), "part long, entries binary")
     across = packed.repartition(tasks, "part").mapInArrow(_lists(percent), "a long, b long").distinct()
-    links = verified(written(across), docs, key, text, words, percent)
-    named = links.join(nodes.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(nodes.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
+    links = verified(written(hopeful(across, sets, percent)), docs, key, text, words, percent)
+    # Texts of one id hang together, whichever representatives they have.
+    full = rows.where("n > 0 AND id IS NOT NULL").select("id", "x", "y", "n")
+    several = full.groupBy("id").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("id")
+    reps = full.join(several, "id", "left_semi").join(sets.select("x", "y", "n", "rep"), ["x", "y", "n"])
+    ties = reps.withColumn("a", F.min("rep").over(Window.partitionBy("id"))).select("a", F.col("rep").alias("b")).where("a < b").distinct()
+    named = links.unionByName(ties).join(nodes.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(nodes.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
     merged = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     final = nodes.join(merged.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left").select(F.col("v").alias("rep"), F.coalesce("d", "c").alias("component"))
     known = sets.select("x", "y", F.col("n").alias("m"), "rep").join(final, "rep").drop("rep")
