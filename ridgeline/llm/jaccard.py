@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct word n-grams. All links of at
 are listed: what is known of one set is carried over to sets related to it.
 
 1. Equal sets: copies share one representative, found by partial minima, and only that goes on.
-2. Highly similar sets: under each of several min-hash keys every set is compared with the smallest and the largest id
-   of its key. A verified link puts both into one component, so whatever either is linked with is settled for both.
+2. Highly similar sets: under each of several min-hash keys two random sets are picked, and every set of the key is
+   compared with those of its picks that share most keys with it. A verified link puts both into one component, so whatever either is linked with is settled for both.
 3. The rest, exactly: sets in a global order (n-grams that are frequent anywhere last, then by hash) are cut to their
    prefix, which any two linked sets must share an n-gram of. Index lists are sorted by component and size: lists of one
    component are skipped as a whole, blocks of a list whose sizes can't reach the threshold are skipped, and so is a
@@ -35,6 +35,8 @@ from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
 BANDS = 8
+#: Sets of the same keys that each set is compared with before the exact part; it settles most links, and loses none.
+NEAR = 4
 #: Size of the bitmap of ids whose sets are asked for: 2 MB.
 BITS = 1 << 24
 #: Entries of an index list beyond which it is dealt to pairs of blocks.
@@ -385,14 +387,15 @@ def join(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int
     rows = table.where("kind = 0").select("id", "n", "x", "y", "keys", "h")
     # 1. Equal sets.
     sets = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("x", "y", "n").agg(F.min(F.struct("id", "keys", "h")).alias("m")).select("x", "y", "n", F.col("m.id").alias("rep"), F.col("m.keys").alias("keys"), F.col("m.h").alias("h")))
-    # 2. Highly similar sets, each against the ends of its keys; of those the two that share most keys with it.
-    keyed = sets.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "value"))
-    ends = keyed.groupBy("band", "value").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).where("lo.id < hi.id")
+    # 2. Highly similar sets, each against two random ones of each of its keys; of those the NEAR that share most keys with it.
+    keyed = sets.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "value")).withColumn("lot", F.xxhash64("id", "band"))
+    one = F.struct("lot", "id", "n")
+    ends = keyed.groupBy("band", "value").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.id != hi.id")
     stars = keyed.join(ends, ["band", "value"]).select("id", "n", F.explode(F.array("lo", "hi")).alias("o"))
     fits = 100 * F.least("n", "o.n") >= percent * F.greatest("n", "o.n")
     shares = stars.where((F.col("id") != F.col("o.id")) & fits).groupBy("id", F.col("o.id").alias("other")).agg(F.count("*").alias("k"))
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "other"))
-    close = shares.withColumn("place", best).where("place <= 2").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), F.xxhash64("other"), "other"))
+    close = shares.withColumn("place", best).where(F.col("place") <= NEAR).select(F.col("id").alias("a"), F.col("other").alias("b"))
     near = components(verified(written(hopeful(close, sets, percent)), docs, key, text, words, percent))
     # 3. The rest by prefixes.
     often = table.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(HOT).toPandas()
