@@ -1,7 +1,9 @@
-"""All queries over the driver's tables, with DuckDB SQL for each."""
+"""All queries over the driver's tables, with DuckDB SQL for each that SQL expresses."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ridgeline.plans import curves, ratings, search, store
+
+QUERIES = search.QUERIES | ratings.QUERIES | curves.QUERIES | store.QUERIES
+ORACLE_SQL = search.ORACLE_SQL | ratings.ORACLE_SQL | curves.ORACLE_SQL | store.ORACLE_SQL
 FLAGSHIP = "vector_topk_state_filtered"
