@@ -16,43 +16,55 @@ names but those of the two counts. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm.common import map_rows, mix64, written
 
 FACTORS, LEAST_LINES, LEAST_WORDS, MOST_LINES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 2, 10, 64
+#: Size of each bitmap of first places: 2 MB.
+BITS = 1 << 24
 LINE = re.compile(r".*?(?:[.!?] +|\n+|\Z)", re.S)
 
 
-def chunks(text: str | None) -> list[tuple[int, int, str]]:
-    """Start, end and content (its lines, trimmed, joined) of each chunk; those of each rolling hash make up the text."""
-    lines = [x for x in LINE.findall(text or "") if x]
+def cut(text: str | None) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    """The trimmed lines, and of each chunk: start and end in the text, first and end in the lines. The chunks of each rolling hash make up the text."""
+    lines = [x for x in LINE.findall(text) if x] if text else []
     if not lines:
-        return []
+        return [], []
     bare = [x.strip() for x in lines]
-    starts = np.r_[0, np.cumsum([len(x) for x in lines])].tolist()
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in bare), np.uint64, len(bare))
+    starts = [0, *accumulate(map(len, lines))]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, [x.encode("utf-8", "surrogatepass") for x in bare]), np.uint64, len(bare))
+    before = np.r_[np.uint64(0), h[:-1]]
     out = []
     for factor in FACTORS:
-        rolling = mix64((np.r_[np.uint64(0), h[:-1]] * np.uint64(factor) + h) * np.uint64(factor))
+        rolling = mix64((before * np.uint64(factor) + h) * np.uint64(factor))
         least = (rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] < rolling[2:])
         first = 0
         for end in [*(np.flatnonzero(least) + 2).tolist(), len(lines)]:
             while first < end:
                 last = min(end, first + MOST_LINES)
-                out.append((starts[first], starts[last], "\n".join(bare[first:last])))
+                out.append((starts[first], starts[last], first, last))
                 first = last
-    return out
+    return bare, out
+
+
+def chunks(text: str | None) -> list[tuple[int, int, str]]:
+    """Start, end and content (its lines, trimmed, joined) of each chunk."""
+    bare, found = cut(text)
+    return [(a, b, "\n".join(bare[i:j])) for a, b, i, j in found]
 
 
 def eligible(content: str) -> bool:
-    return content.count("\n") + 1 >= LEAST_LINES and len(content.split()) >= LEAST_WORDS
+    """Of at least two lines and LEAST_WORDS words, as spaces and line ends part them."""
+    breaks = content.count("\n")
+    return breaks + 1 >= LEAST_LINES and breaks + content.count(" ") + 1 >= LEAST_WORDS
 
 
 def digest(content: str) -> tuple[int, int]:
@@ -74,6 +86,25 @@ def without(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+def place_hashes(key: int, n: int) -> np.ndarray:
+    """xxhash64(id, place) as Spark computes it, for places 0 to n - 1: each column's hash seeds the next."""
+    seed = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(p.to_bytes(4, "little"), seed) for p in range(n)), np.uint64, n).view(np.int64)
+
+
+def bitmap(rows: DataFrame, hashed: Column) -> np.ndarray:
+    """The hashes' places in BITS bits; at most BITS / 32 rows come to the driver."""
+    marks = rows.select(F.pmod(hashed, F.lit(BITS)).alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("m")).toPandas()
+    out = np.zeros(BITS // 32, np.int64)
+    out[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64)
+    return out.astype(np.uint32)
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.astype(np.int64) & (BITS - 1)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     """All rows and columns, the text deduplicated, with n_chunks and n_removed (long)."""
     found = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
@@ -81,8 +112,9 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     def listing():
         def step(batch, rows) -> None:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for place, (_, _, content) in enumerate(chunks(t)):
-                    if eligible(content):
+                bare, have = cut(t)
+                for place, (_, _, a, b) in enumerate(have):
+                    if b - a >= LEAST_LINES and eligible(content := "\n".join(bare[a:b])):
                         rows.add(k, place, *digest(content), size=32)
 
         return step
@@ -91,20 +123,28 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     again = places.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).where("n > 1")
     again = written(again.select("x", "y", F.col("first.id").alias("id"), F.col("first.place").alias("place")))
 
-    # The bytes of each first place: its documents get the list of their places, as long as they have chunks at most.
-    wanted = again.groupBy("id").agg(F.collect_list(F.struct("place", "x", "y")).alias("w"))
+    # The bytes of each first place, read where the texts are: bitmaps of fixed size tell which texts and places to look at.
+    shared = df.sparkSession.sparkContext.broadcast((bitmap(again, F.xxhash64("id")), bitmap(again, F.xxhash64("id", "place"))))
 
     def reading():
+        ids, marks = shared.value
+
         def step(batch, rows) -> None:
-            for t, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                have = chunks(t)
-                for p in w:
-                    if p["place"] < len(have) and digest(have[p["place"]][2]) == (p["x"], p["y"]):
-                        rows.add(p["x"], p["y"], have[p["place"]][2], size=4 * len(have[p["place"]][2]))
+            asked = np.flatnonzero(marked(ids, batch.column(2).to_numpy(zero_copy_only=False)))
+            for i in asked.tolist():
+                k = batch.column(0)[i].as_py()
+                bare, found = cut(batch.column(1)[i].as_py())
+                if found:
+                    for place in np.flatnonzero(marked(marks, place_hashes(k, len(found)))).tolist():
+                        _, _, a, b = found[place]
+                        content = "\n".join(bare[a:b])
+                        if eligible(content):
+                            rows.add(k, place, *digest(content), content, size=4 * len(content) + 40)
 
         return step
 
-    firsts = map_rows(found.join(wanted, "id").select("t", "w"), "x long,y long,content string", reading).groupBy("x", "y").agg(F.min("content").alias("content"))
+    contents = map_rows(found.select("id", "t", F.xxhash64("id").alias("h")), "id long,place int,x long,y long,content string", reading)
+    firsts = contents.join(again, ["x", "y", "id", "place"]).groupBy("x", "y").agg(F.min("content").alias("content"))
     copies = places.join(again.withColumnRenamed("id", "i").withColumnRenamed("place", "p"), ["x", "y"]).where("id != i OR place != p")
     drop = copies.join(firsts, ["x", "y"]).groupBy("id").agg(F.collect_list(F.struct("place", "content")).alias("gone"))
     joined = df.join(drop.withColumnRenamed("id", "_dedup_id").withColumnRenamed("gone", "_dedup_gone"), df[key].cast("long") == F.col("_dedup_id"), "left").drop("_dedup_id")
@@ -115,8 +155,8 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             texts, counts, removed = [], [], []
             for t, gone in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist()):
-                have = chunks(t)
-                spans = sorted({(have[g["place"]][0], have[g["place"]][1]) for g in gone or () if g["place"] < len(have) and have[g["place"]][2] == g["content"]})
+                bare, have = cut(t)
+                spans = sorted({have[g["place"]][:2] for g in gone or () if g["place"] < len(have) and "\n".join(bare[slice(*have[g["place"]][2:])]) == g["content"]})
                 texts.append(without(t, spans) if spans else t)
                 counts.append(len(have))
                 removed.append(len(spans))

@@ -48,6 +48,14 @@ def test_chunks_make_up_the_text():
     assert all(b - a <= 64 * 3 for a, b, _ in lines.chunks("x\n" * 10_000))
 
 
+def test_place_hashes_are_those_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    for key in (0, 7, -3, 2**40):
+        want = spark.range(5).select(F.xxhash64(F.lit(key).cast("long"), F.col("id").cast("int"))).toPandas().iloc[:, 0].tolist()
+        assert lines.place_hashes(key, 5).tolist() == want
+
+
 def test_boundaries_resist_shifts():
     rows, passages = corpus(2)
     inside = [{c for _, _, c in lines.chunks(before + passages[0] + " " + after)} for before, after in (("", "End. "), ("Something else. And more of it! ", "Then this.\n"))]
