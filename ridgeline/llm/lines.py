@@ -3,8 +3,8 @@
 A text is cut into lines, also at sentence ends. A rolling hash over the hashes of two neighbouring lines ends a chunk
 where it is less than before and after, so an insertion moves boundaries only next to itself. Two such hashes give two
 chunkings, as a passage of few lines may hold no whole chunk of one. A chunk of at least two lines and LEAST_WORDS words
-that occurs again anywhere, in other documents or its own, is removed everywhere but at its first place (smallest id,
-then position), after its bytes have been compared with those of that place. What surrounds it stays, and so do line
+that the same chunking cuts again anywhere, in other documents or its own, is removed everywhere but at its first place (smallest id,
+then position in the text), after its bytes have been compared with those of that place. What surrounds it stays, and so do line
 ends.
 
 Null, empty and wordless texts stay as they are. Very long texts: chunked whole. Rows without an id stay as they are and
@@ -30,11 +30,12 @@ from ridgeline.llm.common import map_rows, mix64, written
 FACTORS, LEAST_LINES, LEAST_WORDS, MOST_LINES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 2, 10, 64
 #: Size of each bitmap of first places: 2 MB.
 BITS = 1 << 24
+SECOND = "\n\f"
 LINE = re.compile(r".*?(?:[.!?] +|\n+|\Z)", re.S)
 
 
-def cut(text: str | None) -> tuple[list[str], list[tuple[int, int, int, int]]]:
-    """The trimmed lines, and of each chunk: start and end in the text, first and end in the lines. The chunks of each rolling hash make up the text."""
+def cut(text: str | None) -> tuple[list[str], list[tuple[int, int, int, int, int]]]:
+    """The trimmed lines, and of each chunk: start and end in the text, first and end in the lines, number of its chunking. The chunks of each rolling hash make up the text."""
     lines = [x for x in LINE.findall(text) if x] if text else []
     if not lines:
         return [], []
@@ -43,26 +44,33 @@ def cut(text: str | None) -> tuple[list[str], list[tuple[int, int, int, int]]]:
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, [x.encode("utf-8", "surrogatepass") for x in bare]), np.uint64, len(bare))
     before = np.r_[np.uint64(0), h[:-1]]
     out = []
-    for factor in FACTORS:
+    for chunking, factor in enumerate(FACTORS):
         rolling = mix64((before * np.uint64(factor) + h) * np.uint64(factor))
         least = (rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] < rolling[2:])
         first = 0
         for end in [*(np.flatnonzero(least) + 2).tolist(), len(lines)]:
             while first < end:
                 last = min(end, first + MOST_LINES)
-                out.append((starts[first], starts[last], first, last))
+                out.append((starts[first], starts[last], first, last, chunking))
                 first = last
     return bare, out
 
 
+def content_of(bare: list[str], first: int, end: int, chunking: int) -> str:
+    """The trimmed lines, joined. The mark of the second chunking, which no trimmed line can be, keeps the two apart: a
+    span that both cut is no copy of itself, and in each of them the order of places is that of the text."""
+    return "\n".join(bare[first:end]) + SECOND * chunking
+
+
 def chunks(text: str | None) -> list[tuple[int, int, str]]:
-    """Start, end and content (its lines, trimmed, joined) of each chunk."""
+    """Start, end and content of each chunk."""
     bare, found = cut(text)
-    return [(a, b, "\n".join(bare[i:j])) for a, b, i, j in found]
+    return [(a, b, content_of(bare, *rest)) for a, b, *rest in found]
 
 
 def eligible(content: str) -> bool:
     """Of at least two lines and LEAST_WORDS words, as spaces and line ends part them."""
+    content = content.removesuffix(SECOND)
     breaks = content.count("\n")
     return breaks + 1 >= LEAST_LINES and breaks + content.count(" ") + 1 >= LEAST_WORDS
 
@@ -113,8 +121,8 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
         def step(batch, rows) -> None:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bare, have = cut(t)
-                for place, (_, _, a, b) in enumerate(have):
-                    if b - a >= LEAST_LINES and eligible(content := "\n".join(bare[a:b])):
+                for place, (_, _, a, b, chunking) in enumerate(have):
+                    if b - a >= LEAST_LINES and eligible(content := content_of(bare, a, b, chunking)):
                         rows.add(k, place, *digest(content), size=32)
 
         return step
@@ -136,8 +144,7 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
                 bare, found = cut(batch.column(1)[i].as_py())
                 if found:
                     for place in np.flatnonzero(marked(marks, place_hashes(k, len(found)))).tolist():
-                        _, _, a, b = found[place]
-                        content = "\n".join(bare[a:b])
+                        content = content_of(bare, *found[place][2:])
                         if eligible(content):
                             rows.add(k, place, *digest(content), content, size=4 * len(content) + 40)
 
@@ -156,7 +163,7 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
             texts, counts, removed = [], [], []
             for t, gone in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist()):
                 bare, have = cut(t)
-                spans = sorted({have[g["place"]][:2] for g in gone or () if g["place"] < len(have) and "\n".join(bare[slice(*have[g["place"]][2:])]) == g["content"]})
+                spans = sorted({have[g["place"]][:2] for g in gone or () if g["place"] < len(have) and content_of(bare, *have[g["place"]][2:]) == g["content"]})
                 texts.append(without(t, spans) if spans else t)
                 counts.append(len(have))
                 removed.append(len(spans))

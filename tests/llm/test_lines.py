@@ -88,3 +88,19 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(((r.doc_id, r.text, r.n_chunks, r.n_removed) for r in op4_lines(spark, sf).collect()), key=str)
     assert got == brute(rows) and sum(r[3] for r in got) > 0
+
+
+def test_texts_without_repeats_stay(spark):
+    rnd = random.Random(11)
+    rows = [(i, "".join(f"{sentence(rnd)[:-1]} w{i}x{j}." + rnd.choice([" ", "\n"]) for j in range(i % 25))) for i in range(150)]
+    rows.append((150, "One two three four five six. Seven eight nine ten eleven twelve."))
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows and not any(r.n_removed for r in got)
+
+
+def test_every_line_stays_somewhere(spark):
+    rows, passages = corpus(12)
+    rows.append((60, "\n".join(passages + [rows[3][1]] + passages[::-1])))
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    left = {w for r in got for w in r.text.split()}
+    assert left == {w for _, t in rows for w in t.split()}
