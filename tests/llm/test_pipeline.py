@@ -43,3 +43,13 @@ def test_edges(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_documents_without_repeats_pass_line_dedup(spark):
+    texts = ["Seven swans swim over the cold lake. Nobody at the shore looks up.", *(" ".join(f"Sentence {j} of text {i} says word{i}x{j} to all of us." for j in range(i)) for i in range(2, 12))]
+    shared = "\n".join(f"This is line {j} of a passage that two documents have." for j in range(20))
+    texts += [f"Only here we begin with {shared}\nOnly here we end.", shared]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert all(left[i].text == t and left[i].n_chars == len(t) for i, t in enumerate(texts[:-1]))
+    assert 12 not in left or len(left[12].text) < len(shared)
