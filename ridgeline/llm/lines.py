@@ -1,11 +1,12 @@
 """Line dedup by content-defined chunks of lines.
 
-A text is cut into lines, also at sentence ends. A rolling hash over the hashes of two neighbouring lines ends a chunk
-where it is less than before and after, so an insertion moves boundaries only next to itself. Two such hashes give two
-chunkings, as a passage of few lines may hold no whole chunk of one. A chunk of at least two lines and LEAST_WORDS words
-that the same chunking cuts again anywhere, in other documents or its own, is removed everywhere but at its first place (smallest id,
-then position in the text), after its bytes have been compared with those of that place. What surrounds it stays, and so do line
-ends.
+A text is cut into lines, also at sentence ends, and each line of more than LONG_LINE words also where a hash of two
+neighbouring words says so, which depends on the words around that place only. Each chunk is looked up twice: with the
+words after it and with those before it, up to a window of LEAST_LINES lines and LEAST_WORDS words, or of LONG_WORDS
+words. A chunk whose window occurs again anywhere with the same side, in other documents or its own, is removed
+everywhere but at its first place (smallest id, then position in the text), after the words of the window and their line
+ends have been compared with those of that place. So a passage of 2 * LONG_WORDS words goes whichever its lines are,
+but for the parts of chunks at its two ends. What surrounds it stays, and so do line ends.
 
 Null, empty and wordless texts stay as they are. Very long texts: chunked whole. Rows without an id stay as they are and
 count for nothing. Repeated rows and several texts of one id: one document for the order of places, so a chunk at its
@@ -15,8 +16,7 @@ names but those of the two counts. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
-from itertools import accumulate
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,59 +25,132 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import map_rows, mix64, written
+from ridgeline.llm.common import map_rows, mix64, small_batches, written
 
-FACTORS, LEAST_LINES, LEAST_WORDS, MOST_LINES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 2, 10, 64
+LEAST_LINES, LEAST_WORDS, LONG_WORDS, LONG_LINE, MOST_WORDS = 2, 10, 25, 12, 64
+#: A place in a long line ends a chunk once in so many words.
+SPARSE = 8
+FACTOR, CHARS, WORDS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Size of each bitmap of first places: 2 MB.
 BITS = 1 << 24
-SECOND = "\n\f"
-LINE = re.compile(r".*?(?:[.!?] +|\n+|\Z)", re.S)
-
-
-def cut(text: str | None) -> tuple[list[str], list[tuple[int, int, int, int, int]]]:
-    """The trimmed lines, and of each chunk: start and end in the text, first and end in the lines, number of its chunking. The chunks of each rolling hash make up the text."""
-    lines = [x for x in LINE.findall(text) if x] if text else []
-    if not lines:
-        return [], []
-    bare = [x.strip() for x in lines]
-    starts = [0, *accumulate(map(len, lines))]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, [x.encode("utf-8", "surrogatepass") for x in bare]), np.uint64, len(bare))
-    before = np.r_[np.uint64(0), h[:-1]]
-    out = []
-    for chunking, factor in enumerate(FACTORS):
-        rolling = mix64((before * np.uint64(factor) + h) * np.uint64(factor))
-        least = (rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] < rolling[2:])
-        first = 0
-        for end in [*(np.flatnonzero(least) + 2).tolist(), len(lines)]:
-            while first < end:
-                last = min(end, first + MOST_LINES)
-                out.append((starts[first], starts[last], first, last, chunking))
-                first = last
-    return bare, out
-
-
-def content_of(bare: list[str], first: int, end: int, chunking: int) -> str:
-    """The trimmed lines, joined. The mark of the second chunking, which no trimmed line can be, keeps the two apart: a
-    span that both cut is no copy of itself, and in each of them the order of places is that of the text."""
-    return "\n".join(bare[first:end]) + SECOND * chunking
+SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+STOP = np.array([chr(c) in ".!?" for c in range(128)])
+#: Parts a chunk from the words after it, or from those before it. Words are joined by spaces and line ends only.
+AFTER, BEFORE = "\f", "\v"
+
+
+MIXED = mix64(np.arange(1, len(SPACE) + 1, dtype=np.uint64))
+
+
+def mixed(points: np.ndarray) -> np.ndarray:
+    out = MIXED.take(points, mode="clip")
+    if len(far := np.flatnonzero(points >= len(MIXED))):
+        out[far] = mix64(points[far].astype(np.uint64) + np.uint64(1))
+    return out
+
+
+@lru_cache(64)
+def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse, from 0 to size - 1, by 64 bits."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+
+
+NONE = np.zeros(1, np.uint64)
+
+
+def changes(space: np.ndarray) -> np.ndarray:
+    """Where words start and end, in turn."""
+    edge = np.ones(len(space) + 2, bool)
+    edge[1:-1] = space
+    return np.flatnonzero(edge[1:] != edge[:-1])
+
+
+class Cut:
+    """A text's words, the lines that they start, its chunks of words, and the window of each chunk and side."""
+
+    def __init__(self, text: str | None) -> None:
+        self.text = text or ""
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = SPACE.take(points, mode="clip")
+        edges = changes(space)
+        self.starts, self.ends = edges[::2], edges[1::2]
+        n = self.n = len(self.starts)
+        self.line = np.zeros(n, bool)
+        first = np.zeros(1 if self.text else 0, np.int64)
+        if n:
+            breaks, last = np.cumsum(points == 10), points[self.ends - 1]
+            self.line[1:] = (breaks[self.starts[1:]] > breaks[self.ends[:-1] - 1]) | STOP.take(last[:-1], mode="clip")
+            up, down = powers(CHARS, 1 << max(12, len(points).bit_length()))
+            sums = np.concatenate((NONE, np.cumsum(mixed(points) * up[: len(points)])))
+            self.hashes = mix64((sums[self.ends] - sums[self.starts]) * down[self.starts])
+            at, here = np.flatnonzero(self.line), np.arange(n)
+            self.this = np.concatenate(([0], at))[np.searchsorted(at, here, "right")]  # where the line of each word starts
+            ends = mix64(np.concatenate((NONE, self.hashes[:-1])) * np.uint64(FACTOR) + self.hashes) % np.uint64(SPARSE) == 0
+            first = np.flatnonzero(self.line | ends & (here - self.this >= LONG_LINE) | (here == 0))
+            size = np.diff(np.concatenate((first, [n])))
+            if size.max() > MOST_WORDS:
+                first = np.concatenate([np.arange(a, a + s, MOST_WORDS) for a, s in zip(first, size)])
+        self.first, self.end = first, np.concatenate((first[1:], [n]))[: len(first)]
+        self.spans = np.r_[0, self.starts[first[1:]]] if n else first, np.r_[self.starts[first[1:]], len(self.text)] if self.text else first
+
+    @cached_property
+    def window(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end in the words, of the chunks with the words after them, then of those with the words before."""
+        n, first, at = self.n, self.first, np.flatnonzero(self.line)
+        nxt = np.concatenate((at, [n]))[np.searchsorted(at, first, "right")]
+        after = np.minimum(n, np.maximum(self.end, np.minimum(first + LONG_WORDS, np.maximum(first + LEAST_WORDS, nxt + 1))))
+        before = np.maximum(0, np.minimum(first, np.maximum(self.end - LONG_WORDS, np.minimum(self.end - LEAST_WORDS, self.this[self.end - 1] - 1))))
+        return np.concatenate((first, before)), np.concatenate((after, self.end))
+
+    def __len__(self) -> int:
+        return 2 * len(self.first)
+
+    def span(self, place: int) -> tuple[int, int]:
+        return tuple(int(x[place % len(self.first)]) for x in self.spans)
+
+    def content(self, place: int) -> str:
+        """The words of the window, with the line ends between them and the chunk's own end or start."""
+        if not self.n:
+            return ""
+        k, later = place % len(self.first), place >= len(self.first)
+        a, b = int(self.window[0][place]), int(self.window[1][place])
+        parted = int(self.first[k] if later else self.end[k])
+        words = self.text[self.starts[a] : self.ends[b - 1]].split()
+        out = []
+        for i, w in enumerate(words, a):
+            if i > a:
+                out.append("\n" if self.line[i] else " ")
+            if i == parted:
+                out.append(BEFORE if later else AFTER)
+            out.append(w)
+        return "".join(out if parted < b else [*out, AFTER])
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The eligible places, and a hash of the content of each."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = self.window
+        lines = np.cumsum(self.line)
+        size = b - a
+        at = np.flatnonzero((size >= LONG_WORDS) | (size >= LEAST_WORDS) & (lines[b - 1] - lines[a] + 1 >= LEAST_LINES))
+        a, b, k = a[at], b[at], at % len(self.first)
+        up, down = powers(WORDS, 1 << max(12, self.n.bit_length()))
+        sums = np.concatenate((NONE, np.cumsum(mix64(self.hashes + self.line * np.uint64(FACTOR)) * up[: self.n])))
+        x = mix64((sums[b] - sums[a + 1]) * down[a] + mix64(self.hashes[a] ^ np.uint64(CHARS)))
+        own = (self.end - self.first)[k].astype(np.uint64) * np.uint64(2) + (at >= len(self.first))
+        return at, mix64(x + own * np.uint64(FACTOR)).view(np.int64)
 
 
 def chunks(text: str | None) -> list[tuple[int, int, str]]:
-    """Start, end and content of each chunk."""
-    bare, found = cut(text)
-    return [(a, b, content_of(bare, *rest)) for a, b, *rest in found]
+    """Start, end and content of each chunk, with the words after it; then of each with those before it."""
+    c = Cut(text)
+    return [(*c.span(p), c.content(p)) for p in range(len(c))]
 
 
 def eligible(content: str) -> bool:
-    """Of at least two lines and LEAST_WORDS words, as spaces and line ends part them."""
-    content = content.removesuffix(SECOND)
-    breaks = content.count("\n")
-    return breaks + 1 >= LEAST_LINES and breaks + content.count(" ") + 1 >= LEAST_WORDS
-
-
-def digest(content: str) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(content.encode("utf-8", "surrogatepass"))
-    return h & (1 << 63) - 1, h >> 65
+    """Of at least LEAST_LINES lines and LEAST_WORDS words, or of LONG_WORDS words."""
+    words = len(content.split())
+    return words >= LONG_WORDS or words >= LEAST_WORDS and content.count("\n") + 1 >= LEAST_LINES
 
 
 def without(text: str, gone: list[tuple[int, int]]) -> str:
@@ -94,10 +167,11 @@ def without(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def place_hashes(key: int, n: int) -> np.ndarray:
-    """xxhash64(id, place) as Spark computes it, for places 0 to n - 1: each column's hash seeds the next."""
+def place_hashes(key: int, places: int | np.ndarray) -> np.ndarray:
+    """xxhash64(id, place) as Spark computes it, for the places, or all below a number: each column's hash seeds the next."""
+    places = range(places) if isinstance(places, int) else places.tolist()
     seed = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
-    return np.fromiter((xxhash.xxh64_intdigest(p.to_bytes(4, "little"), seed) for p in range(n)), np.uint64, n).view(np.int64)
+    return np.fromiter((xxhash.xxh64_intdigest(p.to_bytes(4, "little"), seed) for p in places), np.uint64, len(places)).view(np.int64)
 
 
 def bitmap(rows: DataFrame, hashed: Column) -> np.ndarray:
@@ -117,43 +191,48 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     """All rows and columns, the text deduplicated, with n_chunks and n_removed (long)."""
     found = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
-    def listing():
-        def step(batch, rows) -> None:
+    def listing(batches):
+        for batch in small_batches(batches, 64):
+            keys, places, hashes = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bare, have = cut(t)
-                for place, (_, _, a, b, chunking) in enumerate(have):
-                    if b - a >= LEAST_LINES and eligible(content := content_of(bare, a, b, chunking)):
-                        rows.add(k, place, *digest(content), size=32)
+                at, x = Cut(t).listed()
+                keys.append(np.full(len(at), k, np.int64))
+                places.append(at.astype(np.int32))
+                hashes.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, places, hashes)], names=["id", "place", "x"])
 
-        return step
-
-    places = written(map_rows(found, "id long,place int,x long,y long", listing))
-    again = places.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).where("n > 1")
-    again = written(again.select("x", "y", F.col("first.id").alias("id"), F.col("first.place").alias("place")))
+    places = written(found.mapInArrow(listing, "id long, place int, x long"))
+    again = places.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).where("n > 1")
+    again = written(again.select("x", F.col("first.id").alias("id"), F.col("first.place").alias("place")))
 
     # The bytes of each first place, read where the texts are: bitmaps of fixed size tell which texts and places to look at.
-    shared = df.sparkSession.sparkContext.broadcast((bitmap(again, F.xxhash64("id")), bitmap(again, F.xxhash64("id", "place"))))
+    shared = df.sparkSession.sparkContext.broadcast((bitmap(again, F.xxhash64("id")), bitmap(again, F.xxhash64("id", "place")), bitmap(again, F.col("x"))))
 
     def reading():
-        ids, marks = shared.value
+        ids, marks, _ = shared.value
 
         def step(batch, rows) -> None:
             asked = np.flatnonzero(marked(ids, batch.column(2).to_numpy(zero_copy_only=False)))
             for i in asked.tolist():
                 k = batch.column(0)[i].as_py()
-                bare, found = cut(batch.column(1)[i].as_py())
-                if found:
-                    for place in np.flatnonzero(marked(marks, place_hashes(k, len(found)))).tolist():
-                        content = content_of(bare, *found[place][2:])
-                        if eligible(content):
-                            rows.add(k, place, *digest(content), content, size=4 * len(content) + 40)
+                c = Cut(batch.column(1)[i].as_py())
+                listed, x = c.listed()
+                if len(listed):
+                    at = marked(marks, place_hashes(k, listed))
+                    for place, h in zip(listed[at].tolist(), x[at].tolist()):
+                        content = c.content(place)
+                        rows.add(k, place, h, content, size=4 * len(content) + 40)
 
         return step
 
-    contents = map_rows(found.select("id", "t", F.xxhash64("id").alias("h")), "id long,place int,x long,y long,content string", reading)
-    firsts = contents.join(again, ["x", "y", "id", "place"]).groupBy("x", "y").agg(F.min("content").alias("content"))
-    copies = places.join(again.withColumnRenamed("id", "i").withColumnRenamed("place", "p"), ["x", "y"]).where("id != i OR place != p")
-    drop = copies.join(firsts, ["x", "y"]).groupBy("id").agg(F.collect_list(F.struct("place", "content")).alias("gone"))
+    def repeated(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(shared.value[2], batch.column(2).to_numpy())))
+
+    contents = map_rows(found.select("id", "t", F.xxhash64("id").alias("h")), "id long,place int,x long,content string", reading)
+    firsts = contents.join(again, ["x", "id", "place"]).groupBy("x").agg(F.min("content").alias("content"))
+    copies = places.mapInArrow(repeated, places.schema).join(again.withColumnRenamed("id", "i").withColumnRenamed("place", "p"), "x").where("id != i OR place != p")
+    drop = copies.join(firsts, "x").groupBy("id").agg(F.collect_list(F.struct("place", "content")).alias("gone"))
     joined = df.join(drop.withColumnRenamed("id", "_dedup_id").withColumnRenamed("gone", "_dedup_gone"), df[key].cast("long") == F.col("_dedup_id"), "left").drop("_dedup_id")
     schema = T.StructType([*df.schema.fields, T.StructField("n_chunks", T.LongType()), T.StructField("n_removed", T.LongType())])
     at, width = df.columns.index(text), len(df.columns)
@@ -162,8 +241,8 @@ def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             texts, counts, removed = [], [], []
             for t, gone in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist()):
-                bare, have = cut(t)
-                spans = sorted({have[g["place"]][:2] for g in gone or () if g["place"] < len(have) and content_of(bare, *have[g["place"]][2:]) == g["content"]})
+                have = Cut(t)
+                spans = sorted({have.span(g["place"]) for g in gone or () if g["place"] < len(have) and have.content(g["place"]) == g["content"]})
                 texts.append(without(t, spans) if spans else t)
                 counts.append(len(have))
                 removed.append(len(spans))

@@ -104,3 +104,30 @@ def test_every_line_stays_somewhere(spark):
     got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
     left = {w for r in got for w in r.text.split()}
     assert left == {w for _, t in rows for w in t.split()}
+
+
+def test_passages_of_50_to_80_words(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=7))
+    rows, passages = [], []
+    for size in (50, 60, 80):
+        for n in range(1, 7):
+            ends = {size * (i + 1) // n - 1 for i in range(n)}
+            passages.append([word() + ("." if i in ends else "") for i in range(size)])
+            for _ in range(2):
+                before, after = (" ".join(word() for _ in range(30)) for _ in range(2))
+                rows.append((len(rows), f"{before}. {' '.join(passages[-1])} {after}."))
+            passages.append([word() + ("." if i in ends and i < size - 1 else "") for i in range(size)])
+            for _ in range(2):  # in the middle of a line
+                before, after = (" ".join(word() for _ in range(30)) for _ in range(2))
+                rows.append((len(rows), f"{before} {' '.join(passages[-1])} {after}."))
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    lost = []
+    for i, p in enumerate(passages):
+        first, second = got[2 * i], got[2 * i + 1]
+        assert first == rows[2 * i][1]
+        own = set(rows[2 * i + 1][1].split()) - set(p)
+        assert own <= set(second.split())
+        lost.append(1 - len(set(p) & set(second.split())) / len(p))
+        assert i % 2 or lost[-1] == 1
+    assert min(lost) > 0 and sum(lost[1::2]) > 0.5 * len(lost[1::2])
