@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,21 +43,21 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
+FIRST = "".join(sorted({w[0] for w in SPELLED}))
 #: Two or more digits in a row, at least one of them spelled, with single separators or "plus" and "dot" between.
-DIGIT_RUN = re.compile(rf"(?<![^\W_])(?:(?:{DIGIT_WORD}|[0-9]+)(?:[ ]dot[ ]|, |[ .-]))+(?:{DIGIT_WORD}|[0-9]+)(?![^\W_])", re.I)
-SPELLED_WORD = re.compile(rf"(?<![^\W_])(?:{DIGIT_WORD})(?![^\W_])", re.I)
+DIGIT_RUN = re.compile(rf"(?=[0-9{FIRST}])(?<![^\W_])(?:(?:{DIGIT_WORD}|[0-9]+)(?:[ ]dot[ ]|, |[ .-]))+(?:{DIGIT_WORD}|[0-9]+)(?![^\W_])", re.I)
+SPELLED_WORD = re.compile(rf"(?=[{FIRST}])(?<![^\W_])(?:{DIGIT_WORD})(?![^\W_])", re.I)
 BRACKETED_AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@|arroba|arobase)[ ]?[\])}>][ ]?", re.I)
 BRACKETED_DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.|punto|point|punkt)[ ]?[\])}>][ ]?", re.I)
 #: Without brackets only as a whole: name at host dot name, where every dot after the host is a word or a full stop.
 WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ ]dot[ ][A-Za-z0-9_%+-]{1,64}){0,3}[ ]at[ ][A-Za-z0-9-]{1,63}(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]{1,63}){0,4}[ ]dot[ ][A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ ]@[ ](?=[A-Za-z0-9-]+[ ]?\.)|(?<=[A-Za-z0-9])[ ]@(?=[A-Za-z0-9-]+\.)")
 PLUS = re.compile(r"(?<![^\W_])plus[ ](?=[0-9])", re.I)
-HINT = re.compile(
-    rf"(?<![^\W_])(?:(?:{DIGIT_WORD})(?:[ ]dot[ ]|, |[ .-])){{3}}"
-    r"|[\[({<][ ]?(?:at|@|arroba|arobase|dot|\.|punto|point|punkt)[ ]?[\])}>]|[ ]dot[ ]|[ ]@|[ ]plus[ ]"
-    r"|[\u00ad\u200b-\u200d\u2060\ufeff\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\uff01-\uff5e\U0001d400-\U0001d7ff\u2460-\u2473\u00b2\u00b3\u00b9\u2070-\u2079\u2080-\u2089]",
-    re.I,
-)
+FIGURE = re.compile(rf"(?P<word>{DIGIT_WORD})|(?P<dot>[ ]dot[ ])|, |[ ]", re.I)
+GROUP = rf"(?:[0-9]+|(?:{DIGIT_WORD}|[0-9])(?:[ ](?:{DIGIT_WORD}|[0-9])){{1,2}}|{DIGIT_WORD})"
+#: Four number groups, each in digits or spelled.
+DOTTED = re.compile(rf"(?=[0-9{FIRST}])(?<![^\W_]){GROUP}(?:(?:[ ]dot[ ]|\.){GROUP}){{3}}(?![^\W_])", re.I)
+PLUS_BEFORE = re.compile(r"(?:\+|(?<![^\W_])plus[ ])\Z", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -102,7 +103,7 @@ class Mapped:
     """A text with, for each of its characters, the source span that it stands for."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """edits: ordered, disjoint (start, end, new); each new character stands for the whole of what it replaces."""
@@ -111,15 +112,16 @@ class Mapped:
         text, starts, ends, at = [], [], [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
+            starts += [*self.starts[at:a], *[self.starts[a]] * len(new)]
+            ends += [*self.ends[at:a], *[self.ends[b - 1]] * len(new)]
             at = b
-        self.text, self.starts, self.ends = "".join([*text, self.text[at:]]), starts + self.starts[at:], ends + self.ends[at:]
+        self.text, self.starts, self.ends = "".join([*text, self.text[at:]]), [*starts, *self.starts[at:]], [*ends, *self.ends[at:]]
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         return min(self.starts[start:end]), max(self.ends[start:end])
 
 
+@cache
 def _ascii(c: str) -> str | None:
     """What a character that isn't ASCII looks like; None: itself."""
     if c in INVISIBLE:
@@ -132,26 +134,52 @@ def _ascii(c: str) -> str | None:
     return folded if len(folded) == 1 and folded.isascii() and folded != " " else None
 
 
+def figures(run: str, start: int) -> list[tuple[int, int, str]]:
+    """The edits that turn a run of digits, in part spelled, into digits and full stops; start: where it is."""
+    out = []
+    for y in FIGURE.finditer(run):
+        out.append((start + y.start(), start + y.end(), SPELLED[y[0].lower()] if y["word"] else "." if y["dot"] else ""))
+    return out
+
+
+def rewritten(run: str, start: int, edits: list[tuple[int, int, str]]) -> str:
+    m = Mapped(run)
+    m.rewrite([(a - start, b - start, new) for a, b, new in edits])
+    return m.text
+
+
 def normalise(text: str) -> Mapped:
     m = Mapped(text)
     if not text.isascii():
         m.rewrite([(i, i + 1, new) for i, c in enumerate(text) if c > "\x7f" and (new := _ascii(c)) is not None])
     m.rewrite([(*x.span(), "@") for x in BRACKETED_AT.finditer(m.text)])
     m.rewrite([(*x.span(), ".") for x in BRACKETED_DOT.finditer(m.text)])
+    low = m.text.lower()
     edits = []
-    for x in WORDED.finditer(m.text):
+    for x in WORDED.finditer(m.text) if " at " in low and " dot " in low else ():  # what it can't match without
         for y in re.finditer(r"[ ](at|dot)[ ]", x[0], re.I):
             edits.append((x.start() + y.start(), x.start() + y.end(), "@" if y[1].lower() == "at" else "."))
     m.rewrite(edits)
-    m.rewrite([(*x.span(), "@") for x in SPACED_AT.finditer(m.text)])
+    if " @" in m.text:
+        m.rewrite([(*x.span(), "@") for x in SPACED_AT.finditer(m.text)])
+    spelled = SPELLED_WORD.search(m.text)  # without one and without " dot ", no run would change
+    edits, x = [], DOTTED.search(m.text) if spelled or " dot " in low else None
+    while x:
+        parts = figures(x[0], x.start())
+        groups = rewritten(x[0], x.start(), parts).split(".")
+        valid = parts and all(len(p := g.lstrip("0")) <= 3 and int(p or "0") <= 255 for g in groups)
+        edits += parts if valid else []
+        x = DOTTED.search(m.text, x.end() if valid else x.start() + 1)
+    m.rewrite(edits)
     edits = []
-    for x in DIGIT_RUN.finditer(m.text):
-        spelled = list(SPELLED_WORD.finditer(x[0]))
-        if len(spelled) < 4:  # a number word or two are prose
-            continue
-        for y in re.finditer(rf"(?P<word>{DIGIT_WORD})|(?P<dot>[ ]dot[ ])|, |[ ]", x[0], re.I):
-            new = SPELLED[y[0].lower()] if y["word"] else "." if y["dot"] else ""
-            edits.append((x.start() + y.start(), x.start() + y.end(), new))
+    for x in DIGIT_RUN.finditer(m.text) if spelled else ():
+        count = len(SPELLED_WORD.findall(x[0]))
+        parts = figures(x[0], x.start())
+        if count < 4:  # a number word or two are prose, unless they complete a card or a phone
+            digits = re.sub("[^0-9]", "", rewritten(x[0], x.start(), parts)) if count else ""
+            if not (16 <= len(digits) <= 19 and luhn(digits) or 8 <= len(digits) <= 15 and PLUS_BEFORE.search(m.text, max(0, x.start() - 6), x.start())):
+                continue
+        edits += parts
     m.rewrite(edits)
     m.rewrite([(*x.span(), "+") for x in PLUS.finditer(m.text)])
     return m
@@ -162,15 +190,14 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     text = text or ""
     base = plain(text)
     every = {k: list(v) for k, v in base.items()}
-    if HINT.search(text):
-        m = normalise(text)
-        if m.text != text:
-            for kind, found in plain(m.text).items():
-                for a, b in found:
-                    start, end = m.span(a, b)
-                    if all(end <= s or e <= start for s, e in every[kind]):
-                        every[kind].append((start, end))
-                every[kind].sort()
+    m = normalise(text)
+    if m.text != text:
+        for kind, found in plain(m.text).items():
+            for a, b in found:
+                start, end = m.span(a, b)
+                if all(end <= s or e <= start for s, e in every[kind]):
+                    every[kind].append((start, end))
+            every[kind].sort()
     return base, every
 
 

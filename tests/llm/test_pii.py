@@ -87,3 +87,15 @@ def test_query_equals_brute_force(spark):
         line = pii.listed(want)
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(want[k]) for k in pii.KINDS)
         assert r.spans == line  # nothing in this table is disguised
+
+
+def test_disguises_without_other_hints():
+    assert extra("call +49 1 seven 0 five 5 eight 2 one 9") == {"phone": ["+49 1 seven 0 five 5 eight 2 one 9"]}
+    assert extra("plus 49 170 1234567") == extra("x\nplus 49 170 1234567\n") == {"phone": ["plus 49 170 1234567"]}
+    assert extra("call plus 49 one 70 12 three 4567 now") == {"phone": ["plus 49 one 70 12 three 4567"]}
+    assert extra("host 192 dot 168 dot 1 dot 10 is up") == {"ip": ["192 dot 168 dot 1 dot 10"]}
+    assert extra("host 192 dot one six 8 dot 1.10") == {"ip": ["192 dot one six 8 dot 1.10"]}
+    assert extra("ip ๑๒.1.2.๓ or ১২.1.2.৩") == {"ip": ["๑๒.1.2.๓", "১২.1.2.৩"]}
+    assert extra("ip ①.1.2.⓪ here") == {"ip": ["①.1.2.⓪"]}
+    assert extra("card 4111 1111 one 111 1111 1111") == {} and extra("card 4111 1111 1111 111 one") == {"card": ["4111 1111 1111 111 one"]}
+    assert extra("300 dot 168 dot 1 dot 10, chapter 2 dot 3, five plus 4") == {}
