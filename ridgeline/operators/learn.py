@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Matrices
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -68,23 +67,30 @@ def _spread(x: np.ndarray, ids: np.ndarray, most: int, first: np.ndarray | None
     return chosen
 
 
-def farthest_points(rows: DataFrame, group: str, key: str, vector: str, most: int, cells: int = 4096) -> DataFrame:
-    """group, key, step of the rows chosen in each group.
+def farthest_points(rows: DataFrame, group: str, key: str, vector: str, most: int) -> DataFrame:
+    """group, key, step of the rows chosen in each group: exact at every size.
 
-    The choice is sequential. A group of up to `cells` rows is one task's work. A larger one is chosen in cells of rows by
-    hash first, then among the cells' choices: the usual two-round form for sets that one machine can't hold.
+    The choice is sequential over steps, not over rows: each step compares all rows with those chosen so far, which are
+    broadcast, and takes the row of the smallest nearest similarity as an aggregate. At most `most` rows a group are chosen.
     """
-    w = Window.partitionBy(group)
-    cell = F.pmod(F.xxhash64(F.col(key)), F.greatest(F.lit(1), F.ceil(F.count("*").over(w) / cells))).cast("long")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        if "step" in pdf and pdf["cell"].nunique() == 1:  # chosen already
-            return pdf
-        at = _spread(np.stack(pdf[vector].to_numpy()).astype(float), pdf[key].to_numpy(), most)
-        return pdf.iloc[at].assign(step=range(1, len(at) + 1))
-
-    rows = rows.select(F.col(group).cast("long").alias(group), F.col(key).cast("long").alias(key), F.transform(vector, lambda v: v.cast("double")).alias(vector))
-    schema = f"{group} long, {key} long, {vector} array<double>, cell long, step long"
-    first = rows.withColumn("cell", cell).groupBy(group, "cell").applyInPandas(lambda pdf: run(pdf)[[group, key, vector, "cell", "step"]], schema)
-    return first.groupBy(group).applyInPandas(lambda pdf: run(pdf)[[group, key, "step"]], f"{group} long, {key} long, step long")
+    rows = rows.select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("k"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    norm = F.greatest(F.sqrt(_dot(F.col("v"), F.col("v"))), F.lit(1e-12))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x / norm)).withColumn("r", F.monotonically_increasing_id()).localCheckpoint()
+    sums = rows.select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.avg("x").alias("x"))
+    middle = sums.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+    length = F.greatest(F.sqrt(_dot(F.col("m"), F.col("m"))), F.lit(1e-12))
+    seen = middle.select("g", F.array(F.transform("m", lambda x: x / length)).alias("vs"), F.array().cast("array<long>").alias("rs"), F.array().cast("array<long>").alias("ks"))
+    for step in range(most):
+        seen = seen.localCheckpoint()
+        near = rows.join(F.broadcast(seen.withColumnRenamed("g", "_g")), F.col("g").eqNullSafe(F.col("_g")))
+        near = near.where(~F.array_contains("rs", F.col("r"))).select("g", "k", "r", "v", F.array_max(F.transform("vs", lambda c: F.round(_dot(F.col("v"), c), 9))).alias("s"))
+        new = near.groupBy("g").agg(F.min(F.struct("s", "k", "r", "v")).alias("n")).withColumnRenamed("g", "_g")
+        had = seen.join(F.broadcast(new), F.col("g").eqNullSafe(F.col("_g")), "left")
+        taken = F.col("n").isNotNull()
+        vs = F.array(F.col("n.v")) if step == 0 else F.concat("vs", F.array(F.col("n.v")))  # the centroid only chooses the first
+        seen = had.select("g", F.when(taken, vs).otherwise(F.col("vs")).alias("vs"), *[F.when(taken, F.concat(c, F.array(f"n.{c[0]}"))).otherwise(F.col(c)).alias(c) for c in ("rs", "ks")])
+    return seen.select(F.col("g").alias(group), F.posexplode("ks").alias("step", key)).select(group, key, (F.col("step") + 1).cast("long").alias("step"))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -210,6 +210,14 @@ def test_farthest_points(spark):
         assert [x.id for x in sorted((x for x in got if x.grp == g), key=lambda x: x.step)] == [mine[k][0] for k in at]
 
 
+def test_farthest_points_of_large_groups(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(9000, 4))
+    rows = [(i, 7, v.tolist()) for i, v in enumerate(x)]
+    got = learn.farthest_points(vectors_table(spark, rows), "grp", "id", "v", 10).orderBy("step").collect()
+    assert [g.id for g in got] == learn._spread(x, np.arange(9000), 10)
+
+
 def test_choose_blend(spark):
     df = spark.createDataFrame([(0.0, 0.5, 0.8, 0.9, 0.6), (0.1, 0.6, 0.7, 0.9, 0.7), (0.2, 0.6, 0.8, 0.9, 0.6)], "weight double, top_1 double, recall_at_5 double, recall_at_10 double, mrr double")
     assert learn.choose_blend(df).first().weight == 0.2
