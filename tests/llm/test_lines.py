@@ -131,3 +131,8 @@ def test_passages_of_50_to_80_words(spark):
         lost.append(1 - len(set(p) & set(second.split())) / len(p))
         assert i % 2 or lost[-1] == 1
     assert min(lost) > 0 and sum(lost[1::2]) > 0.5 * len(lost[1::2])
+
+
+def test_tab_separated_words_count():
+    text = "\n".join("\t".join(f"w{i}x{j}" for j in range(10)) for i in range(2))
+    assert any(lines.eligible(c) for _, _, c in lines.chunks(text)) and len(lines.Cut(text).listed()[0]) > 0
