@@ -10,6 +10,8 @@ from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.storage import written
+
 # Fixed values.
 RIDGE, MOST_WEIGHT, BLENDS = 0.05, 8.0, (0.0, 0.02, 0.05, 0.08, 0.10, 0.15, 0.20)
 
@@ -71,21 +73,22 @@ def farthest_points(rows: DataFrame, group: str, key: str, vector: str, most: in
     """group, key, step of the rows chosen in each group: exact at every size.
 
     The choice is sequential over steps, not over rows: each step compares all rows with those chosen so far, which are
-    broadcast, and takes the row of the smallest nearest similarity as an aggregate. At most `most` rows a group are chosen.
+    joined by group, and takes the row of the smallest nearest similarity as an aggregate. At most `most` rows a group are chosen.
     """
     rows = rows.select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("k"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
     norm = F.greatest(F.sqrt(_dot(F.col("v"), F.col("v"))), F.lit(1e-12))
-    rows = rows.withColumn("v", F.transform("v", lambda x: x / norm)).withColumn("r", F.monotonically_increasing_id()).localCheckpoint()
+    rows = rows.withColumn("v", F.transform("v", lambda x: x / norm)).withColumn("r", F.monotonically_increasing_id())
+    rows = written(rows)
     sums = rows.select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.avg("x").alias("x"))
     middle = sums.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
     length = F.greatest(F.sqrt(_dot(F.col("m"), F.col("m"))), F.lit(1e-12))
     seen = middle.select("g", F.array(F.transform("m", lambda x: x / length)).alias("vs"), F.array().cast("array<long>").alias("rs"), F.array().cast("array<long>").alias("ks"))
     for step in range(most):
-        seen = seen.localCheckpoint()
-        near = rows.join(F.broadcast(seen.withColumnRenamed("g", "_g")), F.col("g").eqNullSafe(F.col("_g")))
+        seen = written(seen)  # one row a group
+        near = rows.join(seen.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g")))
         near = near.where(~F.array_contains("rs", F.col("r"))).select("g", "k", "r", "v", F.array_max(F.transform("vs", lambda c: F.round(_dot(F.col("v"), c), 9))).alias("s"))
         new = near.groupBy("g").agg(F.min(F.struct("s", "k", "r", "v")).alias("n")).withColumnRenamed("g", "_g")
-        had = seen.join(F.broadcast(new), F.col("g").eqNullSafe(F.col("_g")), "left")
+        had = seen.join(new, F.col("g").eqNullSafe(F.col("_g")), "left")
         taken = F.col("n").isNotNull()
         vs = F.array(F.col("n.v")) if step == 0 else F.concat("vs", F.array(F.col("n.v")))  # the centroid only chooses the first
         seen = had.select("g", F.when(taken, vs).otherwise(F.col("vs")).alias("vs"), *[F.when(taken, F.concat(c, F.array(f"n.{c[0]}"))).otherwise(F.col(c)).alias(c) for c in ("rs", "ks")])
