@@ -34,8 +34,8 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    ratio = rules.ratios(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), "text")
+    trusted = rules.trusted_ids(table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
+    ratio = rules.ratios(docs, "doc_id", "text", trusted)
     return rules.judge(docs, "doc_id", "text", ratio)
 
 

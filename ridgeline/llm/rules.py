@@ -2,24 +2,27 @@
 
 Every byte n-gram of a text falls into one of BUCKETS classes. Two multinomials over these, one of the whole corpus and
 one of its trusted part, smoothed towards the corpus, give each class a log-likelihood ratio. A text's score is the mean
-over its n-grams, so that length has no say, and it is kept if the score reaches a fixed threshold. No text is sampled.
+over its n-grams, so that length has no say, and it is kept if the score reaches a fixed threshold. The corpus counts
+cover all texts; the trusted ones cover the whole texts of a bounded sample of labelled rows.
 
 Null text: no words, which fails the base rules. Empty text likewise. Very long texts: counted whole. Repeated rows:
 each counted in the multinomials and each judged. Ties: a score at the threshold is kept. Columns besides those named
 are dropped, so their names can't clash. Empty table: empty result. No trusted text: all ratios are 0, and the base
-rules alone decide.
+rules alone decide. Rows without a key: counted in the corpus and judged, never trusted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import map_rows
 
 ORDER, BUCKETS = 4, 1 << 16
+#: Bound of the sample of labelled rows: documents that the trusted multinomial counts. The corpus's counts all.
+TRUSTED = 20_000
 #: Weight of the corpus in the trusted multinomial, as a count of n-grams.
 PRIOR = 20_000.0
 #: Least mean ratio of a text that is kept.
@@ -61,25 +64,40 @@ def base(raw: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len({*lines}), repeated
 
 
-def count(df: DataFrame, text: str) -> DataFrame:
-    """bucket, n: how many n-grams of all texts fall into each class. A task sums its own before they are shuffled."""
+def trusted_ids(labels: DataFrame, key: str, good: Column, bound: int = TRUSTED) -> np.ndarray:
+    """The sorted ids of at most `bound` trusted documents, those of least hash, so that any input gives as many."""
+    known = labels.where(good & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct()
+    return np.sort(known.orderBy(F.xxhash64("id"), "id").limit(bound).toPandas()["id"].to_numpy(np.int64))
+
+
+def count(df: DataFrame, key: str, text: str, trusted: np.ndarray) -> DataFrame:
+    """bucket, n, t: how many n-grams of all texts, and of trusted ones, fall into each class.
+
+    One reading of the texts, which stay where they are: ids of trusted documents are broadcast (8 bytes each, TRUSTED at
+    most), and a task sums its own counts before they are shuffled.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(trusted)
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        raw, some = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total += np.bincount(hashed((t or "").encode("utf-8", "surrogatepass")), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = np.bincount(hashed((t or "").encode("utf-8", "surrogatepass")), minlength=BUCKETS)
+                raw += n
+                if k is not None and (at := np.searchsorted(shared.value, k)) < len(shared.value) and shared.value[at] == k:
+                    some += n
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(some[at])], names=["bucket", "n", "t"])
 
-    return df.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    parts = df.select(F.col(key).cast("long"), text).mapInArrow(run, "bucket long, n long, t long")
+    return parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def ratios(raw: DataFrame, trusted: DataFrame, text: str) -> np.ndarray:
+def ratios(df: DataFrame, key: str, text: str, trusted: np.ndarray) -> np.ndarray:
     """The log-likelihood ratio of each class. The counts that come to the driver are BUCKETS rows at most."""
-    rows = count(raw, text).join(count(trusted, text).withColumnRenamed("n", "t"), "bucket", "left").toPandas()
+    rows = count(df, key, text, trusted).toPandas()
     q, t = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    q[rows["bucket"]], t[rows["bucket"]] = rows["n"], rows["t"].fillna(0)
+    q[rows["bucket"]], t[rows["bucket"]] = rows["n"], rows["t"]
     if not t.sum():
         return np.zeros(BUCKETS)
     q = (q + 0.5) / (q + 0.5).sum()
