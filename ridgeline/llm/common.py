@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.storage import shared_dir, written  # noqa: F401
 
 #: Rows are handed back to Spark once a batch holds about so many bytes.
 EMIT_BYTES = 4 << 20
@@ -18,21 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; one of its own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="ridgeline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+class Marks:
+    """A set of hashes as a bitmap that every task can hold: what was put in is found, little else is.
+
+    Its size follows the count of hashes, 32 bits for each, up to MOST bits (16 MB); beyond that more of what was not put
+    in is found too, which costs work and changes no result.
+    """
+
+    LEAST, MOST = 1 << 16, 1 << 27
 
+    def __init__(self, rows: DataFrame, hashed: Column) -> None:
+        wanted = 32 * max(1, rows.count())
+        self.bits = min(self.MOST, max(self.LEAST, 1 << (wanted - 1).bit_length()))
+        place = F.pmod(hashed, F.lit(self.bits)).cast("long")
+        words = rows.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("m")).toArrow()
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        self.words[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, from a Parquet table in the shared folder: lost executors cost no recomputation, and rows stay as first computed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the signed 64-bit hashes may be in the set."""
+        at = hashes.view(np.uint64) & np.uint64(self.bits - 1)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -6,14 +6,17 @@ are listed: what is known of one set is carried over to sets related to it.
 1. Equal sets: copies share one representative, found by partial minima, and only that goes on.
 2. Highly similar sets: under each of several min-hash keys every set is compared with the smallest and the largest id
    of its key. A verified link puts both into one component, so whatever either is linked with is settled for both.
-3. The rest, exactly: sets in a global order (n-grams that are frequent anywhere last, then by hash) are cut to their
-   prefix, which any two linked sets must share an n-gram of. Index lists are sorted by component and size: lists of one
-   component are skipped as a whole, blocks of a list whose sizes can't reach the threshold are skipped, and so is a
-   pair whose positions leave too little to share. Only pairs across components are compared. Lists of more than CELL
-   entries are dealt to pairs of blocks, so that no task holds such a list.
+3. The rest, exactly: both sets of a pair are cut into the same parts by hash, as many as follow from the smaller one's
+   size. If the whole sets reach the threshold, so do the two halves of at least one part (else no sum of them could).
+   The halves of such a part, in a global order (n-grams that are frequent anywhere last, then by hash), share one of
+   the first n-grams that are its prefix, and n-grams of prefixes make the index lists. Lists are sorted by size: those
+   of one component are skipped as a whole, blocks of a list whose sizes can't reach the threshold are skipped, and so
+   is a pair whose positions leave too little to share, or whose 64-bit sketches of odd and even counts differ more than
+   the halves of such a part may. So texts that share a passage and little else are no candidates. Only pairs across
+   components are. Lists of more than CELL entries, whether known beforehand or found so, are dealt to pairs of blocks.
 
 A candidate pair is first held against histograms of both sets, whose common part bounds the intersection from above;
-what is left is compared by whole sets. Hashes of 64 bits stand for n-grams, and their top 48 bits in that comparison.
+what is left is compared by whole sets. Scrambled 64-bit hashes stand for words and n-grams throughout.
 
 Null or empty text, or text without words: an empty set, linked with nothing. Texts of fewer words than n: their whole
 word sequence is their only element. Very long texts: whole. Rows without an id: their n_shingles, a null component.
@@ -30,40 +33,33 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_rows, mix64, written
+from ridgeline.llm.common import Marks, map_rows, mix64, written
 from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
 BANDS = 8
-#: Size of the bitmap of ids whose sets are asked for: 2 MB.
-BITS = 1 << 24
+#: Sets of up to WHOLE elements are one part; the parts of larger ones have PART elements on average, at most.
+WHOLE, PART = 256, 64
+#: 64-bit sketches of a whole set, of a part.
+WIDE, NARROW = 4, 1
 #: Entries of an index list beyond which it is dealt to pairs of blocks.
 CELL = 2048
 #: n-grams that at least so many sets of one task's buffer share count as frequent; the order keeps the most frequent
 #: HOT of them. Any order gives the same links, so this bounds memory, not results.
 OFTEN, BUFFER, HOT = 4, 1 << 21, 1 << 17
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_NONE = np.uint64((1 << 64) - 1)
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 SEGMENT = 1 << 20
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << n.bit_length()
-        for at, factor in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, factor, np.uint64)
-            x[0] = 1
-            _POWERS[at] = np.multiply.accumulate(x)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: One scrambled number for each byte at each of the first places of a word.
+_PLACES = 64
+_TABLE = mix64(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64))
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word: of its bytes as a polynomial, scrambled together with its length."""
+    """A hash of each word: the scrambled sum of one scrambled number for each of its bytes and places, and its length."""
     out, at = [], 0
     while at < len(raw):
         end = at + SEGMENT
@@ -71,13 +67,21 @@ def word_hashes(raw: bytes) -> np.ndarray:
             end += 1
         b = np.frombuffer(raw, np.uint8, min(end, len(raw)) - at, at)
         at = end
-        solid = ~_SPACE[b]
-        starts = np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
-        ends = np.flatnonzero(solid & ~np.r_[solid[1:], False]) + 1
-        up, down = _powers(len(b) + 1)
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        out.append(mix64((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        solid = np.zeros(len(b) + 2, bool)
+        np.logical_not(_SPACE[b], out=solid[1:-1])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        if not len(starts):
+            continue
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        letters = b[solid[1:-1]].astype(np.int64)
+        if sizes.max() <= _PLACES:
+            values = _TABLE[place * 256 + letters]
+        else:
+            values = mix64((place * 256 + letters + 1).view(np.uint64))
+        sums = np.add.reduceat(values, ends - sizes)
+        out.append(mix64(sums ^ sizes.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -98,9 +102,14 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def bands(x: np.ndarray, count: int = BANDS) -> list[int]:
-    """Keys of two min-hashes each."""
-    least = [int(mix64(x ^ _FACTORS[20 + i]).min()) for i in range(2 * count)]
-    return [(least[2 * i] * 3 + least[2 * i + 1] + i) % (1 << 63) for i in range(count)]
+    """Keys of two min-hashes each: the least element in each of 2 * count classes, for an empty class the least rehashed one."""
+    bins = 2 * count
+    least = np.full(bins, _NONE)
+    least[(x[::-1] % np.uint64(bins)).astype(np.int64)] = x[::-1]  # sorted, so the least is written last
+    for i in np.flatnonzero(least == _NONE).tolist():
+        least[i] = mix64(x ^ _FACTORS[20 + i]).min()
+    keys = mix64(least[::2] * np.uint64(3) + mix64(least[1::2]) + np.arange(count, dtype=np.uint64)) >> np.uint64(1)
+    return keys.tolist()
 
 
 def histogram(x: np.ndarray) -> bytes:
@@ -176,51 +185,35 @@ def hopeful(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(full.select("a", "b", "va", "vb"), "a long,b long", compare)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """The top 48 bits of sorted hashes."""
-    x = x >> np.uint64(16)
-    return (x >> np.uint64(16)).astype(np.uint32).tobytes() + (x & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(16) | np.frombuffer(raw, np.uint16, n, 4 * n)
-
-
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """The distinct pairs (a, b) of ids whose sets are linked.
 
-    A bitmap of fixed size tells which texts may be asked for, so that texts stay where they are and only sets travel;
-    the many pairs of one id stay apart.
+    A bitmap tells which texts may be asked for, so that texts stay where they are and only sets travel; the many pairs
+    of one id stay apart.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    place = F.pmod(F.xxhash64("id"), F.lit(BITS)).cast("long")
-    marks = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("m")).toPandas()
-    bitmap = np.zeros(BITS // 32, np.int64)
-    bitmap[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32))  # BITS / 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(Marks(ids, F.xxhash64("id")))
 
     def make():
-        bits = shared.value
+        marks = shared.value
 
         def step(batch, rows) -> None:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            asked = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1))
+            asked = np.flatnonzero(marks.has(batch.column(2).to_numpy(zero_copy_only=False)))
             for i in asked.tolist():
                 s = shingles(batch.column(1)[i].as_py(), words)
-                rows.add(batch.column(0)[i].as_py(), _pack(s), size=6 * len(s) + 16)
+                rows.add(batch.column(0)[i].as_py(), s.tobytes(), size=8 * len(s) + 16)
 
         return step
 
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
-    sets = written(map_rows(texts.select("id", "t", place.alias("p")), "id long,s binary", make))
+    sets = written(map_rows(texts.select("id", "t", F.xxhash64("id").alias("h")), "id long,s binary", make))
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
 
     def compare():
         def step(batch, rows) -> None:
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = _unpack(x), _unpack(y)
-                common = len(np.intersect1d(x, y))
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 if len(x) and 100 * common >= percent * (len(x) + len(y) - common):
                     rows.add(a, b, size=16)
 
@@ -229,75 +222,142 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     return map_rows(full.select("a", "b", "sa", "sb"), "a long,b long", compare).distinct()
 
 
+def least_partner(n: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """The size of the smallest set that a set of n elements may be linked with."""
+    return -(-percent * n // 100)
+
+
+def level(n: int) -> int:
+    """0 for sets that are one part, else k for those of 4^(k + 1) parts."""
+    out = 0
+    while n > WHOLE << 2 * out:
+        out += 1
+    return out
+
+
+def parted(s: np.ndarray, count: np.ndarray | None, k: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of a sorted set at a level: their sizes and sketches, and their prefixes, one after the other, with counts.
+
+    A sketch has a bit for each of 64 classes: whether the part has an odd number of elements in it. That of a whole set
+    has WIDE such words.
+    """
+    bits = 2 * k + 2 if k else 0
+    part = (s >> np.uint64(64 - bits)).astype(np.int64) if k else np.zeros(len(s), np.int64)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    sizes = np.diff(np.r_[starts, len(s)])
+    bit = np.uint64(1) << (s >> np.uint64(7) & np.uint64(63))
+    if k:
+        sketches = np.bitwise_xor.reduceat(bit, starts)
+    else:
+        word = s >> np.uint64(13) & np.uint64(WIDE - 1)
+        sketches = np.array([np.bitwise_xor.reduce(bit[word == w], initial=np.uint64(0)) for w in range(WIDE)], np.uint64)
+    if count is not None:
+        order = np.lexsort((count, part))  # within a part by count, then by hash
+        s, count = s[order], count[order]
+    place = np.arange(len(s)) - np.repeat(starts, sizes)
+    first = place < np.repeat(prefix(sizes, percent), sizes)
+    return sizes, sketches, s[first], count[first] if count is not None else np.zeros(0, np.int64)
+
+
+def prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Any two sets that reach the threshold share one of so many of their first elements."""
+    return sizes - least_partner(sizes, percent) + 1
+
+
 def prefixes(docs: DataFrame, key: str, text: str, shared, words: int, percent: int) -> DataFrame:
-    """id, n and the packed prefix of each text's set: its n-grams in the global order, then how frequent each is."""
+    """id, n, level, whether that is the level of its own size, and the packed parts of each text's set."""
 
     def make():
         tokens, counts = shared.value
 
         def step(batch, rows) -> None:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(t, words)
                 n = len(s)
                 if not n:
                     continue
-                count = np.zeros(n, np.int64)
+                count = None
                 if len(tokens):
                     place = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    count = np.where(tokens[place] == s, counts[place], 0)
-                    order = np.argsort(count, kind="stable")
-                    s, count = s[order], count[order]
-                m = n - -(-percent * n // 100) + 1
-                rows.add(k, n, s[:m].tobytes(), count[:m].astype(np.uint32).tobytes() if count[m - 1] else b"", size=12 * m + 16)
+                    hot = tokens[place] == s
+                    count = np.where(hot, counts[place], 0) if hot.any() else None
+                for k in range(level(int(least_partner(n, percent))), level(n) + 1):
+                    sizes, sketches, some, often = parted(s, count, k, percent)
+                    rows.add(key, n, k, k == level(n), some.tobytes(), often.astype(np.uint32).tobytes(), sizes.astype(np.uint16).tobytes(), sketches.tobytes(), size=12 * len(some) + 32)
 
         return step
 
-    return map_rows(docs.select(F.col(key).cast("long").alias("id"), text).where("id IS NOT NULL"), "id long,n long,tokens binary,counts binary", make)
+    return map_rows(docs.select(F.col(key).cast("long").alias("id"), text).where("id IS NOT NULL"), "id long,n long,level int,own boolean,tokens binary,counts binary,sizes binary,sketches binary", make)
 
 
-def _deal(parts: int):
-    """Prefixes with components (id, c, n, tokens, counts) to rows of (part, packed entries). An entry: token, id, component, size, position, side."""
+#: What an entry's pairs are: any two, those of one block, or those of two blocks, one of each.
+PLAIN, FIRST, SECOND, BLOCK = 0, 1, 2, 3
+
+
+def cells(tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of long lists, dealt to each pair of blocks that the block of their id is one of: which entry, its token there, its side."""
+    blocks = -(-lengths // cell)
+    mine = (mix64(ids.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+    which = np.repeat(np.arange(len(ids)), blocks)
+    other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own, many = mine[which], blocks[which]
+    pair = np.minimum(own, other) * many + np.maximum(own, other) + 1
+    side = np.where(own == other, BLOCK, np.where(own < other, FIRST, SECOND))
+    return which, mix64(tokens[which] ^ pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), side.astype(np.uint8)
+
+
+def dealt(entries: list[np.ndarray], parts: int):
+    """Batches of (part, packed entries): the first 64 bits of an entry choose its part, its packed token is the last 48 of them."""
+    part = (entries[0] >> np.uint64(20)) % np.uint64(parts) * np.uint64(2) + np.uint64(len(entries) == 7 + WIDE)
+    entries = [entries[0].astype(np.uint32), (entries[0] >> np.uint64(32)).astype(np.uint16), *entries[1:]]
+    order = np.argsort(part, kind="stable")
+    part, entries = part[order], [c[order] for c in entries]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    for at in range(0, len(cuts) - 1, 16):
+        some = list(zip(cuts[at : at + 16], cuts[at + 1 : at + 17]))
+        yield [int(part[a]) for a, _ in some], [b"".join(_bytes(c[a:b]) for c in entries) for a, b in some]
+
+
+def _deal(parts: int, percent: int, cell: int):
+    """Packed parts with components to rows of (part, packed entries).
+
+    An entry: token, id, component less id, size of its set, size of its part, position there, side and whether at its own
+    level, sketch. Those of whole sets have longer sketches and go to odd parts, the others to even ones.
+    """
 
     def run(batches):
-        kept, size = [], 0
+        kept, size = {WIDE: [], NARROW: []}, 0
 
         def emit():
-            columns = [np.concatenate(x) for x in zip(*kept)]
-            kept.clear()
-            part = (columns[0] >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            part, columns = part[order], [c[order] for c in columns]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-            for at in range(0, len(cuts) - 1, 16):
-                some = [(a, b) for a, b in zip(cuts[at : at + 16], cuts[at + 1 : at + 17])]
-                packed = [b"".join(_bytes(c[a:b]) for c in columns) for a, b in some]
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in some], pa.int64()), pa.array(packed, pa.binary())], names=["part", "entries"])
+            for some in kept.values():
+                columns = [np.concatenate(x) for x in zip(*some)]
+                some.clear()
+                for part, packed in dealt(columns, parts) if columns else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary())], names=["part", "entries"])
 
         for batch in batches:
-            for k, c, n, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                s = np.frombuffer(tokens, np.uint64)
+            for key, c, n, k, own, tokens, counts, sizes, sketches in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                s, sizes = np.frombuffer(tokens, np.uint64), np.frombuffer(sizes, np.uint16)
+                long = prefix(sizes.astype(np.int64), percent)
+                of = np.repeat(np.arange(len(sizes)), long)
+                position = (np.arange(len(s)) - np.repeat(np.cumsum(long) - long, long)).astype(np.uint16)
+                s = mix64(s + np.uint64(k))
+                side = np.full(len(s), PLAIN, np.uint8)
+                count = np.frombuffer(counts, np.uint32).astype(np.int64)
+                if len(count) and (big := count > cell).any():
+                    which, token, more = cells(s[big], np.full(int(big.sum()), key, np.int64), count[big], cell)
+                    which = np.flatnonzero(big)[which]
+                    s, side = np.concatenate([s[~big], token]), np.concatenate([side[~big], more])
+                    of, position = (np.concatenate([x[~big], x[which]]) for x in (of, position))
                 m = len(s)
-                position, side = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-                count = np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.zeros(m, np.int64)
-                big = count > CELL
-                if big.any():  # to each pair of blocks that this id's block is one of
-                    more = []
-                    for token, of, pos in zip(s[big].tolist(), count[big].tolist(), position[big].tolist()):
-                        blocks = -(-of // CELL)
-                        mine = int(mix64(np.array([k], np.int64).view(np.uint64))[0] % np.uint64(blocks))
-                        for other in range(blocks):
-                            cell = min(mine, other) * blocks + max(mine, other)
-                            more.append((token ^ (cell + 1) * 0x9E3779B97F4A7C15 % (1 << 64), pos, 0 if mine == other else 1 if mine < other else 2))
-                    extra = [np.array(x, t) for x, t in zip(zip(*more), (np.uint64, np.int32, np.uint8))]
-                    extra[0] = mix64(extra[0])
-                    s, position, side = (np.concatenate([a[~big], b]) for a, b in zip((s, position, side), extra))
-                kept.append((s, np.full(len(s), k, np.int64), np.full(len(s), c - k, np.int64), np.full(len(s), n, np.int32), position, side))
-                size += len(s)
+                sketch = np.frombuffer(sketches, np.uint64)
+                sketch = [sketch[of]] if k else [np.full(m, x) for x in sketch]
+                kept[len(sketch)].append((s, np.full(m, key, np.int64), np.full(m, c - key, np.int64), np.full(m, n, np.int32), sizes[of], position, side | np.uint8(4 * own), *sketch))
+                size += m
                 if size >= BUFFER // 2:
                     yield from emit()
                     size = 0
-        if kept:
-            yield from emit()
+        yield from emit()
 
     return run
 
@@ -307,39 +367,57 @@ def _bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-_ENTRY = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8)
+_ENTRY = (np.uint32, np.uint16, np.int64, np.int64, np.int32, np.uint16, np.uint16, np.uint8, np.uint64)
 
 
-def unpack(chunks: list[bytes]) -> list[np.ndarray]:
-    columns: list[list[np.ndarray]] = [[] for _ in _ENTRY]
-    width = sum(np.dtype(t).itemsize for t in _ENTRY)
+def unpack(chunks: list[bytes], words: int) -> list[np.ndarray]:
+    kinds = [*_ENTRY[:-1], *_ENTRY[-1:] * words]
+    columns: list[list[np.ndarray]] = [[] for _ in kinds]
+    width = sum(np.dtype(t).itemsize for t in kinds)
     for raw in chunks:
         n, at = len(raw) // width, 0
-        for column, kind in zip(columns, _ENTRY):
+        for column, kind in zip(columns, kinds):
             size = np.dtype(kind).itemsize
             column.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
             at += n * size
-    out = [np.concatenate(c) for c in columns]
-    out[2] = out[2] + out[1]
-    return out
+    low, high, *rest = [np.concatenate(c) for c in columns]
+    return [low + (high.astype(np.uint64) << np.uint64(32)), *rest]
+
 
+def candidates(entries: list[np.ndarray], percent: int, cell: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct pairs of ids in different components that share a list and may reach the threshold in its part.
 
-def candidates(entries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of ids in different components that share a list and may reach the threshold."""
+    Third, the entries of lists that are too long to be compared here, dealt to pairs of blocks.
+    """
     order = np.lexsort((entries[3], entries[0]))
-    token, ids, comps, sizes, positions, sides = (c[order] for c in entries)
-    sizes, positions = sizes.astype(np.int64), positions.astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    ends = np.r_[starts[1:], len(token)]
-    if len(token):  # a list of one component is skipped
-        several = np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)
-        starts, ends = starts[several], ends[several]
+    entries = [c[order] for c in entries]
+    token, ids, comps, sizes, parts, positions, flags, *sketches = entries
+    comps, sides, own = comps + ids, flags & 3, flags >= 4
+    sizes, parts, positions = (x.astype(np.int64) for x in (sizes, parts, positions))
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+    ends = np.r_[starts[1:], len(token)][: len(starts)]
+    if len(token):  # a list of one component is skipped, and so is one of guests only
+        useful = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & np.maximum.reduceat(own, starts)
+        starts, ends = starts[useful], ends[useful]
+    long = (ends - starts > 4 * cell) & (sides[starts] == PLAIN)
+    later = [c[:0] for c in entries]
+    if long.any():
+        at = np.concatenate([np.arange(a, b) for a, b in zip(starts[long], ends[long])])
+        which, keys, more = cells(token[at], ids[at], np.repeat(ends[long] - starts[long], ends[long] - starts[long]), cell)
+        later = [c[at][which] for c in entries]
+        later[0], later[6] = keys, more | later[6] & np.uint8(4)
+    starts, ends = starts[~long], ends[~long]
     found: list[np.ndarray] = []
 
     def test(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (comps[i] != comps[j]) & ((sides[i] + sides[j] == 3) | (sides[i] + sides[j] == 0))
-        most = 1 + np.minimum(sizes[i] - positions[i] - 1, sizes[j] - positions[j] - 1)
-        ok &= enough(most, sizes[i], sizes[j], percent)
+        both = sides[i] + sides[j]
+        ok = (comps[i] != comps[j]) & (own[i] | own[j]) & ((both == 2 * PLAIN) | (both == 2 * BLOCK) | (both == FIRST + SECOND) & (sides[i] != sides[j]))
+        i, j = i[ok], j[ok]
+        most = np.minimum(parts[i] - positions[i], parts[j] - positions[j])
+        ok = enough(most, parts[i], parts[j], percent) & enough(np.minimum(sizes[i], sizes[j]), sizes[i], sizes[j], percent)
+        i, j = i[ok], j[ok]
+        apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in sketches)  # at most as many as are in one of both parts
+        ok = (100 + percent) * apart <= (100 - percent) * (parts[i] + parts[j])
         if ok.any():
             x, y = ids[i[ok]], ids[j[ok]]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
@@ -348,7 +426,7 @@ def candidates(entries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
 
     pairs = ends - starts == 2
     test(starts[pairs], starts[pairs] + 1)
-    least = -(-percent * sizes // 100)
+    least = least_partner(sizes, percent)
     for a, b in zip(starts[~pairs].tolist(), ends[~pairs].tolist()):
         first = a + np.searchsorted(sizes[a:b], least[a:b])  # smaller sets can't reach the threshold
         for at in range(a + 1, b, 256):
@@ -358,21 +436,29 @@ def candidates(entries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
             if len(i):
                 test(i, np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[at - a : to - a], width))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), later
     both = np.unique(np.concatenate(found), axis=0)
-    return both[:, 0], both[:, 1]
+    return both[:, 0], both[:, 1], later
+
 
+def _lists(percent: int, parts: int, cell: int):
+    """Packed entries to rows of pairs (a, b), and of packed entries (part, entries) of lists that were too long."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int64()), ("entries", pa.binary())])
 
-def _lists(percent: int):
     def run(batches):
         chunks: dict[int, list[bytes]] = {}
         for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist()):
                 chunks.setdefault(part, []).append(raw)
         for part in list(chunks):
-            a, b = candidates(unpack(chunks.pop(part)), percent)
+            a, b, later = candidates(unpack(chunks.pop(part), WIDE if part % 2 else NARROW), percent, cell)
             for at in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
+                some = a[at : at + 100_000], b[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, some), pa.nulls(len(some[0]), pa.int64()), pa.nulls(len(some[0]), pa.binary())], schema=schema)
+            for at in range(0, len(later[0]), BUFFER // 2):
+                for where, packed in dealt([c[at : at + BUFFER // 2] for c in later], parts):
+                    none = pa.nulls(len(where), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(where, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
 
     return run
 
@@ -401,9 +487,12 @@ def join(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int
     shared = spark.sparkContext.broadcast((hot_tokens[by], often["n"].to_numpy(np.int64)[by]))  # at most HOT entries, 2 MB
     nodes = sets.select(F.col("rep").alias("v")).distinct().join(near, "v", "left").select("v", F.coalesce("c", "v").alias("c"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labelled = prefixes(docs, key, text, shared, words, percent).join(nodes, F.col("id") == F.col("v")).select("id", "c", "n", "tokens", "counts")
-    packed = labelled.mapInArrow(_deal(4 * tasks), "part long, entries binary")
-    across = packed.repartition(tasks, "part").mapInArrow(_lists(percent), "a long, b long").distinct()
+    labelled = prefixes(docs, key, text, shared, words, percent).join(nodes, F.col("id") == F.col("v")).select("id", "c", "n", "level", "own", "tokens", "counts", "sizes", "sketches")
+    packed = labelled.mapInArrow(_deal(4 * tasks, percent, CELL), "part long, entries binary")
+    listed = "a long, b long, part long, entries binary"
+    once = written(packed.repartition(tasks, "part").mapInArrow(_lists(percent, 4 * tasks, CELL), listed))
+    again = once.where("part IS NOT NULL").select("part", "entries").repartition(tasks, "part").mapInArrow(_lists(percent, 4 * tasks, CELL), listed)
+    across = once.where("part IS NULL").select("a", "b").unionByName(again.select("a", "b")).distinct()
     links = verified(written(hopeful(across, sets, percent)), docs, key, text, words, percent)
     # Texts of one id hang together, whichever representatives they have.
     full = rows.where("n > 0 AND id IS NOT NULL").select("id", "x", "y", "n")

@@ -94,6 +94,57 @@ def test_small_cells_and_frequent_order(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def test_long_lists_that_no_count_foretold(spark, monkeypatch):
+    """Lists found too long where they are gathered are dealt again: no n-gram counts as frequent here."""
+    for name, value in (("CELL", 2), ("OFTEN", 10**9), ("BANDS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "bands", lambda x, count=0: [int(x[0]) >> 1])
+    rows = make(random.Random(9), 100, 200)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_words_and_counts_of_long_texts(spark):
+    """Sets of several levels, whose parts differ in number, and words of more than 64 bytes."""
+    rnd = random.Random(4)
+    rows = []
+    for k, size in enumerate([60, 66, 68, 72, 250, 260, 300, 1020, 1100, 1300, 4200, 5200]):
+        w = [f"{'x' * rnd.randint(1, 100)}{rnd.randint(0, 10**6)}" for _ in range(size)]
+        for j, share in enumerate([0, 0.005, 0.02, 0.04, 0.06, 0.1]):
+            v = list(w)
+            for _ in range(int(share * size)):
+                v[rnd.randrange(size)] = f"new{rnd.random()}"
+            rows.append((100 * k + j, " ".join(v[: int(size * rnd.choice([1, 1, 0.97, 0.8]))])))
+    assert got(spark, rows) == brute(rows)
+
+
+def test_parts_keep_every_link():
+    """Whenever whole sets reach the threshold, some part does, and its sketches and prefixes say so."""
+    rnd = np.random.default_rng(5)
+    for n in (3, 200, 256, 300, 1000, 1025, 5000):
+        a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        b = np.unique(np.r_[a[rnd.random(len(a)) < 0.9], rnd.integers(0, 2**63, n // 20).astype(np.uint64)])
+        common = len(np.intersect1d(a, b))
+        if 100 * common < 75 * (len(a) + len(b) - common):
+            continue
+        k = jaccard.level(min(len(a), len(b)))
+        assert jaccard.level(int(jaccard.least_partner(max(len(a), len(b)), 75))) <= k
+        of = [(x >> np.uint64(64 - 2 * k - 2)).astype(int) if k else np.zeros(len(x), int) for x in (a, b)]
+        (m, sa, fa, _), (o, sb, fb, _) = (jaccard.parted(x, None, k, 75) for x in (a, b))
+        assert m.sum() == len(a) and len(fa) == jaccard.prefix(m, 75).sum() and len(sa) == (len(m) if k else jaccard.WIDE)
+        good = 0
+        for p, q in [(p, np.flatnonzero(np.unique(of[1]) == part)) for p, part in enumerate(np.unique(of[0]).tolist())]:
+            if not len(q):
+                continue
+            q = int(q[0])
+            apart = np.bitwise_count(sa[p] ^ sb[q]) if k else np.bitwise_count(sa ^ sb).sum()
+            u, v = (x[np.repeat(np.arange(len(z)), z) == w] for x, z, w in ((a, m, p), (b, o, q)))
+            shared = len(np.intersect1d(u, v))
+            if 100 * shared >= 75 * (len(u) + len(v) - shared):
+                good += 1
+                assert 175 * int(apart) <= 25 * (len(u) + len(v)) and np.isin(fa, v).any()
+        assert good
+
+
 def test_chain_that_min_hash_misses(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "bands", lambda x, count=0: [int(x[0]) >> 1])
     words = [f"u{i}" for i in range(90)]
