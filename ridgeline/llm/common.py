@@ -102,3 +102,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(32))
+
+
+#: One scrambled number for each byte at each of the first places of a word.
+_PLACES = 64
+_TABLE = mix64(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64))
+
+
+def hash_words(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word from the bytes of all words and their sizes: the scrambled sum of a scrambled number for each byte and its place, and the size."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    place *= 256
+    place += letters
+    values = _TABLE[place] if sizes.max() <= _PLACES else mix64((place + 1).view(np.uint64))
+    return mix64(np.add.reduceat(values, ends - sizes) ^ sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings of a column, null as empty, and the offsets where each starts and the last ends."""
+    column = column.fill_null("") if column.null_count else column
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, where, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(where, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
+    bytes_ = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return bytes_, offsets - offsets[0]

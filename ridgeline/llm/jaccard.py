@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Marks, map_rows, mix64, written
+from ridgeline.llm.common import Marks, hash_words, map_rows, mix64, written
 from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -53,13 +53,10 @@ _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 SEGMENT = 1 << 20
-#: One scrambled number for each byte at each of the first places of a word.
-_PLACES = 64
-_TABLE = mix64(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64))
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word: the scrambled sum of one scrambled number for each of its bytes and places, and its length."""
+    """A hash of each word, in segments of bounded size."""
     out, at = [], 0
     while at < len(raw):
         end = at + SEGMENT
@@ -73,15 +70,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
         starts, sizes = edges[::2], edges[1::2] - edges[::2]
         if not len(starts):
             continue
-        ends = np.cumsum(sizes)
-        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        letters = b[solid[1:-1]].astype(np.int64)
-        if sizes.max() <= _PLACES:
-            values = _TABLE[place * 256 + letters]
-        else:
-            values = mix64((place * 256 + letters + 1).view(np.uint64))
-        sums = np.add.reduceat(values, ends - sizes)
-        out.append(mix64(sums ^ sizes.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        out.append(hash_words(b[solid[1:-1]], sizes))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -488,10 +477,10 @@ def join(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int
     nodes = sets.select(F.col("rep").alias("v")).distinct().join(near, "v", "left").select("v", F.coalesce("c", "v").alias("c"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     labelled = prefixes(docs, key, text, shared, words, percent).join(nodes, F.col("id") == F.col("v")).select("id", "c", "n", "level", "own", "tokens", "counts", "sizes", "sketches")
-    packed = labelled.mapInArrow(_deal(4 * tasks, percent, CELL), "part long, entries binary")
+    packed = labelled.mapInArrow(_deal(2 * tasks, percent, CELL), "part long, entries binary")
     listed = "a long, b long, part long, entries binary"
-    once = written(packed.repartition(tasks, "part").mapInArrow(_lists(percent, 4 * tasks, CELL), listed))
-    again = once.where("part IS NOT NULL").select("part", "entries").repartition(tasks, "part").mapInArrow(_lists(percent, 4 * tasks, CELL), listed)
+    once = written(packed.repartition(tasks, "part").mapInArrow(_lists(percent, 2 * tasks, CELL), listed))
+    again = once.where("part IS NOT NULL").select("part", "entries").repartition(tasks, "part").mapInArrow(_lists(percent, 2 * tasks, CELL), listed)
     across = once.where("part IS NULL").select("a", "b").unionByName(again.select("a", "b")).distinct()
     links = verified(written(hopeful(across, sets, percent)), docs, key, text, words, percent)
     # Texts of one id hang together, whichever representatives they have.

@@ -1,252 +1,375 @@
 """Line dedup by content-defined chunks of lines.
 
-A text is cut into lines, also at sentence ends, and each line of more than LONG_LINE words also where a hash of two
-neighbouring words says so, which depends on the words around that place only. Each chunk is looked up twice: with the
-words after it and with those before it, up to a window of LEAST_LINES lines and LEAST_WORDS words, or of LONG_WORDS
-words. A chunk whose window occurs again anywhere with the same side, in other documents or its own, is removed
-everywhere but at its first place (smallest id, then position in the text), after the words of the window and their line
-ends have been compared with those of that place. So a passage of 2 * LONG_WORDS words goes whichever its lines are,
-but for the parts of chunks at its two ends. What surrounds it stays, and so do line ends.
-
-Null, empty and wordless texts stay as they are. Very long texts: chunked whole. Rows without an id stay as they are and
-count for nothing. Repeated rows and several texts of one id: one document for the order of places, so a chunk at its
-first place stays in all of them. Ties: none, as places are distinct. Other columns pass through; they may have any
-names but those of the two counts. An empty table gives an empty result.
+A text is words, and lines of words: a line ends with a line end or a sentence. A rolling hash runs over the hashed words
+and line ends of every stretch of CHUNK words. Where it is the least of NEAR neighbouring places, line starts before all
+others, a chunk begins: that depends on the stretch and its neighbours only, so shifted text has the same chunks, and any
+passage of CHUNK + NEAR - 1 words holds a whole one. Chunks whose hash occurs again anywhere, in other documents or
+their own, are compared byte by byte with the first of them (smallest id, then text hash, then place). Equal ones are
+removed but for that first, together with the words before and after that equal those around the first one, up to the
+next chunk that doesn't repeat. So a repeated passage goes as a whole, whichever its lines are; what surrounds it stays,
+and so do line ends. Every word that goes stays at an earlier place.
+
+Null, empty and wordless texts, and texts of fewer than CHUNK words, stay as they are. Very long texts: whole. Rows
+without an id stay as they are and count for nothing. Repeated rows are one document; different texts of one id are
+different ones. Ties: places are distinct; of equal hashes in a repetitive text the first begins a chunk. Other columns
+pass through; they may have any names but n_removed and left_share. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import cached_property, lru_cache
+from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import map_rows, mix64, small_batches, written
+from ridgeline.llm.common import Marks, hash_words, mix64, small_batches, utf8, written
 
-LEAST_LINES, LEAST_WORDS, LONG_WORDS, LONG_LINE, MOST_WORDS = 2, 10, 25, 12, 64
-#: A place in a long line ends a chunk once in so many words.
-SPARSE = 8
-FACTOR, CHARS, WORDS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
-#: Size of each bitmap of first places: 2 MB.
-BITS = 1 << 24
-SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
-STOP = np.array([chr(c) in ".!?" for c in range(128)])
-#: Parts a chunk from the words after it, or from those before it. Words are joined by spaces and line ends only.
-AFTER, BEFORE = "\f", "\v"
+CHUNK, NEAR = 20, 24
+#: Hashes with more copies than one in so many places are hot, so there are at most so many; their first chunks are broadcast.
+HOT = 1 << 14
+FACTOR, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+TOP, NONE = np.uint64(1 << 63), np.uint64((1 << 64) - 1)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+STOP = np.zeros(256, bool)
+STOP[list(b".!?")] = True
+BLANK = b"\t\n\v\f\r "
 
 
-MIXED = mix64(np.arange(1, len(SPACE) + 1, dtype=np.uint64))
-
-
-def mixed(points: np.ndarray) -> np.ndarray:
-    out = MIXED.take(points, mode="clip")
-    if len(far := np.flatnonzero(points >= len(MIXED))):
-        out[far] = mix64(points[far].astype(np.uint64) + np.uint64(1))
-    return out
-
-
-@lru_cache(64)
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(8)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number and of its inverse, from 0 to size - 1, by 64 bits."""
-    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
 
 
-NONE = np.zeros(1, np.uint64)
-
-
-def changes(space: np.ndarray) -> np.ndarray:
-    """Where words start and end, in turn."""
-    edge = np.ones(len(space) + 2, bool)
-    edge[1:-1] = space
-    return np.flatnonzero(edge[1:] != edge[:-1])
+def sliding(x: np.ndarray, pick) -> np.ndarray:
+    """The least (or greatest) of each NEAR neighbours."""
+    width = 1
+    while 2 * width <= NEAR:
+        x, width = pick(x[:-width], x[width:]), 2 * width
+    rest = NEAR - width
+    return pick(x[:-rest], x[rest:]) if rest else x
 
 
 class Cut:
-    """A text's words, the lines that they start, its chunks of words, and the window of each chunk and side."""
-
-    def __init__(self, text: str | None) -> None:
-        self.text = text or ""
-        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        space = SPACE.take(points, mode="clip")
-        edges = changes(space)
-        self.starts, self.ends = edges[::2], edges[1::2]
-        n = self.n = len(self.starts)
-        self.line = np.zeros(n, bool)
-        first = np.zeros(1 if self.text else 0, np.int64)
-        if n:
-            breaks, last = np.cumsum(points == 10), points[self.ends - 1]
-            self.line[1:] = (breaks[self.starts[1:]] > breaks[self.ends[:-1] - 1]) | STOP.take(last[:-1], mode="clip")
-            up, down = powers(CHARS, 1 << max(12, len(points).bit_length()))
-            sums = np.concatenate((NONE, np.cumsum(mixed(points) * up[: len(points)])))
-            self.hashes = mix64((sums[self.ends] - sums[self.starts]) * down[self.starts])
-            at, here = np.flatnonzero(self.line), np.arange(n)
-            self.this = np.concatenate(([0], at))[np.searchsorted(at, here, "right")]  # where the line of each word starts
-            ends = mix64(np.concatenate((NONE, self.hashes[:-1])) * np.uint64(FACTOR) + self.hashes) % np.uint64(SPARSE) == 0
-            first = np.flatnonzero(self.line | ends & (here - self.this >= LONG_LINE) | (here == 0))
-            size = np.diff(np.concatenate((first, [n])))
-            if size.max() > MOST_WORDS:
-                first = np.concatenate([np.arange(a, a + s, MOST_WORDS) for a, s in zip(first, size)])
-        self.first, self.end = first, np.concatenate((first[1:], [n]))[: len(first)]
-        self.spans = np.r_[0, self.starts[first[1:]]] if n else first, np.r_[self.starts[first[1:]], len(self.text)] if self.text else first
-
-    @cached_property
-    def window(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end in the words, of the chunks with the words after them, then of those with the words before."""
-        n, first, at = self.n, self.first, np.flatnonzero(self.line)
-        nxt = np.concatenate((at, [n]))[np.searchsorted(at, first, "right")]
-        after = np.minimum(n, np.maximum(self.end, np.minimum(first + LONG_WORDS, np.maximum(first + LEAST_WORDS, nxt + 1))))
-        before = np.maximum(0, np.minimum(first, np.maximum(self.end - LONG_WORDS, np.minimum(self.end - LEAST_WORDS, self.this[self.end - 1] - 1))))
-        return np.concatenate((first, before)), np.concatenate((after, self.end))
-
-    def __len__(self) -> int:
-        return 2 * len(self.first)
-
-    def span(self, place: int) -> tuple[int, int]:
-        return tuple(int(x[place % len(self.first)]) for x in self.spans)
-
-    def content(self, place: int) -> str:
-        """The words of the window, with the line ends between them and the chunk's own end or start."""
-        if not self.n:
-            return ""
-        k, later = place % len(self.first), place >= len(self.first)
-        a, b = int(self.window[0][place]), int(self.window[1][place])
-        parted = int(self.first[k] if later else self.end[k])
-        words = self.text[self.starts[a] : self.ends[b - 1]].split()
-        out = []
-        for i, w in enumerate(words, a):
-            if i > a:
-                out.append("\n" if self.line[i] else " ")
-            if i == parted:
-                out.append(BEFORE if later else AFTER)
-            out.append(w)
-        return "".join(out if parted < b else [*out, AFTER])
-
-    def listed(self) -> tuple[np.ndarray, np.ndarray]:
-        """The eligible places, and a hash of the content of each."""
-        if not self.n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = self.window
-        lines = np.cumsum(self.line)
-        size = b - a
-        at = np.flatnonzero((size >= LONG_WORDS) | (size >= LEAST_WORDS) & (lines[b - 1] - lines[a] + 1 >= LEAST_LINES))
-        a, b, k = a[at], b[at], at % len(self.first)
-        up, down = powers(WORDS, 1 << max(12, self.n.bit_length()))
-        sums = np.concatenate((NONE, np.cumsum(mix64(self.hashes + self.line * np.uint64(FACTOR)) * up[: self.n])))
-        x = mix64((sums[b] - sums[a + 1]) * down[a] + mix64(self.hashes[a] ^ np.uint64(CHARS)))
-        own = (self.end - self.first)[k].astype(np.uint64) * np.uint64(2) + (at >= len(self.first))
-        return at, mix64(x + own * np.uint64(FACTOR)).view(np.int64)
-
-
-def chunks(text: str | None) -> list[tuple[int, int, str]]:
-    """Start, end and content of each chunk, with the words after it; then of each with those before it."""
-    c = Cut(text)
-    return [(*c.span(p), c.content(p)) for p in range(len(c))]
-
-
-def eligible(content: str) -> bool:
-    """Of at least LEAST_LINES lines and LEAST_WORDS words, or of LONG_WORDS words."""
-    words = len(content.split())
-    return words >= LONG_WORDS or words >= LEAST_WORDS and content.count("\n") + 1 >= LEAST_LINES
-
-
-def without(text: str, gone: list[tuple[int, int]]) -> str:
+    """Words and chunks of several texts, the UTF-8 bytes between offsets. Words have numbers, chunks the one of their first word."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data, self.offsets = data, offsets
+        solid = ~SPACE[data]
+        new = np.zeros(len(data) + 1, bool)
+        new[offsets] = True
+        start, end = solid.copy(), solid.copy()
+        start[1:] &= ~solid[:-1] | new[1:-1]
+        end[:-1] &= ~solid[1:] | new[1:-1]
+        self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+        n = len(self.starts)
+        self.first = np.searchsorted(self.starts, offsets[:-1])  # of each text
+        self.last = np.searchsorted(self.starts, offsets[1:])
+        counts = self.last - self.first
+        self.text = np.repeat(np.arange(len(counts)), counts)
+        line = np.zeros(n + 1, bool)
+        line[np.searchsorted(self.starts, np.flatnonzero(data == 10))] = True
+        line[1:] |= STOP[data[self.ends - 1]]
+        line[self.first] = True
+        self.line = line[:n]
+        self.chunks, self.x = self._boundaries(hash_words(data[solid], self.ends - self.starts))
+
+    def _boundaries(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(np.arange(len(words)) + CHUNK <= self.last[self.text])
+        if not len(at):
+            return at, np.zeros(0, np.uint64)
+        up, down = powers(1 << max(12, len(words).bit_length()))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words + self.line * FACTOR) * up[: len(words)])))
+        x = mix64((sums[at + CHUNK] - sums[at + 1]) * down[at] + mix64(words[at]))
+        value = x >> np.uint64(1) | np.where(self.line[at], np.uint64(0), TOP)
+        # Texts lie apart by NEAR places that are never the least; a window counts if it lies in its text, or begins a short one.
+        text = self.text[at]
+        begins = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        sizes = np.diff(np.r_[begins, len(at)])
+        shift = np.repeat(np.arange(1, len(begins) + 1) * NEAR, sizes)
+        place = np.arange(len(at)) + shift
+        spread = np.full(len(at) + (len(begins) + 2) * NEAR, NONE)
+        spread[place] = value
+        least = sliding(spread, np.minimum)
+        counts = np.zeros(len(least), bool)
+        counts[place[np.arange(len(at)) - np.repeat(begins, sizes) <= np.repeat(np.maximum(0, sizes - NEAR), sizes)]] = True
+        least[~counts] = 0
+        chosen = np.flatnonzero(sliding(least, np.maximum)[place - NEAR + 1] == value)
+        again = np.r_[False, (value[chosen[1:]] == value[chosen[:-1]]) & (np.diff(chosen) < NEAR) & (text[chosen[1:]] == text[chosen[:-1]])]
+        chosen = chosen[~again]
+        return at[chosen], x[chosen]
+
+    def range_of(self, text: int) -> tuple[int, int]:
+        """The chunks of a text: their numbers are ordinals from the first."""
+        return tuple(np.searchsorted(self.chunks, [self.first[text], self.last[text]]).tolist())
+
+    def around(self, chunk: int, before: int | None = None, after: int | None = None) -> tuple[int, int]:
+        """The words that a chunk's repeat may reach: first and behind the last. before, after: the chunks there that repeat next to the same first ones.
+
+        In a passage that repeats, any NEAR places in a row hold a chunk that repeats, so no more of it lies on a side
+        without one. Between two that repeat, only what neither covers is looked at.
+        """
+        text = self.text[chunk]
+        lo = chunk - NEAR + 1 if before is None else min(chunk, max(before + CHUNK, chunk - NEAR + 1))
+        hi = chunk + CHUNK + NEAR - 1
+        if after is not None:
+            hi = max(chunk + CHUNK, min(after, hi))
+        return max(lo, int(self.first[text])), min(hi, int(self.last[text]))
+
+
+def cut(texts: list[str | None]) -> Cut:
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    return Cut(data, offsets)
+
+
+def equal_ends(a: bytes, b: bytes) -> int:
+    """How many bytes at their ends two strings share, back to where a word begins in both."""
+    n = min(len(a), len(b))
+    if n == 0:
+        return 0
+    if a[-n:] == b[-n:]:
+        same = n
+    else:
+        same = bisect_left(range(1, n + 1), True, key=lambda k: a[-k:] != b[-k:])
+    while same and not (_cut_before(a, len(a) - same) and _cut_before(b, len(b) - same)):
+        same -= 1
+    return same
+
+
+def _cut_before(raw: bytes, at: int) -> bool:
+    return raw[at] not in BLANK and (at == 0 or raw[at - 1] in BLANK)
+
+
+def equal_starts(a: bytes, b: bytes) -> int:
+    """How many bytes at their starts two strings share, up to where a word ends in both."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        same = n
+    else:
+        same = bisect_left(range(1, n + 1), True, key=lambda k: a[:k] != b[:k])
+    while same and not (_cut_after(a, same) and _cut_after(b, same)):
+        same -= 1
+    return same
+
+
+def _cut_after(raw: bytes, at: int) -> bool:
+    return raw[at - 1] not in BLANK and (at == len(raw) or raw[at] in BLANK)
+
+
+def repeat(first: tuple, row: tuple) -> tuple[int, int] | None:
+    """What of a row's text repeats the first chunk of its hash. A row: id, hash, place, words of its text, lead, size, raw."""
+    (*_, lead, size, raw), (*_, at, _, mine, long, text) = first, row
+    if raw[lead : lead + size] != text[mine : mine + long]:
+        return None
+    return at - equal_ends(raw[:lead], text[:mine]), at + long + equal_starts(raw[lead + size :], text[mine + long :])
+
+
+def merged(spans: list[tuple[int, int]], raw: bytes) -> list[tuple[int, int]]:
+    """The spans, each with the white space behind it, in order and without overlaps."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        while b < len(raw) and raw[b] in BLANK:
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
     """The text without the spans; a removed line end is made up for where text would run together."""
     parts, at = [], 0
-    for a, b in sorted(gone):
-        parts.append(text[at:a])
-        a, b = max(a, at), max(b, at)
-        if text[a:b].endswith("\n"):
-            kept = next((p for p in reversed(parts) if p), "")
-            if kept and not kept.endswith("\n"):
-                parts.append("\n")
+    for a, b in gone:
+        parts.append(raw[at:a])
+        if b"\n" in raw[len(raw[a:b].rstrip(BLANK)) + a : b]:
+            kept = next((p for p in reversed(parts) if p), b"")
+            if kept and not kept.endswith(b"\n"):
+                parts.append(b"\n")
         at = b
-    return "".join([*parts, text[at:]])
-
+    return b"".join([*parts, raw[at:]])
 
-def place_hashes(key: int, places: int | np.ndarray) -> np.ndarray:
-    """xxhash64(id, place) as Spark computes it, for the places, or all below a number: each column's hash seeds the next."""
-    places = range(places) if isinstance(places, int) else places.tolist()
-    seed = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
-    return np.fromiter((xxhash.xxh64_intdigest(p.to_bytes(4, "little"), seed) for p in places), np.uint64, len(places)).view(np.int64)
 
+def near_copy(spans: list[dict], raw: bytes, share: float) -> bool:
+    """Whether the words shared with one single document are at least that share of the words of both."""
+    words = len(raw.split())
+    firsts: dict[tuple, tuple[list, int]] = {}
+    for s in spans:
+        firsts.setdefault((s["fid"], s["fh"]), ([], s["fn"]))[0].append((s["a"], s["b"]))
+    for some, n in firsts.values():
+        common = sum(len(raw[a:b].split()) for a, b in merged(some, raw))
+        if common >= share * (words + n - common):
+            return True
+    return False
 
-def bitmap(rows: DataFrame, hashed: Column) -> np.ndarray:
-    """The hashes' places in BITS bits; at most BITS / 32 rows come to the driver."""
-    marks = rows.select(F.pmod(hashed, F.lit(BITS)).alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("m")).toPandas()
-    out = np.zeros(BITS // 32, np.int64)
-    out[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64)
-    return out.astype(np.uint32)
 
+_ROW = T.StructType([T.StructField(n, T.LongType()) for n in ("x", "id", "h", "at", "n", "lead", "size")] + [T.StructField("raw", T.BinaryType())])
+_SPAN = "id long, h long, a long, b long, fid long, fh long, fn long"
+_SPANS = pa.schema([(n, pa.int64()) for n in ("id", "h", "a", "b", "fid", "fh", "fn")])
 
-def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.astype(np.int64) & (BITS - 1)
-    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
+def _listing(batches):
+    """id, text and its hash to the hashes of all chunks."""
+    for batch in small_batches(batches, 64):
+        c = Cut(*utf8(batch.column(1)))
+        bounds = np.searchsorted(c.chunks, np.r_[c.first, len(c.starts)]).astype(np.int32)
+        some = np.flatnonzero(np.diff(bounds))
+        xs = pa.ListArray.from_arrays(pa.array(np.r_[bounds[some], bounds[-1]].astype(np.int32)), pa.array(c.x.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(2).take(pa.array(some)), xs], names=["id", "h", "xs"])
 
-def dedup(df: DataFrame, key: str, text: str) -> DataFrame:
-    """All rows and columns, the text deduplicated, with n_chunks and n_removed (long)."""
-    found = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
-    def listing(batches):
-        for batch in small_batches(batches, 64):
-            keys, places, hashes = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, x = Cut(t).listed()
-                keys.append(np.full(len(at), k, np.int64))
-                places.append(at.astype(np.int32))
-                hashes.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, places, hashes)], names=["id", "place", "x"])
+def _found(shared):
+    """id, h, ordinal and x of the chunks whose hash may repeat."""
 
-    places = written(found.mapInArrow(listing, "id long, place int, x long"))
-    again = places.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first")).where("n > 1")
-    again = written(again.select("x", F.col("first.id").alias("id"), F.col("first.place").alias("place")))
-
-    # The bytes of each first place, read where the texts are: bitmaps of fixed size tell which texts and places to look at.
-    shared = df.sparkSession.sparkContext.broadcast((bitmap(again, F.xxhash64("id")), bitmap(again, F.xxhash64("id", "place")), bitmap(again, F.col("x"))))
+    def run(batches):
+        marks = shared.value
+        for batch in batches:
+            xs = batch.column(2)
+            values = xs.flatten().to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(xs).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            ordinal = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(marks.has(values))
+            of = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(ordinal[at].astype(np.int32)), pa.array(values[at])], names=["id", "h", "ordinal", "x"])
+
+    return run
+
+
+def _reading(batches):
+    """id, text, h and the chunks that repeat, with their first places, to one row for each of them, with the text around it.
+
+    A first chunk comes with all that a repeat may reach, another with what its neighbours in the same repeat don't cover.
+    """
+    schema = pa.schema([(f.name, pa.binary() if f.name == "raw" else pa.int64()) for f in _ROW])
+    for batch in small_batches(batches, 64):
+        c = Cut(*utf8(batch.column(1)))
+        whole, out = c.data.tobytes(), []
+        for i, (key, h, chunks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            lo, hi = c.range_of(i)
+            mine, base = c.chunks[lo:hi].tolist(), int(c.offsets[i])
+            firsts = {r["ordinal"]: (r["fid"], r["fh"], r["ford"]) for r in chunks}
+            for k, (fid, fh, ford) in sorted(firsts.items()):
+                chunk = mine[k]
+                if (fid, fh, ford) == (key, h, k):
+                    a, b = c.around(chunk)
+                else:
+                    a, b = c.around(chunk, mine[k - 1] if firsts.get(k - 1) == (fid, fh, ford - 1) else None, mine[k + 1] if firsts.get(k + 1) == (fid, fh, ford + 1) else None)
+                start, stop = int(c.starts[chunk]), int(c.ends[chunk + CHUNK - 1])
+                left, right = int(c.starts[a]), int(c.ends[b - 1])
+                out.append((int(c.x[lo + k].view(np.int64)), key, h, start - base, int(c.last[i] - c.first[i]), start - left, stop - start, whole[left:right]))
+        for at in range(0, len(out), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[at : at + 4096]), schema)], schema=schema)
+
+
+def _spans(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)] if found else [pa.nulls(0, pa.int64())] * 7, schema=_SPANS)
+
+
+def _comparing(batches):
+    """Rows in order of x, id, h and place to the spans that repeat the first one of their x; only that one is held."""
+    x = first = None
+    for batch in batches:
+        found = []
+        for x_, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if x_ != x:
+                x, first = x_, row
+            elif row[:3] != first[:3] and (span := repeat(first, row)):
+                found.append((row[0], row[1], *span, first[0], first[1], first[3]))
+        yield _spans(found)
+
+
+def _comparing_hot(shared):
+    def run(batches):
+        for batch in batches:
+            found = []
+            for x, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                first = shared.value.get(x)
+                if first and row[:3] != first[:3] and (span := repeat(first, row)):
+                    found.append((row[0], row[1], *span, first[0], first[1], first[3]))
+            yield _spans(found)
+
+    return run
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """id, h, a, b, fid, fh, fn of docs (id, t, h): spans in bytes that repeat an earlier place; id, hash and words of the document there."""
+    spark = docs.sparkSession
+    places = written(docs.select("id", "t", "h").mapInArrow(_listing, "id long, h long, xs array<long>"))
+    again = written(places.select(F.explode("xs").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"))
+    marks = spark.sparkContext.broadcast(Marks(again, F.col("x")))
+    places = places.mapInArrow(_found(marks), "id long, h long, ordinal int, x long")  # what only seems to repeat goes next
+    firsts = places.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "ordinal")).alias("f")).where("n > 1")
+    firsts = written(firsts.select("x", "n", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"), F.col("f.ordinal").alias("ford")))
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT > total + 1000 * HOT  # fewer than HOT rows, none of less than 1000 places
+    hot, cold = firsts.where(is_hot), firsts.where(~is_hot)
+    many = F.broadcast(hot.select(F.col("x").alias("y")))
+    flags = places.join(cold.drop("n"), "x")
+    some_hot = bool(hot.limit(1).count())
+    if some_hot:  # hashes of very many places meet their first ones where they are
+        flags = places.join(many, F.col("x") == F.col("y"), "left_anti").join(cold.drop("n"), "x").unionByName(places.join(F.broadcast(hot.drop("n")), "x"))
+    flags = written(flags.groupBy("id", "h").agg(F.collect_set(F.struct("ordinal", "fid", "fh", "ford")).alias("chunks")))
+    known = spark.sparkContext.broadcast(Marks(flags, F.xxhash64("id", "h")))
+    rows = having(docs, F.xxhash64("id", "h"), known, True).join(flags, ["id", "h"]).select("id", "t", "h", "chunks").mapInArrow(_reading, _ROW)
+    order = ["x", "id", "h", "at", "n", "lead", "size", "raw"]
+    rows = written(rows.select(order)) if some_hot else rows.select(order)
+    rest = rows.join(many, F.col("x") == F.col("y"), "left_anti") if some_hot else rows
+    spans = rest.repartition("x").sortWithinPartitions("x", "id", "h", "at").mapInArrow(_comparing, _SPAN)
+    if not some_hot:
+        return spans
+    dear = rows.join(many, F.col("x") == F.col("y"), "left_semi").groupBy("x").agg(F.min(F.struct(*order[1:])).alias("f")).toArrow().to_pylist()
+    shared = spark.sparkContext.broadcast({r["x"]: [*r["f"].values()] for r in dear})  # fewer than HOT chunks with what is around them
+    return spans.unionByName(rows.mapInArrow(_comparing_hot(shared), _SPAN))
+
+
+def having(df: DataFrame, hashed: Column, shared, yes: bool) -> DataFrame:
+    """The rows whose hash may be (or isn't) in the broadcast set. Both halves make up the table, and all columns stay."""
+    width = len(df.columns)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column(width).to_numpy(zero_copy_only=False)) == yes)).select(range(width))
 
-    def reading():
-        ids, marks, _ = shared.value
+    return df.select(*[df[c] for c in df.columns], hashed.alias("_dedup_k")).mapInArrow(run, df.schema)
 
-        def step(batch, rows) -> None:
-            asked = np.flatnonzero(marked(ids, batch.column(2).to_numpy(zero_copy_only=False)))
-            for i in asked.tolist():
-                k = batch.column(0)[i].as_py()
-                c = Cut(batch.column(1)[i].as_py())
-                listed, x = c.listed()
-                if len(listed):
-                    at = marked(marks, place_hashes(k, listed))
-                    for place, h in zip(listed[at].tolist(), x[at].tolist()):
-                        content = c.content(place)
-                        rows.add(k, place, h, content, size=4 * len(content) + 40)
 
-        return step
+def dedup(df: DataFrame, key: str, text: str, copies: float | None = None) -> DataFrame:
+    """All rows and columns, the text deduplicated, with n_removed (long) and left_share (double, of its words).
 
-    def repeated(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(marked(shared.value[2], batch.column(2).to_numpy())))
-
-    contents = map_rows(found.select("id", "t", F.xxhash64("id").alias("h")), "id long,place int,x long,content string", reading)
-    firsts = contents.join(again, ["x", "id", "place"]).groupBy("x").agg(F.min("content").alias("content"))
-    copies = places.mapInArrow(repeated, places.schema).join(again.withColumnRenamed("id", "i").withColumnRenamed("place", "p"), "x").where("id != i OR place != p")
-    drop = copies.join(firsts, "x").groupBy("id").agg(F.collect_list(F.struct("place", "content")).alias("gone"))
-    joined = df.join(drop.withColumnRenamed("id", "_dedup_id").withColumnRenamed("gone", "_dedup_gone"), df[key].cast("long") == F.col("_dedup_id"), "left").drop("_dedup_id")
-    schema = T.StructType([*df.schema.fields, T.StructField("n_chunks", T.LongType()), T.StructField("n_removed", T.LongType())])
+    copies: documents that share at least that part of the words of both with one single earlier document are left whole,
+    so that a dedup of documents can judge them; None: such repeats go like any other.
+    """
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    spans = written(repeats(docs).groupBy("id", "h").agg(F.collect_set(F.struct("a", "b", "fid", "fh", "fn")).alias("gone")))
+    names = {"id": "_dedup_id", "h": "_dedup_h", "gone": "_dedup_gone"}
+    schema = T.StructType([*df.schema.fields, T.StructField("n_removed", T.LongType()), T.StructField("left_share", T.DoubleType())])
     at, width = df.columns.index(text), len(df.columns)
+    shared = df.sparkSession.sparkContext.broadcast(Marks(spans, F.xxhash64("id", "h")))
+    hashed = F.xxhash64(F.col(key).cast("long"), F.xxhash64(text))
 
     def removing(batches):
         for batch in batches:
-            texts, counts, removed = [], [], []
-            for t, gone in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist()):
-                have = Cut(t)
-                spans = sorted({have.span(g["place"]) for g in gone or () if g["place"] < len(have) and have.content(g["place"]) == g["content"]})
-                texts.append(without(t, spans) if spans else t)
-                counts.append(len(have))
+            raws = batch.column(at).cast(pa.binary())
+            texts, removed, left = [], [], []
+            for i, gone in enumerate(batch.column(width).to_pylist()):
+                raw = raws[i].as_py()
+                spans = merged([(s["a"], s["b"]) for s in gone], raw) if gone and (copies is None or not near_copy(gone, raw, copies)) else []
+                new = without(raw, spans) if spans else raw
+                texts.append(new)
                 removed.append(len(spans))
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:width], "n_chunks", "n_removed"])
-
-    return joined.mapInArrow(removing, schema)
+                left.append(len(new.split()) / len(raw.split()) if spans else 1.0)
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(left, pa.float64())], names=schema.names)
+
+    touched = having(df, hashed, shared, True)
+    joined = touched.join(spans.withColumnsRenamed(names), (touched[key].cast("long") == F.col("_dedup_id")) & (F.xxhash64(touched[text]) == F.col("_dedup_h")), "left")
+    new = joined.select(*[touched[c] for c in df.columns], "_dedup_gone").mapInArrow(removing, schema)
+    same = having(df, hashed, shared, False)
+    return new.unionByName(same.select("*", F.lit(0).cast("long").alias("n_removed"), F.lit(1.0).alias("left_share")))

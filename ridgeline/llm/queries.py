@@ -29,7 +29,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_chunks", "n_removed", "text")
+    return lines.dedup(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_removed", "left_share", "text")
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
