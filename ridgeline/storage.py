@@ -28,7 +28,7 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, from a Parquet table in the shared folder: lost executors cost no recomputation, and rows stay as first computed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
