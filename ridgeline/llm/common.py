@@ -15,7 +15,20 @@ from ridgeline.storage import shared_dir, written  # noqa: F401
 EMIT_BYTES = 4 << 20
 
 
+#: Most rows and bytes of an Arrow batch between Spark and Python; Spark's own bounds are 10,000 rows and 64 MB.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keeps Arrow batches of this session small, as every Python worker and its executor hold some; smaller bounds stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a bound with a unit was set by hand
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -92,6 +105,7 @@ def map_rows(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatc
             last(rows)
         yield from rows.flush()
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, ddl)
 
 

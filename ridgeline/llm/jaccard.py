@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Marks, hash_words, map_rows, mix64, written
+from ridgeline.llm.common import Marks, bounded, hash_words, map_rows, mix64, written
 from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -454,6 +454,7 @@ def _lists(percent: int, parts: int, cell: int):
 
 def join(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id for each row."""
+    bounded(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(key, text)
     table = written(summaries(docs, key, text, words))

@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import Marks, hash_words, mix64, small_batches, utf8, written
+from ridgeline.llm.common import Marks, bounded, hash_words, mix64, small_batches, utf8, written
 
 CHUNK, NEAR = 20, 24
-#: Hashes with more copies than one in so many places are hot, so there are at most so many; their first chunks are broadcast.
-HOT = 1 << 14
+#: Hashes with more copies than SOME, and one in HOT places besides, are hot: fewer than HOT are, and their first chunks are broadcast.
+HOT, SOME = 1 << 16, 10_000
 FACTOR, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 TOP, NONE = np.uint64(1 << 63), np.uint64((1 << 64) - 1)
 SPACE = np.zeros(256, bool)
@@ -109,18 +109,17 @@ class Cut:
         """The chunks of a text: their numbers are ordinals from the first."""
         return tuple(np.searchsorted(self.chunks, [self.first[text], self.last[text]]).tolist())
 
-    def around(self, chunk: int, before: int | None = None, after: int | None = None) -> tuple[int, int]:
-        """The words that a chunk's repeat may reach: first and behind the last. before, after: the chunks there that repeat next to the same first ones.
+    def around(self, chunk: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that repeats of chunks may reach: first and behind the last. before, after: the chunks there that repeat next to the same first ones, else -1.
 
         In a passage that repeats, any NEAR places in a row hold a chunk that repeats, so no more of it lies on a side
         without one. Between two that repeat, only what neither covers is looked at.
         """
         text = self.text[chunk]
-        lo = chunk - NEAR + 1 if before is None else min(chunk, max(before + CHUNK, chunk - NEAR + 1))
-        hi = chunk + CHUNK + NEAR - 1
-        if after is not None:
-            hi = max(chunk + CHUNK, min(after, hi))
-        return max(lo, int(self.first[text])), min(hi, int(self.last[text]))
+        lo, hi = chunk - NEAR + 1, chunk + CHUNK + NEAR - 1
+        lo = np.where(before < 0, lo, np.minimum(chunk, np.maximum(before + CHUNK, lo)))
+        hi = np.where(after < 0, hi, np.maximum(chunk + CHUNK, np.minimum(after, hi)))
+        return np.maximum(lo, self.first[text]), np.minimum(hi, self.last[text])
 
 
 def cut(texts: list[str | None]) -> Cut:
@@ -250,22 +249,28 @@ def _reading(batches):
     schema = pa.schema([(f.name, pa.binary() if f.name == "raw" else pa.int64()) for f in _ROW])
     for batch in small_batches(batches, 64):
         c = Cut(*utf8(batch.column(1)))
-        whole, out = c.data.tobytes(), []
-        for i, (key, h, chunks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            lo, hi = c.range_of(i)
-            mine, base = c.chunks[lo:hi].tolist(), int(c.offsets[i])
-            firsts = {r["ordinal"]: (r["fid"], r["fh"], r["ford"]) for r in chunks}
-            for k, (fid, fh, ford) in sorted(firsts.items()):
-                chunk = mine[k]
-                if (fid, fh, ford) == (key, h, k):
-                    a, b = c.around(chunk)
-                else:
-                    a, b = c.around(chunk, mine[k - 1] if firsts.get(k - 1) == (fid, fh, ford - 1) else None, mine[k + 1] if firsts.get(k + 1) == (fid, fh, ford + 1) else None)
-                start, stop = int(c.starts[chunk]), int(c.ends[chunk + CHUNK - 1])
-                left, right = int(c.starts[a]), int(c.ends[b - 1])
-                out.append((int(c.x[lo + k].view(np.int64)), key, h, start - base, int(c.last[i] - c.first[i]), start - left, stop - start, whole[left:right]))
-        for at in range(0, len(out), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[at : at + 4096]), schema)], schema=schema)
+        lists = batch.column(3)
+        sizes, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        k, fid, fh, ford = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("ordinal", "fid", "fh", "ford"))
+        order = np.lexsort((k, row))
+        row, k, fid, fh, ford = (v[order] for v in (row, k, fid, fh, ford))
+        key, h = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 2))
+        at = np.searchsorted(c.chunks, c.first)[row] + k
+        chunk = c.chunks[at]
+        # Whether a chunk and the next one repeat two that are neighbours, too.
+        run = (row[1:] == row[:-1]) & (np.diff(k) == 1) & (fid[1:] == fid[:-1]) & (fh[1:] == fh[:-1]) & (np.diff(ford) == 1)
+        own = (fid == key) & (fh == h) & (ford == k)
+        before = np.where(np.r_[False, run] & ~own, np.r_[-1, chunk[:-1]], -1)
+        after = np.where(np.r_[run, False] & ~own, np.r_[chunk[1:], -1], -1)
+        a, b = c.around(chunk, before, after)
+        start, stop, left, right = c.starts[chunk], c.ends[chunk + CHUNK - 1], c.starts[a], c.ends[b - 1]
+        long = right - left
+        ends = np.cumsum(long)
+        raw = c.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(left - (ends - long), long)]
+        raws = pa.BinaryArray.from_buffers(pa.binary(), len(long), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+        columns = [c.x[at].view(np.int64), key, h, start - c.offsets[row], (c.last - c.first)[row], start - left, stop - start]
+        yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in columns], raws], schema=schema)
 
 
 def _spans(found: list[tuple]) -> pa.RecordBatch:
@@ -308,7 +313,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     firsts = places.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "ordinal")).alias("f")).where("n > 1")
     firsts = written(firsts.select("x", "n", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"), F.col("f.ordinal").alias("ford")))
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") * HOT > total + 1000 * HOT  # fewer than HOT rows, none of less than 1000 places
+    is_hot = F.col("n") - SOME > total / HOT
     hot, cold = firsts.where(is_hot), firsts.where(~is_hot)
     many = F.broadcast(hot.select(F.col("x").alias("y")))
     flags = places.join(cold.drop("n"), "x")
@@ -346,6 +351,7 @@ def dedup(df: DataFrame, key: str, text: str, copies: float | None = None) -> Da
     copies: documents that share at least that part of the words of both with one single earlier document are left whole,
     so that a dedup of documents can judge them; None: such repeats go like any other.
     """
+    bounded(df.sparkSession)
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     spans = written(repeats(docs).groupBy("id", "h").agg(F.collect_set(F.struct("a", "b", "fid", "fh", "fn")).alias("gone")))
     names = {"id": "_dedup_id", "h": "_dedup_h", "gone": "_dedup_gone"}

@@ -19,7 +19,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_rows
+from ridgeline.llm.common import bounded, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -233,6 +233,7 @@ def detect(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def redacted(df: DataFrame, text: str) -> DataFrame:
     """The same columns, with all spans of the text replaced. Other columns pass through untouched."""
+    bounded(df.sparkSession)
     place = df.columns.index(text)
 
     def run(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_rows
+from ridgeline.llm.common import bounded, map_rows
 
 BUCKETS, DIM, SPAN = 1 << 16, 8, 4
 #: Bounds of the training sample: labelled texts of each class, and words of a text (spans at even distances are taken).
@@ -253,6 +253,7 @@ def score(df: DataFrame, key: str, text: str, model: Model | None) -> DataFrame:
 def keep(df: DataFrame, text: str, model: Model | None, below: float) -> DataFrame:
     """The rows, with all their columns, whose score is below the limit."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    bounded(df.sparkSession)
     place = df.columns.index(text)
 
     def run(batches):

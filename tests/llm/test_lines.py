@@ -162,6 +162,7 @@ def test_equals_brute_force(spark):
 
 def test_hot_chunks(spark, monkeypatch):
     """One passage in 3,000 documents: its chunks are compared where they are."""
+    monkeypatch.setattr(lines, "SOME", 1000)
     rnd = random.Random(21)
     passage = " ".join(sentence(rnd) for _ in range(8))
     rows = [(i, f"own{i} words{i} of{i} text{i}. {passage} end{i} of{i} it{i}.") for i in range(3000)]
