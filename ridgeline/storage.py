@@ -24,22 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, outside: bool = False) -> DataFrame:
     """The same rows, from a Parquet table in the shared folder: lost executors cost no recomputation, and rows stay as first computed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _scopes:
+    if _scopes and not outside:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what `written` has written inside. Results that are still lazy there must not read it."""
+def scratch(spark: SparkSession) -> Iterator[bool]:
+    """Deletes at its end what `written` has written inside, unless it was told to write outside.
+
+    Results that are still lazy at the end must not read it.
+    """
     _scopes.append([])
     try:
-        yield
+        yield True
     finally:
         jvm = spark.sparkContext._jvm
         for path in _scopes.pop():
