@@ -1,32 +1,34 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a document.
 
-A document is a bag of passages of PASSAGE words. Every passage is encoded by surface statistics and a hidden layer;
-gated attention (tanh times sigmoid) gives each passage a weight; the weighted sum of encodings gives the document's
-score. All parameters are learned together from document labels by Adam in numpy.
+A document is a bag of passages of PASSAGE words. Every passage is encoded by what it says and how it looks: the mean of
+learned vectors of its hashed words and word pairs, and its surface statistics, through a hidden layer. Gated attention
+(tanh times sigmoid) gives each passage a weight; the weighted sum of encodings gives the document's score. All
+parameters are learned together from document labels by Adam in numpy, in one task on whole texts of a bounded number
+of labelled rows; the driver gets the model alone.
 
 Null and empty text: one passage without words, scored like any other. Very long texts: all passages are encoded and
-weighted when scoring. Repeated rows: each scored. Ties: none in a weighted sum. Columns besides those named are
-dropped, so their names can't clash. Empty table: empty result. No labels of both classes: every score 0.5.
-A label row with a null label or key, or whose document is missing, is ignored.
+weighted, in training too. Repeated rows: each scored, one trained on. Ties: none in a weighted sum. Columns besides
+those named are dropped, so their names can't clash. Rows without a key: scored, with a null key. Empty table: empty
+result. No labels of both classes: every score 0.5. A label row with a null label or key, or whose document is missing,
+is ignored.
 """
 
 from __future__ import annotations
 
-from operator import eq
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_rows
-from ridgeline.llm.toxicity import sample
+from ridgeline.llm.common import hash_words, map_rows, mix64
+from ridgeline.llm.toxicity import sample, trained
 
 PASSAGE = 64
-#: Bounds of the training sample: labelled documents of each class, and passages of a document (at even distances).
-SAMPLE, PASSAGES = 2000, 24
+#: Bound of the training sample: labelled documents of each class. Their texts are trained on whole.
+SAMPLE = 2000
 HIDDEN, GATE = 16, 8
-N_FEATURES = 16
+N_FEATURES = 14
+#: Classes of hashed words and word pairs.
+BUCKETS = 1 << 15
 
 # Byte classes.
 _CLASS = np.zeros((8, 256), np.int32)
@@ -37,8 +39,8 @@ for _row in range(8):
     _KIND[_CLASS[_row] > 0] = _row
 
 
-def features(text: str | None) -> np.ndarray:
-    """One row of N_FEATURES numbers, all between 0 and about 1, for each passage."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row of N_FEATURES numbers, all between 0 and about 1, for each passage; the classes of all words and pairs, and how many each passage has."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw, np.uint8)
     solid = np.ones(256, bool)
@@ -48,8 +50,10 @@ def features(text: str | None) -> np.ndarray:
     n = max(1, -(-len(starts) // PASSAGE))
     out = np.zeros((n, N_FEATURES))
     if not len(starts):
-        return out
-    words = raw.split()
+        return out, np.zeros(0, np.int64), np.zeros(n, np.int64)
+    ends = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
+    sizes = ends - starts
+    word = hash_words(b[inside], sizes)
     cuts = np.append(starts[::PASSAGE], len(b))
     passage = np.repeat(np.arange(n), np.diff(cuts))
     kinds = np.bincount(passage * 9 + _KIND[b[cuts[0] :]], minlength=9 * n).reshape(n, 9)
@@ -57,22 +61,32 @@ def features(text: str | None) -> np.ndarray:
     letters = np.maximum(1, kinds[:, 0] + kinds[:, 1])
     out[:, 0] = kinds[:, 0] / letters
     out[:, 1:8] = np.minimum(1, kinds[:, 1:8] / size[:, None] * np.array([1, 5, 5, 5, 5, 10, 2]))
-    everything = len({*words}) / len(words)
-    for i in range(n):
-        part = words[i * PASSAGE : (i + 1) * PASSAGE]
-        m = len(part)
-        seen: dict[bytes, int] = {}
-        for w in part:
-            seen[w] = seen.get(w, 0) + 1
-        out[i, 8] = m / PASSAGE
-        out[i, 9] = len(seen) / m
-        out[i, 10] = sum(map(eq, part, part[1:])) / m
-        out[i, 11] = max(seen.values()) / m
-        out[i, 12] = sum(map(len, part)) / m / 16
-        out[i, 13] = len({*zip(part, part[1:])}) / max(1, m - 1)
-    out[:, 14] = everything
-    out[:, 15] = min(1.0, n / 64)
-    return out
+    of = np.arange(len(word)) // PASSAGE
+    m = np.bincount(of, minlength=n)
+    # Words and pairs by their numbers within the text: how many a passage has of each.
+    code = np.unique(word, return_inverse=True)[1]
+    pair = np.unique(code[:-1] * len(word) + code[1:], return_inverse=True)[1]
+    inner = of[:-1] == of[1:]
+    distinct, count = np.unique(of * len(word) + code, return_counts=True)
+    out[:, 8] = m / PASSAGE
+    out[:, 9] = np.bincount(distinct // len(word), minlength=n) / m
+    out[:, 10] = np.bincount(of[:-1][inner & (code[:-1] == code[1:])], minlength=n) / m
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, distinct // len(word), count)
+    out[:, 11] = most / m
+    out[:, 12] = np.bincount(of, sizes, minlength=n) / m / 16
+    out[:, 13] = np.bincount(np.unique((of[:-1] * len(word) + pair)[inner]) // len(word), minlength=n) / np.maximum(1, m - 1)
+    both = np.stack([word, np.append(mix64(word[:-1] * np.uint64(3) + word[1:]), np.uint64(0))], axis=1) % np.uint64(BUCKETS)
+    there = np.ones(both.shape, bool)
+    there[:, 1] = np.append(inner, False)
+    return out, both[there].astype(np.int64), m + np.bincount(of[:-1][inner], minlength=n)
+
+
+Bag = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def joined(bags: list[Bag]) -> Bag:
+    return tuple(np.concatenate(x) for x in zip(*bags))
 
 
 class Model:
@@ -80,18 +94,27 @@ class Model:
         r = np.random.default_rng(seed)
         self.mean, self.scale = np.zeros(N_FEATURES), np.ones(N_FEATURES)
         self.p = {
-            "E": r.normal(0, 0.4, (N_FEATURES, HIDDEN)), "e": np.zeros(HIDDEN),
+            "E": r.normal(0, 0.4, (N_FEATURES, HIDDEN)), "e": np.zeros(HIDDEN), "W": np.zeros((BUCKETS, HIDDEN)),
             "V": r.normal(0, 0.4, (HIDDEN, GATE)), "U": r.normal(0, 0.4, (HIDDEN, GATE)), "w": r.normal(0, 0.4, GATE),
             "c": r.normal(0, 0.4, HIDDEN), "b": np.zeros(1),
         }
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """The logit of each document; its passages are the rows of x from its start to the next."""
+    def means(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The mean vector of each passage's words and pairs; zero for those that training never met, and without words."""
+        out = np.zeros((len(counts), HIDDEN))
+        some = counts > 0
+        if some.any():
+            out[some] = np.add.reduceat(self.p["W"][classes], (np.cumsum(counts) - counts)[some]) / counts[some, None]
+        return out
+
+    def forward(self, bag: Bag, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The logit of each document; its passages are those from its start to the next."""
         p = self.p
+        x, classes, counts = bag
         sizes = np.diff(np.append(starts, len(x)))
         of = np.repeat(np.arange(len(starts)), sizes)
         x = (x - self.mean) / self.scale
-        h = np.tanh(x @ p["E"] + p["e"])
+        h = np.tanh(x @ p["E"] + self.means(classes, counts) + p["e"])
         tv, su = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         a = (tv * su) @ p["w"]
         a = np.exp(a - np.maximum.reduceat(a, starts)[of])
@@ -99,13 +122,13 @@ class Model:
         z = np.add.reduceat(h * a[:, None], starts)
         return z @ p["c"] + p["b"][0], {"x": x, "h": h, "tv": tv, "su": su, "a": a, "z": z, "of": of}
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 60, batch: int = 64, seed: int = 11) -> Model:
+    def fit(self, bags: list[Bag], labels: np.ndarray, epochs: int = 30, batch: int = 64, seed: int = 11) -> Model:
+        """Adam; the words' vectors move only where a batch meets them."""
         r = np.random.default_rng(seed)
-        everything = np.concatenate(bags)
+        everything = np.concatenate([x for x, _, _ in bags])
         self.mean, self.scale = everything.mean(axis=0), everything.std(axis=0) + 1e-3
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).mean() * 1), 0.5 / max(1e-9, (labels == 0).mean()))
-        weight = np.where(labels == 1, 0.5 / max(1e-9, (labels == 1).mean()), weight)
+        weight = np.where(labels == 1, 0.5 / max(1e-9, (labels == 1).mean()), 0.5 / max(1e-9, (labels == 0).mean()))
         t = 0
         for epoch in range(epochs):
             mix = r.permutation(len(bags))
@@ -113,19 +136,23 @@ class Model:
             for at in range(0, len(mix), batch):
                 take = mix[at : at + batch]
                 t += 1
-                sizes = [len(bags[i]) for i in take]
-                grads = self._grads(np.concatenate([bags[i] for i in take]), np.cumsum(sizes) - sizes, labels[take], weight[take])
+                sizes = [len(bags[i][0]) for i in take]
+                grads = self._grads(joined([bags[i] for i in take]), np.cumsum(sizes) - sizes, labels[take], weight[take])
+                met = grads.pop("met")
                 for k, g in grads.items():
-                    g = g + 1e-4 * self.p[k]
+                    rows = met if k == "W" else slice(None)
+                    g = g + 1e-4 * self.p[k][rows]
                     a, b = m[k]
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    self.p[k] = self.p[k] - rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+                    a[rows] += 0.1 * (g - a[rows])
+                    b[rows] += 0.001 * (g * g - b[rows])
+                    self.p[k][rows] -= rate * (a[rows] / (1 - 0.9**t)) / (np.sqrt(b[rows] / (1 - 0.999**t)) + 1e-8)
+        if not all(np.isfinite(v).all() for v in self.p.values()):
+            raise ArithmeticError("training diverged")
         return self
 
-    def _grads(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def _grads(self, bag: Bag, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        logit, s = self.forward(x, starts)
+        logit, s = self.forward(bag, starts)
         d = (1 / (1 + np.exp(-logit)) - y) * weight / len(y)
         of, h, a = s["of"], s["h"], s["a"]
         dz = d[:, None] * p["c"]
@@ -136,36 +163,23 @@ class Model:
         dv, du = dg * s["su"] * (1 - s["tv"] ** 2), dg * s["tv"] * s["su"] * (1 - s["su"])
         dh = dh + dv @ p["V"].T + du @ p["U"].T
         de = dh * (1 - h**2)
-        return {"E": s["x"].T @ de, "e": de.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (s["tv"] * s["su"]).T @ ds, "c": s["z"].T @ d, "b": np.array([d.sum()])}
+        _, classes, counts = bag
+        met, where = np.unique(classes, return_inverse=True)
+        back = np.repeat(de / np.maximum(1, counts)[:, None], counts, axis=0)
+        dw = np.stack([np.bincount(where, back[:, k], len(met)) for k in range(HIDDEN)], axis=1) if len(met) else np.zeros((0, HIDDEN))
+        return {"met": met, "W": dw, "E": s["x"].T @ de, "e": de.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (s["tv"] * s["su"]).T @ ds, "c": s["z"].T @ d, "b": np.array([d.sum()])}
 
     def score(self, text: str | None) -> float:
-        x = features(text)
-        logit, _ = self.forward(x, np.zeros(1, int))
+        logit, _ = self.forward(features(text), np.zeros(1, int))
         return float(1 / (1 + np.exp(-np.clip(logit[0], -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held: Column, bound: int = SAMPLE, passages: int = PASSAGES) -> Model | None:
-    """Trains on the sample; the driver gets its features, at most 2 * bound * passages rows of N_FEATURES numbers."""
-
-    def encode(batches):
-        for pdf in batches:
-            out = []
-            for t in pdf["_text"]:
-                x = features(t)
-                if len(x) > passages:
-                    x = x[np.linspace(0, len(x) - 1, passages).astype(int)]
-                out.append(x.ravel().tolist())
-            yield pd.DataFrame({"_id": pdf["_id"], "_y": pdf["_y"], "x": out})
-
-    rows = sample(docs, labels, key, text, label, held, bound).mapInPandas(encode, "_id long, _y int, x array<double>").toPandas()
-    if rows["_y"].nunique() < 2:
-        return None
-    rows = rows.assign(order=rows["x"].map(lambda v: tuple(v[:N_FEATURES]))).sort_values(["_id", "order"])
-    return Model().fit([np.asarray(v, float).reshape(-1, N_FEATURES) for v in rows["x"]], rows["_y"].to_numpy())
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held: Column, bound: int = SAMPLE) -> Model | None:
+    return trained(sample(docs, labels, key, text, label, held, bound), lambda texts, y: Model().fit([features(t) for t in texts], y))
 
 
 def score(df: DataFrame, key: str, text: str, model: Model | None) -> DataFrame:
-    """key, score. The model has a fixed size (a few KB), so it is broadcast."""
+    """key, score. The model has a fixed size (4 MB), so it is broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -5,20 +5,25 @@ were never seen share most of their vectors with words that were. A span of SPAN
 vectors; a linear softmax over two classes gives its probability, and a text scores as its most toxic span, so that a
 few words in a long text count. Vectors and softmax are trained together by Adagrad. A label holds for a text: in each
 round the spans of a toxic text that the present model finds most toxic stand for it, and all spans of the others are
-negative; spans of toxic texts in between take no part.
+negative; spans of toxic texts in between take no part. Last, softmax weights and bias are scaled together (temperature
+and prior) on labelled texts kept from the vectors, as a text is a maximum of spans; scores are the softmax's own.
+
+Training is one task's work on whole texts of a bounded number of labelled rows; the driver gets the model alone.
 
 Null and empty text: the score of a span without words, which is that of the softmax's bias alone. Very long texts:
-scored whole, span by span. Repeated rows: each scored. Ties: the score is a maximum, so none. Columns besides those
-named are dropped, so their names can't clash. Empty table: empty result. No labels of both classes: every score 0.
+trained on and scored whole, span by span; very long words: all their n-grams count. Repeated rows: each scored, one
+trained on. Ties: the score is a maximum, so none. Columns besides those named are dropped, so their names can't clash.
+Rows without a key: scored, with a null key. Empty table: empty result. No labels of both classes: every score 0.
 A label row with a null label or key, or whose document is missing, is ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +31,9 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import bounded, map_rows
 
 BUCKETS, DIM, SPAN = 1 << 16, 8, 4
-#: Bounds of the training sample: labelled texts of each class, and words of a text (spans at even distances are taken).
-SAMPLE, WORDS = 1500, 480
-#: Spans of each kind that an epoch takes at most; Adagrad's rates for vectors, softmax and bias, and what its sums start from.
+#: Bound of the training sample: labelled texts of each class. Their texts are trained on whole.
+SAMPLE = 1500
+#: Spans of each kind that an epoch draws from all of them; Adagrad's rates for vectors, softmax and bias, and what its sums start from.
 PICK, SPEED, START = 12_000, (0.5, 0.02, 0.02), 1e-3
 EDGES = "\"'()[]{}.,;:!?|*#$%&<>-_/\\~`+=^"
 
@@ -41,9 +46,6 @@ def grams(word: str) -> list[int]:
     """Buckets of the word's character 3- to 5-grams, with marks at both ends, and of the word."""
     marked = f"<{word}>"
     n = len(marked)
-    if n > 66:  # not a word of any language; its ends stand for it
-        marked = marked[:33] + marked[-33:]
-        n = 66
     raw = [marked[i : i + k] for k in (3, 4, 5) for i in range(n - k + 1)]
     raw.append(marked)
     return [_bucket(x) for x in raw]
@@ -67,7 +69,6 @@ class Model:
         self.weights = np.random.default_rng(seed).normal(0, 0.7, (DIM, 2))
         self.bias = np.array([1.0, -1.0])
         self.seen = [np.full_like(x, START) for x in (self.vectors, self.weights, self.bias)]
-        self.slope, self.shift = 1.0, 0.0
 
     @staticmethod
     def softmax(z: np.ndarray) -> np.ndarray:
@@ -82,17 +83,16 @@ class Model:
         return np.add.reduceat(values, np.cumsum(sizes) - sizes) / sizes
 
     def fit(self, texts: list[list[str]], labels: list[int], rounds: int = 4, epochs: int = 4, batch: int = 256, seed: int = 7) -> Model:
-        """Every fourth text is kept from the vectors and fits the last two numbers, which turn a text's margin into a probability."""
+        """Every fourth text is kept from the vectors and scales the softmax, so that a text's margin becomes a probability."""
         rng = np.random.default_rng(seed)
         vocabulary: dict[str, int] = {}
-        rows, owner = [], []
-        for d, ws in enumerate(texts):
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
-            for at in spans_of(len(ids)):
-                row = ids[at : at + SPAN]
-                rows.append(row + [-1] * (SPAN - len(row)))
-                owner.append(d)
-        spans, owner, label = np.asarray(rows), np.asarray(owner), np.asarray(labels)
+        rows, sizes = [], []
+        for ws in texts:
+            ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int32, len(ws))
+            places = np.asarray(spans_of(len(ids)))[:, None] + np.arange(SPAN)
+            rows.append(np.where(places < len(ids), np.append(ids, -1)[np.minimum(places, len(ids))], -1).astype(np.int32))
+            sizes.append(len(rows[-1]))
+        spans, owner, label = np.concatenate(rows), np.repeat(np.arange(len(texts)), sizes), np.asarray(labels)
         bags = [grams(w) for w in vocabulary]
         sizes = np.asarray([len(b) for b in bags])
         flat = np.fromiter((x for b in bags for x in b), int)
@@ -149,13 +149,14 @@ class Model:
         p = self.softmax(hidden @ self.weights + self.bias)
         p[np.arange(len(spans)), target] -= 1
         back = (p @ self.weights.T)[of] * share[:, None]
-        pull = np.stack([np.bincount(gram, back[:, k], BUCKETS) for k in range(DIM)], axis=1)
-        for value, grad, seen, speed in zip((self.vectors, self.weights, self.bias), (pull, hidden.T @ p, p.sum(axis=0)), self.seen, SPEED):
-            seen += grad * grad
-            value -= rate * speed * grad / np.sqrt(seen)
+        met, where = np.unique(gram, return_inverse=True)  # the other vectors have no gradient
+        pull = np.stack([np.bincount(where, back[:, k], len(met)) for k in range(DIM)], axis=1)
+        for value, grad, seen, speed, rows in zip((self.vectors, self.weights, self.bias), (pull, hidden.T @ p, p.sum(axis=0)), self.seen, SPEED, (met, slice(None), slice(None))):
+            seen[rows] += grad * grad
+            value[rows] -= rate * speed * grad / np.sqrt(seen[rows])
 
     def _tune(self, margin: np.ndarray, label: np.ndarray) -> None:
-        """Logistic regression of the label on the margin, by Newton's method; toxic texts weigh as much as the others together."""
+        """Scales the softmax by a logistic regression of the label on the margin (Newton's method), which becomes its temperature and prior; toxic texts weigh half as much as the others together."""
         if len({*label.tolist()}) < 2:
             return
         x = np.stack([margin, np.ones(len(margin))], axis=1)
@@ -167,7 +168,8 @@ class Model:
             hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.02, 1e-6])
             w -= np.linalg.solve(hess, grad)
         if np.isfinite(w).all() and w[0] > 0:
-            self.slope, self.shift = map(float, w)
+            self.weights = self.weights * w[0]
+            self.bias = np.array([0.0, w[0] * (self.bias[1] - self.bias[0]) + w[1]])
 
 
 class Scorer:
@@ -197,8 +199,7 @@ class Scorer:
             starts = np.asarray(spans_of(len(ws)))
             ends = np.minimum(starts + SPAN, len(ws))
             margin = float(((total[ends] - total[starts]) / (ends - starts)).max())
-        z = self.model.slope * (margin + self.edge) + self.model.shift
-        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, margin + self.edge)))))  # class 1 of the softmax
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:
@@ -206,32 +207,35 @@ def held_out(key: Column, parts: int, part: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held: Column, bound: int) -> DataFrame:
-    """At most `bound` labelled rows of each class that aren't held out, with their texts: those of least hash, so any input of a size gives as many."""
+    """_id, _y, _text of at most `bound` labelled rows of each class that aren't held out: those of least hash, so any input of a size gives as many.
+
+    Of several rows of one id the least text counts, so repeated rows bring no more.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held).groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(label).alias("_y"))
     chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(bound) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most 2 * bound rows of two numbers, so it is broadcast
-    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held: Column, bound: int = SAMPLE, most_words: int = WORDS) -> Model | None:
-    """Trains on the sample; its texts come to the driver as at most 2 * bound lists of most_words words."""
-    spans = sample(docs, labels, key, text, label, held, bound)
-
-    def thin(batches):
-        for pdf in batches:
-            out = []
-            for t in pdf["_text"]:
-                ws = words(t)
-                if len(ws) > most_words:
-                    keep = np.unique(np.linspace(0, (len(ws) - 1) // SPAN, most_words // SPAN).astype(int))
-                    ws = [w for s in keep for w in ws[s * SPAN : (s + 1) * SPAN]]
-                out.append(" ".join(ws))
-            yield pd.DataFrame({"_id": pdf["_id"], "_y": pdf["_y"], "_words": out})
-
-    rows = spans.mapInPandas(thin, "_id long, _y int, _words string").toPandas().drop_duplicates(["_id", "_words"]).sort_values(["_id", "_words"])
-    if rows["_y"].nunique() < 2:
-        return None
-    return Model().fit([w.split() for w in rows["_words"]], rows["_y"].tolist())
+    found = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    return found.groupBy("_id").agg(F.first("_y").alias("_y"), F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
+
+
+def trained(rows: DataFrame, learn: Callable[[list[str], np.ndarray], object]) -> object | None:
+    """What learn makes of the texts and labels of a bounded sample, in order of ids, in one task; None without both classes."""
+
+    def run(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("_text").to_pylist()
+            labels += batch.column("_y").to_pylist()
+        model = learn(texts, np.asarray(labels)) if len({*labels}) == 2 else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("_id").select("_text", F.col("_y").cast("int"))
+    models = one.mapInArrow(run, "model binary").toArrow()["model"]
+    return pickle.loads(models[0].as_py()) if len(models) else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held: Column, bound: int = SAMPLE) -> Model | None:
+    return trained(sample(docs, labels, key, text, label, held, bound), lambda texts, y: Model().fit([words(t) for t in texts], y.tolist()))
 
 
 def score(df: DataFrame, key: str, text: str, model: Model | None) -> DataFrame:

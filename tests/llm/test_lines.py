@@ -77,11 +77,17 @@ def brute(rows, copies=None):
             end, end2 = at + lines.CHUNK, at2 + lines.CHUNK
             while end + b < hi and end2 + b < hi2 and text(raw, words, at, end + b + 1) == text(raw2, words2, at2, end2 + b + 1):
                 b += 1
-            gone[d].add((words2[at2 - a][0], words2[end2 + b - 1][1]))
+            gone[d].add((words2[at2 - a][0], words2[end2 + b - 1][1], first[0], len(words)))
     out = []
     for k, t in rows:
         raw = (t or "").encode()
-        spans = lines.merged(list(gone.get((k, t or ""), ())), raw)
+        spans = gone.get((k, t or ""), set())
+        for other, n in {x[2:] for x in spans}:
+            covered = {i for a, b, o, _ in spans if o == other for i, (u, v) in enumerate(cut[k, t][0]) if a <= u and v <= b}
+            if copies is not None and len(covered) >= copies * (len(cut[k, t][0]) + n - len(covered)):
+                spans = set()
+                break
+        spans = lines.merged([x[:2] for x in spans], raw)
         out.append((k, lines.without(raw, spans).decode() if spans else t, len(spans)))
     return sorted(out, key=str)
 
