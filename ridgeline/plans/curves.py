@@ -53,7 +53,7 @@ def profile_moving_average(spark, sf_dir):
 
 
 def profile_resample(spark, sf_dir):
-    return long(profiles(spark, sf_dir).withColumn("r", vectors.resample(F.col("p"), 127)), "r", "value")
+    return long(profiles(spark, sf_dir).withColumn("r", vectors.resample(F.col("p"), 128)), "r", "value")
 
 
 def _peaks(spark, sf_dir) -> DataFrame:
@@ -138,7 +138,7 @@ ORACLE_SQL = {
     "inverse_log_profile": f"{_P} SELECT event_type, bin, round(pow(10.0::DOUBLE, -4 + value * 4), 6) AS value FROM p",
     "profile_gradients": f"{_P} SELECT event_type, bin, round(CASE WHEN bin = 0 THEN lead(value) OVER w - value WHEN bin = {BINS - 1} THEN value - lag(value) OVER w ELSE (lead(value) OVER w - lag(value) OVER w) / 2 END, 6) AS gradient FROM p {_W}",
     "profile_moving_average": f"{_P} SELECT a.event_type, a.bin, round(sum(b.value * (3 - abs(a.bin - b.bin))) / sum(3 - abs(a.bin - b.bin)), 6) AS smooth FROM p a JOIN p b ON a.event_type = b.event_type AND b.bin BETWEEN a.bin - 2 AND a.bin + 2 GROUP BY ALL",
-    "profile_resample": f"{_P}, r AS (SELECT range AS bin, range * 63.0::DOUBLE / 126 AS x FROM range(127)) SELECT p.event_type, r.bin, round(p.value + (q.value - p.value) * (r.x - p.bin), 6) AS value FROM r JOIN p ON p.bin = least({BINS - 1}, CAST(floor(r.x) AS BIGINT)) JOIN p q ON q.event_type = p.event_type AND q.bin = least({BINS - 1}, p.bin + 1)",
+    "profile_resample": f"{_P}, r AS (SELECT range AS bin, range * 63.0::DOUBLE / 127 AS x FROM range(128)) SELECT p.event_type, r.bin, round(p.value + (q.value - p.value) * (r.x - p.bin), 6) AS value FROM r JOIN p ON p.bin = least({BINS - 1}, CAST(floor(r.x) AS BIGINT)) JOIN p q ON q.event_type = p.event_type AND q.bin = least({BINS - 1}, p.bin + 1)",
     "local_peaks": f"{_T} SELECT event_type, bin, value FROM t",
     "valley_between_peaks": f"{_T}, g AS (SELECT event_type, bin AS left_peak, lead(bin) OVER (PARTITION BY event_type ORDER BY bin) AS right_peak FROM t) SELECT g.event_type, left_peak, right_peak, arg_min(p.bin, (p.value, p.bin)) AS valley, min(p.value) AS depth_value FROM g JOIN p ON p.event_type = g.event_type AND p.bin BETWEEN left_peak AND right_peak WHERE right_peak IS NOT NULL GROUP BY ALL",
     "descriptor_scalars": f"{_P}, d AS (SELECT *, value - lag(value) OVER w AS step FROM p {_W}) SELECT event_type, round((sum(value) - (sum(CASE WHEN bin IN (0, {BINS - 1}) THEN value END)) / 2) / {BINS - 1}, 6) AS area, round(sum(value * bin / {BINS - 1}) / sum(value), 6) AS center_of_mass, round(sum(abs(step)) / {BINS - 1}, 6) AS roughness FROM d GROUP BY event_type",

@@ -221,3 +221,27 @@ def test_farthest_points_of_large_groups(spark):
 def test_choose_blend(spark):
     df = spark.createDataFrame([(0.0, 0.5, 0.8, 0.9, 0.6), (0.1, 0.6, 0.7, 0.9, 0.7), (0.2, 0.6, 0.8, 0.9, 0.6)], "weight double, top_1 double, recall_at_5 double, recall_at_10 double, mrr double")
     assert learn.choose_blend(df).first().weight == 0.2
+
+
+def test_batches_of_profiles_equal_single_ones(spark):
+    """Descriptors and embeddings of a batch, with profiles of several lengths and a null one, against one profile at a time; prominence against its definition."""
+    r = np.random.default_rng(3)
+    x = [np.linspace(0, 1, n) for n in (256, 256, 100, 256, 64)]
+    rows = [np.clip(sum(np.exp(-0.5 * ((v - c) / 0.02) ** 2) for c in r.random(6)), 0, 1) for v in x]
+    df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(rows)] + [(9, None)], "id int, p array<double>").coalesce(1)
+    got = {d["id"]: d for d in (row.asDict() for row in shape.describe(df, "p").collect())}
+    assert got[9]["peak_count"] is None
+    for i, y in enumerate(rows):
+        assert {k: v for k, v in got[i].items() if k != "id"} == shape.descriptor(y)
+    vectors_ = {row[0]: row[1] for row in df.select("id", shape.fused_embedding_column(F.col("p"))).collect()}
+    assert vectors_[9] is None and all(np.allclose(vectors_[i], shape.fused_embedding(y)) for i, y in enumerate(rows))
+    y = np.round(r.random((4, 50)), 1)
+    row, at = shape.plateaus(y)
+    for k, p, rise in zip(row.tolist(), at.tolist(), shape.prominences(y, row, at)):
+        sides = [[], []]
+        for side, step in ((0, -1), (1, 1)):
+            j = p
+            while 0 <= j < 50 and y[k, j] <= y[k, p]:
+                sides[side].append(y[k, j])
+                j += step
+        assert rise == y[k, p] - max(map(min, sides))
