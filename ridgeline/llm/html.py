@@ -8,12 +8,14 @@ table below; blocks that it takes for content are joined in page order.
 Null and empty html: empty text. Markup that is cut off or not closed: the rest of the page counts as far as it goes; an
 unfinished tag or comment at the end is markup, an unfinished character reference stays as html.unescape leaves it.
 Very long pages: parsed whole in one pass. Repeated rows: each extracted. Ties in the tree: the smaller feature, then
-the smaller limit, wins. Columns besides those named are dropped, so their names can't clash. Empty table: empty result.
+the smaller limit, wins. Columns besides those named are dropped, so their names can't clash. Rows without a key: extracted, with a null key. Empty table: empty result. Lists of links inside an article stay unless a tag or class says that they are menus.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -24,19 +26,23 @@ from ridgeline.llm.common import map_rows
 
 # Fixed values of HTML.
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead tr ul".split()
 )
-RAW_TAGS = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes object select".split())
+#: Their contents are no text of the page.
+RAW_TAGS = frozenset("script style textarea title iframe template noembed noframes desc metadata".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Containers, and words of class, id or role, that hold no main text.
-SIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset search".split())
+SIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset search select noscript".split())
 SIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promoted banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login comment comments disqus reply replies respond share sharing social related recommended widget toolbar pagination pager complementary contentinfo search".split()
+    "ad ads adv advert adverts advertisement sponsor sponsored promoted nav navbar navigation menu menus breadcrumb breadcrumbs sidebar header footer masthead topbar cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login comment comments disqus replies sharing widget toolbar pagination pager complementary contentinfo".split()
 )
+#: Words that do so alone, or with one of the companions: "related" and "related-posts", but not "related-work"; never on a paragraph.
+WEAK_WORDS = frozenset("side related recommended share social promo banner notice alert search reply respond".split())
+COMPANIONS = frozenset("bar box block area section container wrapper panel col column content list links items posts post articles stories news buttons button icons form nav message media".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORD = re.compile(r"[\s_-]+")
+PART = re.compile(r"[_-]+")
 
 #: words, links, words before, links before, words after, links after, article (1 inside, -1 outside of one, 0 none), side, heading -> content
 LABELLED = [
@@ -110,16 +116,24 @@ def _is_side(tag: str, attributes: str, inside_article: bool) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role") and SIDE_WORDS & {*WORD.split(value)}:
-            return True
+        for word in value.split() if name in ("class", "id", "role") else ():
+            parts = {*PART.split(word)}
+            if parts & SIDE_WORDS or tag not in ("p", "li") and parts & WEAK_WORDS and (len(parts) == 1 or parts & COMPANIONS):
+                return True
     return False
 
 
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>?", re.I)
+
+
 def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
     """Text, words, linked words, article (1 inside, else 0), side and heading of each flat block with text."""
     out: list[tuple[str, int, int, int, int, int]] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # open containers: tag, whether article, whether side
+    open_tags: Counter[str] = Counter()  # so that an end tag without a start isn't looked for
     article = side = heading = linked = 0
     at, n = 0, len(html)
 
@@ -166,7 +180,7 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
             linked = 0 if ending else 1
         elif tag in RAW_TAGS:
             if not ending and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
+                end = _end_of(tag).search(html, at)
                 at = n if end is None else end.end()
             if tag in BLOCK_TAGS:
                 close()
@@ -175,12 +189,13 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
             if tag in HEADINGS:
                 heading = 0 if ending else 1
             elif ending:
-                where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if where is not None and tag not in ("p", "li"):
-                    for _, a, s in stack[where:]:
+                if open_tags[tag] and tag not in ("p", "li"):
+                    name = ""
+                    while name != tag:
+                        name, a, s = stack.pop()
+                        open_tags[name] -= 1
                         article -= a
                         side -= s
-                    del stack[where:]
                     linked = heading = 0
             elif tag not in VOID_TAGS:
                 is_article = tag in ("article", "main")
@@ -189,10 +204,12 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
                     if tag in ("p", "li") :  # closed by the next one at latest
                         tag = "p "
                     stack.append((tag, is_article, is_side))
+                    open_tags[tag] += 1
                     article += is_article
                     side += is_side
             if tag in ("p", "li"):
                 while stack and stack[-1][0] == "p ":
+                    open_tags["p "] -= 1
                     side -= stack.pop()[2]
     close()
     return out
@@ -208,7 +225,9 @@ def main_text(html: str | None, tree: tuple | int) -> str:
 
 
 def extract(df: DataFrame, key: str, html: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the string columns in keep, text."""
+    """key, the string columns in keep, text. Raises ValueError if one of keep has the name of another column of the result."""
+    if len({key, "text", *keep}) < 2 + len(keep):
+        raise ValueError("names of the result would clash")
     tree = train()
 
     def make():

@@ -53,3 +53,42 @@ def test_query(spark):
     got = op9_html(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert all(r.n_chars == len(r.text) > 0 and "©" not in r.text[:1] for r in got)
+
+
+def test_what_an_article_says_stays():
+    assert text("<article><p>Energy is <math><mi>E</mi></math> here</p></article>") == "Energy is E here"
+    assert text("<article><p>See <svg><title>no</title><text>label</text></svg> there</p></article>") == "See label there"
+    assert text("<article><section class='related-work'><p>Others did so before us.</p></section><p class='side'>A side note of it.</p></article>") == "Others did so before us.\n\nA side note of it."
+    assert text("<article><p>Words.</p><div class='related-posts'><p>Read that too.</p></div><div class=share>Share it</div><select><option>One</option></select></article>") == "Words."
+    assert text("<article><p>Words.</p><noscript>Please switch on scripts.</noscript></article>") == "Words."
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        best = 9e9
+        for _ in range(3):
+            began = time.process_time()
+            html.blocks("<div>" * n + "</ul>" * n + "<p>x</p>" * n + "</div>" * n)
+            best = min(best, time.process_time() - began)
+        took.append(best)
+    assert took[1] < 10 * took[0]
+
+
+def test_clashing_names(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a", "b")], "page_id long, html string, text string")
+    with pytest.raises(ValueError):
+        html.extract(df, "page_id", "html", keep=("text",))
+
+
+def test_link_density_and_neighbours_decide_without_articles():
+    """The same block between other neighbours, and the same neighbours around other blocks."""
+    long = " ".join(["word"] * 60)
+    link = "<a href=1>one two three</a>"
+    assert "four words of text" in text(f"<div>{long}</div><div>four words of text</div><div>{long}</div>")
+    assert "four words of text" not in text(f"<div>{link}</div><div>four words of text</div><div>{link}</div>")
+    assert text(f"<div>{link}</div><div>{link}</div><div>{link}</div>") == ""
