@@ -9,7 +9,7 @@ shard to shard. What is left of all tasks, at most k rows of each for a query, i
 Vectors that are null, empty or hold null, NaN or infinite components take no part, nor do rows without an id. Vectors
 are compared with those of their own length only. Ties go to the smaller id, and a bound equal to the kth score is still
 searched. Repeated rows of one id: candidates count each, as a query the id counts once (its vector of least order).
-Fewer than k candidates: all of them. Columns besides id and vector are dropped, so their names can't clash. An empty
+Components and scores beyond the range of a long stay at its ends. Fewer than k candidates: all of them. Columns besides id and vector are dropped, so their names can't clash. An empty
 table or no query: an empty result.
 """
 
@@ -36,23 +36,28 @@ def integers(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows."""
+    """Exact integer inner products of rows; beyond the range of a long they stay at its ends."""
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**52:
+    most = float(np.abs(a.astype(float)).max()) * float(np.abs(b.astype(float)).max()) * a.shape[1]
+    if most < 2**52:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    if most < 2**62:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    return np.clip(exact, NONE + 1, 2**63 - 1).astype(np.int64)
 
 
 class Ball:
     """A node: centre, radius and either two children or the rows of a leaf."""
 
-    __slots__ = ("centre", "radius", "left", "right", "ids", "rows")
+    __slots__ = ("centre", "radius", "length", "left", "right", "ids", "rows")
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         x = rows.astype(float)
         self.centre = x.mean(axis=0)
         self.radius = float(np.sqrt(((x - self.centre) ** 2).sum(axis=1).max()))
+        self.length = float(np.sqrt((self.centre**2).sum()))
         self.left = self.right = self.ids = self.rows = None
         if len(ids) <= LEAF:
             self.ids, self.rows = ids, rows
@@ -67,7 +72,7 @@ class Ball:
         """At least the score of every row below, for each query; the last term covers rounding."""
         reach = self.radius * norms
         centre = q @ self.centre
-        return centre + reach + 1e-9 * (np.abs(centre) + reach) + 0.5
+        return centre + reach + 1e-9 * (np.abs(centre) + reach) + 1e-12 * norms * self.length + 0.5
 
 
 class Search:
@@ -127,9 +132,9 @@ def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10)
     blocks = max(1, -(-asked.count() // BLOCK))
     parts = []
     for block in range(blocks):  # as many as the stated query set needs; each passes once over the candidates
-        mine = asked.where(F.pmod(F.xxhash64("id"), blocks) == block).orderBy("id").toPandas()
+        mine = asked.where(F.pmod(F.xxhash64("id"), blocks) == block).orderBy("id").toArrow()
         state = {}
-        for n, (ids, q) in _by_length(mine["id"].tolist(), mine["v"].tolist()).items():
+        for n, (ids, q) in _by_length(mine["id"].to_pylist(), mine["v"].to_pylist()).items():
             seed = Search(ids, q, k)
             for at in range(0, len(ids), 512):
                 seed.add(np.arange(len(ids)), ids[at : at + 512], products(q, q[at : at + 512]))

@@ -16,8 +16,10 @@ def brute(rows, k):
     return sorted(out)
 
 
-def run(spark, rows, monkeypatch, leaf=4, shard=40, block=7):
+def run(spark, rows, monkeypatch, shard=40, block=7):
+    """Blocks of 7 queries; shards of 40 rows, so that a task carries its kth scores from one to the next."""
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "SHARD", shard)
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string").repartition(3)
     return sorted(map(tuple, topk.search(df, "vec_id", "embedding", F.col("id") % 5 == 0, k=4).collect()))
 
@@ -31,6 +33,24 @@ def test_equals_brute_force(spark, monkeypatch):
     assert run(spark, rows, monkeypatch) == brute(rows, 4)
 
 
+def test_scores_beyond_floats_and_longs():
+    import numpy as np
+
+    for size in (2**20, 2**28, 2**40, 2**62):
+        a = np.array([[size, -size, 3], [size - 1, 5, -7]], np.int64)
+        b = np.array([[size + 1, 2, size], [1, size, -size], [0, 0, 1]], np.int64)
+        want = [[max(-(2**63) + 2, min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(u, v)))) for v in b] for u in a]
+        assert topk.products(a, b).tolist() == want
+
+
+def test_great_components(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, [r.choice([-1, 1]) * 2.0 ** r.randint(0, 17) + r.random() for _ in range(4)]) for i in range(120)]
+    assert run(spark, rows, monkeypatch) == brute(rows, 4)
+    great = [(0, [2.0**40, 0.0]), (1, [2.0**40, 1.0]), (2, [-(2.0**40), 0.0]), (3, [1.0, 1.0])]
+    assert run(spark, great, monkeypatch) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**60), (0, 3, 2, -(2**63) + 2)]
+
+
 def test_few_and_none(spark, monkeypatch):
     assert run(spark, [(0, [1.0]), (1, [2.0])], monkeypatch) == [(0, 1, 1, 1024 * 2048)]
     assert run(spark, [(0, [1.0])], monkeypatch) == run(spark, [], monkeypatch) == run(spark, [(1, [1.0]), (2, [1.0])], monkeypatch) == []
