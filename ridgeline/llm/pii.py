@@ -3,7 +3,8 @@
 Plain identifiers are found in the text itself. Then a chain of transducers rewrites the text: homoglyphs become ASCII,
 invisible characters vanish, spelled digits become digits, "at" and "dot" in their disguises become @ and a full stop.
 Every rewritten character remembers the source characters that it stands for, so what the same detectors find in the
-rewritten text maps back to a span of the source. Such a span is added unless it overlaps a plain one of its kind.
+rewritten text maps back to a span of the source. Such a span is added unless it lies in a plain one of its kind, so an
+address of which only a part is plain is found whole, besides its plain part.
 
 Null and empty text: no spans. Very long texts: searched whole, in time linear in their length. Repeated rows: each
 searched. Ties: detectors take the leftmost match and never overlap themselves. Columns besides those named are dropped,
@@ -51,6 +52,13 @@ BRACKETED_AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@|arroba|arobase)[ ]?[\])}>][ ]
 BRACKETED_DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.|punto|point|punkt)[ ]?[\])}>][ ]?", re.I)
 #: Without brackets only as a whole: name at host dot name, where every dot after the host is a word or a full stop.
 WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ ]dot[ ][A-Za-z0-9_%+-]{1,64}){0,3}[ ]at[ ][A-Za-z0-9-]{1,63}(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]{1,63}){0,4}[ ]dot[ ][A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
+#: An address with @, whose dots on either side may be words.
+DOTS_AFTER = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]{1,63}){0,4}[ ]dot[ ][A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
+DOTS_BEFORE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:[ ]dot[ ][A-Za-z0-9_%+-]{1,64}){1,3}(?=@[A-Za-z0-9-]+\.)", re.I)
+#: A name at a host with plain dots is prose ("look at example.com"), unless the name isn't a word or what is before it speaks of mail.
+PLAIN_HOST = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})[ ]at[ ][A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
+HANDLE = re.compile(r"[A-Za-z0-9][._%+-][A-Za-z0-9]|[0-9]")
+MAIL_BEFORE = re.compile(r"(?:mail|courriel|correo|adress|address|adresse|dirección|kontakt|contact)[^\W_]*(?:[ ]?[:=]|[ ](?:is|ist|est|es|me|us|to|an))?[ ]?\Z", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ ]@[ ](?=[A-Za-z0-9-]+[ ]?\.)|(?<=[A-Za-z0-9])[ ]@(?=[A-Za-z0-9-]+\.)")
 PLUS = re.compile(r"(?<![^\W_])plus[ ](?=[0-9])", re.I)
 FIGURE = re.compile(rf"(?P<word>{DIGIT_WORD})|(?P<dot>[ ]dot[ ])|, |[ ]", re.I)
@@ -159,9 +167,15 @@ def normalise(text: str) -> Mapped:
     for x in WORDED.finditer(m.text) if " at " in low and " dot " in low else ():  # what it can't match without
         for y in re.finditer(r"[ ](at|dot)[ ]", x[0], re.I):
             edits.append((x.start() + y.start(), x.start() + y.end(), "@" if y[1].lower() == "at" else "."))
-    m.rewrite(edits)
+    for x in PLAIN_HOST.finditer(m.text) if " at " in low else ():
+        if HANDLE.search(x[1]) or MAIL_BEFORE.search(m.text, max(0, x.start() - 32), x.start()):
+            edits.append((x.end(1), x.end(1) + 4, "@"))
+    m.rewrite(sorted({*edits}))
     if " @" in m.text:
         m.rewrite([(*x.span(), "@") for x in SPACED_AT.finditer(m.text)])
+    if "@" in m.text and " dot " in low:
+        for part in (DOTS_AFTER, DOTS_BEFORE):
+            m.rewrite([(x.start() + y.start(), x.start() + y.end(), ".") for x in part.finditer(m.text) for y in re.finditer(r"[ ]dot[ ]", x[0], re.I)])
     spelled = SPELLED_WORD.search(m.text)  # without one and without " dot ", no run would change
     edits, x = [], DOTTED.search(m.text) if spelled or " dot " in low else None
     while x:
@@ -195,7 +209,7 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
         for kind, found in plain(m.text).items():
             for a, b in found:
                 start, end = m.span(a, b)
-                if all(end <= s or e <= start for s, e in every[kind]):
+                if not any(s <= start and end <= e for s, e in every[kind]):
                     every[kind].append((start, end))
             every[kind].sort()
     return base, every

@@ -99,3 +99,25 @@ def test_disguises_without_other_hints():
     assert extra("ip ①.1.2.⓪ here") == {"ip": ["①.1.2.⓪"]}
     assert extra("card 4111 1111 one 111 1111 1111") == {} and extra("card 4111 1111 1111 111 one") == {"card": ["4111 1111 1111 111 one"]}
     assert extra("300 dot 168 dot 1 dot 10, chapter 2 dot 3, five plus 4") == {}
+
+
+def test_half_disguised_addresses_are_found_whole():
+    for text, want in (
+        ("write jo@example dot com now", "jo@example dot com"),
+        ("jo dot smith@example.com", "jo dot smith@example.com"),
+        ("mail: jo at example.com", "jo at example.com"),
+        ("ask jo.smith at example.com", "jo.smith at example.com"),
+        ("jo\u2024smith@ex.com", "jo\u2024smith@ex.com"),
+        ("jo\ufe6bexample.com", "jo\ufe6bexample.com"),
+        ("JO@Example DOT co DOT uk", "JO@Example DOT co DOT uk"),
+    ):
+        spans = pii.find(text)[1]["email"]
+        assert any(text[a:b] == want for a, b in spans), text
+    for text in ("look at example.com today", "we met at noon. dot dot dot", "the polka dot dress @ home"):
+        assert not pii.find(text)[1]["email"], text
+
+
+def test_digits_of_other_scripts():
+    for text in ("ip \u09e7\u09e8.1.2.\u09e9 x", "ip \u0e51\u0e52.1.2.\u0e53 x", "plus 1 988 555 2485"):
+        base, every = pii.find(text)
+        assert not any(base.values()) and sum(map(len, every.values())) == 1, text
