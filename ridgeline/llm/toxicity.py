@@ -20,7 +20,7 @@ A label row with a null label or key, or whose document is missing, is ignored.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from zlib import crc32
 
 import numpy as np
@@ -82,7 +82,7 @@ class Model:
         values = (self.vectors @ (self.weights[:, 1] - self.weights[:, 0]))[flat]
         return np.add.reduceat(values, np.cumsum(sizes) - sizes) / sizes
 
-    def fit(self, texts: list[list[str]], labels: list[int], rounds: int = 4, epochs: int = 4, batch: int = 256, seed: int = 7) -> Model:
+    def fit(self, texts: Iterable[list[str]], labels: list[int], rounds: int = 4, epochs: int = 4, batch: int = 256, seed: int = 7) -> Model:
         """Every fourth text is kept from the vectors and scales the softmax, so that a text's margin becomes a probability."""
         rng = np.random.default_rng(seed)
         vocabulary: dict[str, int] = {}
@@ -92,12 +92,12 @@ class Model:
             places = np.asarray(spans_of(len(ids)))[:, None] + np.arange(SPAN)
             rows.append(np.where(places < len(ids), np.append(ids, -1)[np.minimum(places, len(ids))], -1).astype(np.int32))
             sizes.append(len(rows[-1]))
-        spans, owner, label = np.concatenate(rows), np.repeat(np.arange(len(texts)), sizes), np.asarray(labels)
-        bags = [grams(w) for w in vocabulary]
-        sizes = np.asarray([len(b) for b in bags])
-        flat = np.fromiter((x for b in bags for x in b), int)
+        spans, owner, label = np.concatenate(rows), np.repeat(np.arange(len(labels)), sizes), np.asarray(labels)
+        bags = [np.asarray(grams(w), np.int32) for w in vocabulary]
+        sizes, flat = np.asarray([len(b) for b in bags]), np.concatenate(bags) if bags else np.zeros(0, np.int32)
+        del rows, bags, vocabulary
         begins = np.cumsum(sizes) - sizes
-        tuning = np.zeros(len(texts), bool)
+        tuning = np.zeros(len(label), bool)
         for y in (0, 1):
             tuning[np.flatnonzero(label == y)[::4][: (label == y).sum() // 2]] = True
         mine = ~tuning[owner]
@@ -125,7 +125,7 @@ class Model:
                     take = mix[at : at + batch]
                     self._step(spans[some[take]], target[take], flat, begins, sizes, rate)
         margin = self._margins(spans, flat, sizes)
-        best = np.full(len(texts), -np.inf)
+        best = np.full(len(label), -np.inf)
         np.maximum.at(best, owner, margin)
         self._tune(best[tuning], label[tuning])
         self.seen = []  # only training needs it
@@ -235,7 +235,7 @@ def trained(rows: DataFrame, learn: Callable[[list[str], np.ndarray], object]) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held: Column, bound: int = SAMPLE) -> Model | None:
-    return trained(sample(docs, labels, key, text, label, held, bound), lambda texts, y: Model().fit([words(t) for t in texts], y.tolist()))
+    return trained(sample(docs, labels, key, text, label, held, bound), lambda texts, y: Model().fit(map(words, texts), y.tolist()))
 
 
 def score(df: DataFrame, key: str, text: str, model: Model | None) -> DataFrame:
