@@ -26,7 +26,7 @@ from ridgeline.llm.common import map_rows
 
 # Fixed values of HTML.
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead tr ul".split()
 )
 #: Their contents are no text of the page.
 RAW_TAGS = frozenset("script style textarea title iframe template noembed noframes desc metadata".split())
