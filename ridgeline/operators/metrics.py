@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.storage import written
+
 # Fixed values of the comparison of two models.
 EVIDENCE = {"pairs": 20, "groups": 3, "agreement": 0.75}
 
@@ -42,22 +44,33 @@ def discounted(gain: Column, rank: Column, limit: int) -> Column:
     return F.sum(F.when(rank <= limit, (F.pow(F.lit(2.0), gain) - 1) / F.log2(rank + 1.0)).otherwise(0.0))
 
 
-def ndcg(rows: DataFrame, limit: int) -> DataFrame:
-    """query_id, ndcg from (query_id, rank, gain): over the best order of the same gains; 0 if that is 0."""
+def ndcg(rows: DataFrame, **limits: int) -> DataFrame:
+    """query_id and a column for each limit, by its name, from (query_id, rank, gain): over the best order of the same gains; 0 if that is 0."""
     ideal = Window.partitionBy("query_id").orderBy(F.desc("gain"))
-    both = rows.withColumn("ideal_rank", F.row_number().over(ideal)).groupBy("query_id").agg(discounted(F.col("gain"), F.col("rank"), limit).alias("got"), discounted(F.col("gain"), F.col("ideal_rank"), limit).alias("best"))
-    return both.select("query_id", F.when(F.col("best") > 2.220446049250313e-16, F.col("got") / F.col("best")).otherwise(0.0).alias("ndcg"))
+    got, best = ([discounted(F.col("gain"), F.col(rank), limit).alias(f"_{rank}_{name}") for name, limit in limits.items()] for rank in ("rank", "ideal_rank"))
+    both = rows.withColumn("ideal_rank", F.row_number().over(ideal)).groupBy("query_id").agg(*got, *best)
+    return both.select("query_id", *[F.when(F.col(f"_ideal_rank_{n}") > 2.220446049250313e-16, F.col(f"_rank_{n}") / F.col(f"_ideal_rank_{n}")).otherwise(0.0).alias(n) for n in limits])
 
 
 def auc(rows: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
     """The chance that a positive scores above a negative, ties half; null with one class only.
 
-    Scores are counted first, so the running sums are over distinct scores and not over rows.
+    Scores are counted first, so the running sums are over distinct scores and not over rows. Null scores take no part.
     """
     by = by or []
-    counted = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.sum(1.0 - F.col(label)).alias("_n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    pairs = counted.withColumn("_wins", F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0.0)) + F.col("_n") / 2))
+    # Distinct scores are dealt to ranges: sums within a range, then over ranges, so that no task sorts all scores.
+    counted = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.sum(1.0 - F.col(label)).alias("_n")).where(F.col(score).isNotNull())
+    placed = written(counted.repartitionByRange(score).withColumn("_part", F.spark_partition_id()))  # ranges stay as first dealt
+    sums = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over ranges
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0.0))).drop("_in")
+    below = Window.partitionBy(*by, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0.0)))
+    same = [within[c].eqNullSafe(sums[c]) for c in by]
+    condition = within["_part"] == sums["_part"]
+    for c in same:
+        condition = condition & c
+    pairs = within.join(sums, condition).select(*[within[c] for c in by], "_p", "_n", (F.col("_p") * (F.col("_before") + F.col("_below") + F.col("_n") / 2)).alias("_wins"))
     return pairs.groupBy(*by).agg((F.sum("_wins") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias("auc"))
 
 

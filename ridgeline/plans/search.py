@@ -124,7 +124,7 @@ def _graded(spark, sf_dir) -> DataFrame:
 
 def graded_ndcg(spark, sf_dir):
     rows = metrics.gains(_graded(spark, sf_dir), "sim")
-    return metrics.ndcg(rows, 5).join(metrics.ndcg(rows, 10).withColumnRenamed("ndcg", "ndcg10"), "query_id").select("query_id", F.round("ndcg", 6).alias("ndcg_at_5"), F.round("ndcg10", 6).alias("ndcg_at_10"))
+    return metrics.ndcg(rows, ndcg_at_5=5, ndcg_at_10=10).select("query_id", F.round("ndcg_at_5", 6).alias("ndcg_at_5"), F.round("ndcg_at_10", 6).alias("ndcg_at_10"))
 
 
 def neighbor_recall(spark, sf_dir):

@@ -110,7 +110,7 @@ def test_auc_and_ndcg(spark):
     assert metrics.auc(df, "y", "s").first()[0] == pytest.approx((0.5 + 1 + 0 + 1) / 4)
     assert metrics.auc(df.where("y = 1"), "y", "s").first()[0] is None
     g = spark.createDataFrame([(1, 1, 0.2), (1, 2, 1.0), (2, 1, 0.0)], "query_id long, rank long, gain double")
-    got = {r.query_id: r.ndcg for r in metrics.ndcg(g, 5).collect()}
+    got = {r.query_id: r.ndcg for r in metrics.ndcg(g, ndcg=5).collect()}
     want = ((2**0.2 - 1) + 1 / math.log2(3)) / (1 + (2**0.2 - 1) / math.log2(3))
     assert got == {1: pytest.approx(want), 2: 0.0}
 
@@ -246,3 +246,34 @@ def test_batches_of_profiles_equal_single_ones(spark):
                 sides[side].append(y[k, j])
                 j += step
         assert rise == y[k, p] - max(map(min, sides))
+
+
+def test_topk_in_blocks_and_shards(spark, monkeypatch):
+    """Blocks of queries meet shards of the corpus, one large group and null groups included."""
+    from ridgeline.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "SHARD", 11)
+    r = np.random.default_rng(6)
+    rows = [(i, (0 if i % 3 else i % 4) if i % 10 else None, r.normal(size=5).tolist()) for i in range(90)] + [(None, 0, [1.0] * 5), (95, 1, None)]
+    df = spark.createDataFrame(rows, "id long, grp long, v array<double>")
+    good = [x for x in rows if x[0] is not None and x[2] is not None]
+    for same in (False, True):
+        want = []
+        for i, g, v in good:
+            some = [(-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9), j) for j, h, w in good if j != i and (not same or g is not None and g == h)]
+            want += [(i, j, n + 1, -s) for n, (s, j) in enumerate(sorted(some)[:4])]
+        got = search.topk(df, df, 4, same_group=same).select("query_id", "id", "rank", "score").collect()
+        assert sorted((a, b, c) for a, b, c, _ in got) == sorted((a, b, c) for a, b, c, _ in want)
+    assert search.topk(df.limit(0), df, 4).count() == search.topk(df, df.limit(0), 4).count() == 0
+
+
+def test_auc_by_groups_with_nulls(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(r.integers(0, 2)), float(r.integers(0, 9)), ["a", "b", None][i % 3]) for i in range(300)] + [(1, None, "a")]
+    df = spark.createDataFrame(rows, "y int, s double, g string").repartition(5)
+    for by in ([], ["g"]):
+        for row in metrics.auc(df, "y", "s", by).collect():
+            some = [(y, s) for y, s, g in rows if s is not None and (not by or g == row["g"])]
+            pairs = [(s > t) + (s == t) / 2 for y, s in some if y for z, t in some if not z]
+            assert row["auc"] == pytest.approx(sum(pairs) / len(pairs))
