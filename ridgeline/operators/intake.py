@@ -19,7 +19,8 @@ def errors(*rules: tuple[Column, str]) -> Column:
 
 def repeated(key: str, position: str) -> Column:
     """Whether an earlier row has the same key; null keys never repeat."""
-    return F.col(key).isNotNull() & (F.row_number().over(Window.partitionBy(key).orderBy(position)) > 1)
+    apart = F.when(F.col(key).isNull(), F.col(position))  # so that they don't meet in one task
+    return F.col(key).isNotNull() & (F.row_number().over(Window.partitionBy(key, apart).orderBy(position)) > 1)
 
 
 def manifest(rows: DataFrame, position: str = "position") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.operators.feedback import latest
+from ridgeline.storage import written
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -59,17 +60,34 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number from 1 within each group, and `name`_of, the size of the group.
+
+    Rows are dealt to ranges of (by, order), numbered there and moved by what lies in ranges before, so that no task sorts
+    a large group, or all rows where there is no group. Ties in the order: in any order, so it should be a key.
+    """
+    placed = written(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    some = Window.partitionBy(*by)
+    counts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_n"))  # a row for each range that a group reaches
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(some.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), f"{name}_of": F.sum("_n").over(some)}).drop("_n")
+    counts = counts.toDF(*[f"_of_{c}" for c in by], "_of_part", "_before", f"{name}_of")
+    within = placed.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    same = F.col("_part") == F.col("_of_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return within.join(counts, same).withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).select(*rows.columns, name, f"{name}_of")
+
+
 def group_split(groups: DataFrame, key: str, seed: int, fraction: float, by: str | None = None, least: int = 1) -> DataFrame:
     """groups with held_out: the first max(1, min(n - 1, round(n * fraction))) by hash, in each stratum if `by` is given.
 
     Rounding is half to even. A stratum of fewer than two groups has none held out. Groups are distinct keys.
     """
-    part = [by] if by else []
-    w = Window.partitionBy(*part)
-    n = F.count("*").over(w)
-    place = F.row_number().over(w.orderBy(hash_order(F.col(key), seed), key))
+    hashed = groups.withColumn("_hash", hash_order(F.col(key), seed))
+    placed = numbered(hashed, [by] if by else [], ["_hash", key], "_place")
+    n = F.col("_place_of")
     want = F.greatest(F.lit(least), F.least(n - 1, F.bround(n * fraction).cast("long")))
-    return groups.withColumn("held_out", (n >= 2) & (place <= want))
+    return placed.withColumn("held_out", (n >= 2) & (F.col("_place") <= want)).drop("_hash", "_place", "_place_of")
 
 
 def round_robin(rows: DataFrame, group: str, order: list[Column], take: int) -> DataFrame:

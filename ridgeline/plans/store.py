@@ -175,8 +175,8 @@ def latest_rows(spark, sf_dir):
 
 def chunk_numbers(spark, sf_dir):
     o = parquet(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey")
-    n = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey"))
-    return o.withColumn("chunk", F.floor((n - 1) / 1000)).groupBy("o_orderstatus", "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+    numbers = tables.numbered(o, ["o_orderstatus"], ["o_orderkey"], "n")
+    return numbers.withColumn("chunk", F.floor((F.col("n") - 1) / 1000)).groupBy("o_orderstatus", "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
 def variant_rollup(spark, sf_dir):

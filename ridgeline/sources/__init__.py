@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.storage import written
+
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,20 +84,31 @@ class VersionedTable:
         out = self._fs.create(tmp, True)
         out.write(bytearray(name.encode()))
         out.close()
-        current = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(tmp, current)
+        sc = self.spark.sparkContext
+        options = sc._jvm.org.apache.hadoop.fs.Options.Rename
+        over = sc._gateway.new_array(options, 1)
+        over[0] = options.OVERWRITE
+        files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        files.rename(files.makeQualified(tmp), files.makeQualified(self._path(f"{self.root}/CURRENT")), over)
         return name
 
+    def vacuum(self) -> int:
+        """Deletes all versions but the current one; returns how many. No reader of an older one may be at work."""
+        now, gone = self.version(), 0
+        for status in self._fs.listStatus(self._path(self.root)):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name != now:
+                gone += bool(self._fs.delete(status.getPath(), True))
+        return gone
+
     def upsert(self, source: DataFrame, key: str, order: list[str]) -> int:
         """Rows of the source by key, the last one each; returns how many keys it has."""
         from ridgeline.operators.feedback import latest
         from ridgeline.operators.tables import upsert
 
-        now = self.read()
-        self.replace(upsert(now, source, key, order) if now is not None else latest(source, [key], order).select(source.columns))
-        return source.select(key).distinct().count()
+        now, last = self.read(), written(latest(source, [key], order).select(source.columns))
+        self.replace(upsert(now, last, key, order) if now is not None else last)
+        return last.count()
 
     def clear(self) -> None:
         now = self.read()

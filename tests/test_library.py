@@ -277,3 +277,38 @@ def test_auc_by_groups_with_nulls(spark):
             some = [(y, s) for y, s, g in rows if s is not None and (not by or g == row["g"])]
             pairs = [(s > t) + (s == t) / 2 for y, s in some if y for z, t in some if not z]
             assert row["auc"] == pytest.approx(sum(pairs) / len(pairs))
+
+
+def test_numbers_over_ranges(spark):
+    r = np.random.default_rng(2)
+    rows = [(["a", "b", None][int(r.integers(0, 3)) if i % 4 else 0], i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(7)
+    for by in ([], ["g"]):
+        got = {x["k"]: (x["n"], x["n_of"]) for x in tables.numbered(df, by, ["k"], "n").collect()}
+        for g, k in rows:
+            some = sorted(j for h, j in rows if not by or h == g)
+            assert got[k] == (some.index(k) + 1, len(some))
+    assert tables.numbered(df.limit(0), ["g"], ["k"], "n").count() == 0
+
+
+def test_versions_are_replaced_at_once_and_vacuumed(spark, tmp_path):
+    table = sources.VersionedTable(spark, str(tmp_path / "t"))
+    for n in range(3):
+        assert table.upsert(spark.createDataFrame([(i, n) for i in range(n, n + 3)] * 2, "id long, at int"), "id", ["at"]) == 3
+    assert sorted(map(tuple, table.read().collect())) == [(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)]
+    assert table.vacuum() == 2 and table.vacuum() == 0 and table.read().count() == 5
+
+
+def test_selection(spark):
+    from ridgeline.operators import selection
+
+    df = spark.createDataFrame([(1, "a.PNG", None, 10), (2, "b.txt", None, 10), (3, "c", "image/jpeg", 0), (4, "d.webp", "", 5), (5, "e.jpg", "x", 13 * 1024 * 1024), (6, None, None, None)], "i int, name string, mime string, size long")
+    assert [x.fate for x in selection.batch_files(df, "name", "mime", "size", "i", 1).orderBy("i").collect()] == ["accepted", "unsupported", "oversized", "over_limit", "oversized", "unsupported"]
+    m = selection.smoothing(20)
+    line = np.arange(20) ** 2 + 3.0 * np.arange(20) - 1
+    assert np.allclose(m @ line, line) and np.allclose(m.sum(axis=1), 1) and np.allclose(m[10, 6:15] * 231, [-21, 14, 39, 54, 59, 54, 39, 14, -21])
+    assert (selection.smoothing(2) == np.eye(2)).all()
+    row = spark.createDataFrame([([1.0, None],), (None,)], "p array<double>")
+    assert [x.smooth for x in selection.smooth(row, "p", 2).collect()] == [None, None]
+    errors = spark.range(1).select(selection.descriptor_errors(F.lit(1), F.array(F.lit(0.5)), F.array().cast("array<double>"), F.array().cast("array<double>")).alias("e")).first()[0]
+    assert errors == []
