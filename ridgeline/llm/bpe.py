@@ -99,6 +99,9 @@ class Codec:
         self.table = table or PerfectHash(tokens)
         self.pattern = regex.compile(pattern)
         self.packed = [i.to_bytes(4, "little") for i in range(len(tokens))]
+        #: All tokens one after the other: where each starts, and its size.
+        self.bytes, self.sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         #: By two bytes: their heap entry at place 0, or 0 if they don't merge.
         self.pairs = [0 if (r := self.ranks.get(bytes(divmod(x, 256)))) is None else r << 46 | 2 for x in range(65536)]
         self.pieces: dict[str, bytes] = {}
@@ -127,8 +130,7 @@ class Codec:
                 heappush(heap, r << 46 | p << 16 | size)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
+            out.append(rank(piece[i : (i := after[i])]))
         return out
 
     def piece(self, text: str) -> bytes:
@@ -162,7 +164,10 @@ class Codec:
         return b"".join([get(x) or new(x) for x in CHUNK.findall(text or "")])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        which = np.frombuffer(ids, "<u4")
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.arange(len(ids) and ends[-1]) + np.repeat(self.starts[which] - (ends - sizes), sizes)].tobytes()
 
 
 def _codec(df: DataFrame, tokens: list[bytes], pattern: str):
