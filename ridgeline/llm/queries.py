@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, html, jaccard, lines, packing, pii, quality, rules, topk, toxicity
+from ridgeline.llm import bpe, html, importance, jaccard, lines, merkle, packing, pii, quality, rules, simhash, sql, topk, toxicity
 from ridgeline.llm.common import table
 
 
@@ -64,5 +64,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_lines": op4_lines, "op5_rules": op5_rules, "op6_topk": op6_topk, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_html": op9_html, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], "text", lambda k: F.crc32(k.cast("string").cast("binary")) % 5 == 0)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_packing": op3_packing, "op4_lines": op4_lines, "op5_rules": op5_rules, "op6_topk": op6_topk, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_html": op9_html, "op10_toxicity": op10_toxicity, "op11_importance": op11_importance, "op12_merkle": op12_merkle, "op13_simhash": op13_simhash}
+ORACLE_SQL: dict[str, str] = {"op11_importance": sql.importance(), "op12_merkle": sql.merkle()}
