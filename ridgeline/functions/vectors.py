@@ -138,10 +138,15 @@ def floor_quantile(a: Column, f: float) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.element_at(F.array_sort(a), F.least(n, F.floor(n * f).cast("int") + 1)))
 
 
+def units(a: np.ndarray) -> np.ndarray:
+    """Every row over its length; rows without length stay 0."""
+    n = np.linalg.norm(a, axis=1, keepdims=True)
+    return a / np.where(n > 0, n, np.inf)
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of every row of a with every row of b; 0 where a row has no length."""
-    x, y = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, np.inf) for m in (a, b))
-    return np.clip(x @ y.T, -1.0, 1.0)
+    return np.clip(units(a) @ units(b).T, -1.0, 1.0)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, max_shift: int = MAX_SHIFT) -> np.ndarray:

@@ -1,94 +1,39 @@
 """Exact filtered top-k search, collapse, pools, blends, head re-ranking and reasons.
 
-A corpus is a DataFrame of (id, grp, v): an id, a state count or other group, and a vector. Queries have the same
-columns. Blocks of queries meet shards of the corpus, both of bounded size, in the executors; a pair of them returns at
-most k rows of each query, which a window merges. Scores are compared at nine decimals, ties go to the smaller id.
+`nearest` has the search itself; here is what comes before and after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import vectors
+from ridgeline.operators.nearest import Kernel, ranked, topk  # noqa: F401
 
-BLOCK, SHARD = 1024, 4096
 # Weights of the views, of the retrieval score in the final one, and of base score parts.
 IMAGE_WEIGHT, CURVE_WEIGHT, CALIBRATION = 0.18, 0.82, 0.30
 BASE_WEIGHTS = {"image_cosine": 0.30, "curve_cosine": 0.38, "peak_count_similarity": 0.10, "peak_location_similarity": 0.07, "peak_width_similarity": 0.05, "valley_similarity": 0.05, "tail_slope_similarity": 0.05}
 MODEL_WEIGHTS = {"curve_cosine": 0.70, "model_score": 0.25, "retrieval_score": 0.05}
 
-Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
 
 def two_views(image: float = IMAGE_WEIGHT, curve: float = CURVE_WEIGHT, aligned: bool = False) -> Kernel:
     """The weighted cosine of a vector's first and second half. Raises ValueError unless weights are >= 0 and not all 0."""
     if image < 0 or curve < 0 or image + curve <= 0:
         raise ValueError("weights must not be negative, nor all zero")
 
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h = a.shape[1] // 2
         second = vectors.aligned if aligned else vectors.cosines
         return (image * vectors.cosines(a[:, :h], b[:, :h]) + curve * second(a[:, h:], b[:, h:])) / (image + curve)
 
-    return kernel
-
-
-def topk(corpus: DataFrame, queries: DataFrame, k: int, kernel: Kernel = vectors.cosines, same_group: bool = False, exclude_self: bool = True) -> DataFrame:
-    """query_id, query_grp, id, grp, score, rank (bigint, from 1). Raises ValueError if k < 1.
-
-    Every block of about BLOCK queries meets every shard of about SHARD rows in a task of its own; with same_group, only
-    those of its group do, so a group of any size is split like all rows are. Nothing comes to the driver.
-    """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    group = F.col("grp").cast("long") if same_group else F.lit(0).cast("long")
-    rows = [t.select(F.col("id").cast("long").alias("id"), F.col("grp").cast("long").alias("grp"), "v", group.alias("_g")).where("id IS NOT NULL AND v IS NOT NULL AND _g IS NOT NULL") for t in (queries, corpus)]
-    sizes = rows[0].groupBy("_g").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks")).join(rows[1].groupBy("_g").agg(F.ceil(F.count("*") / SHARD).alias("_shards")), "_g")
-    if not same_group:
-        sizes = F.broadcast(sizes)  # one row
-    cells = []
-    for t, own, other, mine, theirs in ((rows[0], "_q", "_c", "_blocks", "_shards"), (rows[1], "_c", "_q", "_shards", "_blocks")):
-        placed = t.join(sizes, "_g").withColumn(own, F.pmod(F.xxhash64("id"), F.col(mine)))
-        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1))).select("_g", "_q", "_c", "id", "grp", "v")
-        names = [f"{own}_{c}" for c in placed.columns]  # a corpus may be its own queries, whose columns would be the same ones
-        cells.append(placed.toDF(*names).groupBy(*names[:3]))
-    return ranked(cells[0].cogroup(cells[1]).applyInArrow(_pair(k, kernel, exclude_self), "query_id long, query_grp long, id long, grp long, score double"), k)
-
-
-def _pair(k: int, kernel: Kernel, exclude_self: bool):
-    schema = pa.schema([("query_id", pa.int64()), ("query_grp", pa.int64()), ("id", pa.int64()), ("grp", pa.int64()), ("score", pa.float64())])
-
-    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        if not asked.num_rows or not rows.num_rows:
-            return schema.empty_table()
-        asked, rows = (t.select([3, 4, 5]).rename_columns(["id", "grp", "v"]) for t in (asked, rows))
-        q, c = (np.stack(t["v"].to_numpy()).astype(float) for t in (asked, rows))
-        ids, cid = asked["id"].to_numpy(), rows["id"].to_numpy()
-        order = np.argsort(cid, kind="stable")
-        cid, c = cid[order], c[order]
-        score = np.round(kernel(q, c), 9)
-        if exclude_self:
-            score[ids[:, None] == cid[None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(score, best, 1)
-        row, col = np.nonzero(np.isfinite(top))
-        at = best[row, col]
-        groups = [t["grp"].combine_chunks().take(pa.array(i)) for t, i in ((asked, row), (rows, order[at]))]
-        return pa.Table.from_arrays([pa.array(ids[row]), groups[0], pa.array(cid[at]), groups[1], pa.array(top[row, col])], schema=schema)
-
-    return run
-
-
-def ranked(rows: DataFrame, k: int | None = None, by: str = "score", per: str = "query_id") -> DataFrame:
-    """rank within each query by score, ties to the smaller id; the k first."""
-    order = Window.partitionBy(per).orderBy(F.desc(by), F.asc("id"))
-    out = rows.withColumn("rank", F.row_number().over(order).cast("long"))
-    return out if k is None else out.where(F.col("rank") <= k)
+    def embed(a: np.ndarray) -> np.ndarray:
+        h = a.shape[1] // 2
+        parts = [np.sqrt(w / (image + curve)) * vectors.units(x) for w, x in ((image, a[:, :h]), (curve, a[:, h:]))]
+        return np.concatenate(parts, axis=1)
+
+    return Kernel(score, None if aligned else embed)
 
 
 def collapse(rows: DataFrame, sample: str, limit: int) -> DataFrame:

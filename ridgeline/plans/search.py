@@ -40,7 +40,7 @@ def weighted_two_view_topk(spark, sf_dir):
 
 def aligned_similarity_topk(spark, sf_dir):
     c = corpus(spark, sf_dir, "c")
-    return shown(search.topk(c, c, 5, vectors.aligned, same_group=True))
+    return shown(search.topk(c, c, 5, search.Kernel(vectors.aligned), same_group=True))
 
 
 def sample_collapse_topk(spark, sf_dir):

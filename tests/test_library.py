@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ridgeline import sources, streaming
 from ridgeline.functions import shape, text, vectors
-from ridgeline.operators import feedback, intake, learn, metrics, search, tables
+from ridgeline.operators import feedback, intake, learn, metrics, nearest, search, tables
 
 T_PAIR = T.StructType([T.StructField("q", shape.DESCRIPTOR), T.StructField("c", shape.DESCRIPTOR)])
 
@@ -80,7 +80,7 @@ def vectors_table(spark, rows):
 
 
 def test_topk(spark, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(nearest, "BLOCK", 7)
     r = random.Random(3)
     rows = [(i, i % 3, [r.gauss(0, 1) for _ in range(6)]) for i in range(40)] + [(50, 0, [0.0] * 6), (51, 0, [1.0] * 6), (52, 1, [1.0] * 6), (53, 0, None)]
     got = sorted(map(tuple, search.topk(vectors_table(spark, rows).repartition(3), vectors_table(spark, rows), 3, same_group=True).select("query_id", "id", "rank").collect()))
@@ -249,11 +249,9 @@ def test_batches_of_profiles_equal_single_ones(spark):
 
 
 def test_topk_in_blocks_and_shards(spark, monkeypatch):
-    """Blocks of queries meet shards of the corpus, one large group and null groups included."""
-    from ridgeline.operators import search
-
-    monkeypatch.setattr(search, "BLOCK", 7)
-    monkeypatch.setattr(search, "SHARD", 11)
+    """Blocks of queries meet cells of the corpus, one large group and null groups included."""
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    monkeypatch.setattr(nearest, "SHARD", 11)
     r = np.random.default_rng(6)
     rows = [(i, (0 if i % 3 else i % 4) if i % 10 else None, r.normal(size=5).tolist()) for i in range(90)] + [(None, 0, [1.0] * 5), (95, 1, None)]
     df = spark.createDataFrame(rows, "id long, grp long, v array<double>")
