@@ -33,10 +33,14 @@ SLACK = 1e-7
 
 @dataclass(frozen=True)
 class Kernel:
-    """score: of every row of a with every row of b. embed: rows of length 1 (or 0) whose products are the scores."""
+    """score: of every row of a with every row of b. embed: rows of length 1 (or 0) whose products are the scores.
+
+    hopeful: like score, with the number of rows of b that are kept for each of a; it may give -inf to others.
+    """
 
     score: Callable[[np.ndarray, np.ndarray], np.ndarray]
     embed: Callable[[np.ndarray], np.ndarray] | None = None
+    hopeful: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None = None
 
 
 COSINE = Kernel(vectors.cosines, vectors.units)
@@ -71,11 +75,27 @@ def best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row, at[row, place]
 
 
+def best_of_groups(score: np.ndarray, groups: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the best finite score of each group, for the k best groups of each row."""
+    order = np.argsort(groups, kind="stable")
+    starts = np.flatnonzero(np.r_[True, groups[order][1:] != groups[order][:-1]])
+    n = score.shape[1]
+    rank = np.rint(np.where(np.isfinite(score), score, -4e6) * 1e9).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+    first = np.maximum.reduceat(rank[:, order], starts, axis=1)
+    at = np.argsort(-first, axis=1, kind="stable")[:, :k]
+    column = n - 1 - np.take_along_axis(first, at, 1) % n
+    row, place = np.nonzero(np.isfinite(np.take_along_axis(score, column, 1)))
+    return row, column[row, place]
+
+
 _FOUND = "query_id long, query_grp long, id long, grp long, score double"
 
 
-def meet(rows: DataFrame, asked: DataFrame, k: int, kernel: Kernel, exclude_self: bool) -> DataFrame:
-    """The k best rows of every query in every cell (_g, _c) that it was sent to; with a column `floor`, those that reach it."""
+def meet(rows: DataFrame, asked: DataFrame, k: int, kernel: Kernel, exclude_self: bool, per_group: bool = False) -> DataFrame:
+    """The k best rows of every query in every cell (_g, _c) that it was sent to; with a column `floor`, those that reach it.
+
+    per_group: the best row of each grp alone counts, null groups as one.
+    """
     schema = pa.schema([("query_id", pa.int64()), ("query_grp", pa.int64()), ("id", pa.int64()), ("grp", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +113,17 @@ def meet(rows: DataFrame, asked: DataFrame, k: int, kernel: Kernel, exclude_self
                 order = np.argsort(whole["id"].to_numpy(), kind="stable")
                 cell = matrix(whole["v"].chunk(0))[order], whole["id"].to_numpy()[order], whole["grp"].take(pa.array(order)).combine_chunks()
             x, ids, groups = cell
+            codes = groups.dictionary_encode(null_encoding="encode").indices.to_numpy() if per_group else None
             for at in range(0, batch.num_rows, BLOCK):
                 some = batch.slice(at, BLOCK)
                 asking = some["id"].to_numpy()
-                score = np.round(kernel.score(matrix(some["v"]), x), 9)
+                q = matrix(some["v"])
+                score = np.round(kernel.hopeful(q, x, k + exclude_self) if kernel.hopeful else kernel.score(q, x), 9)
                 if exclude_self:
                     score[asking[:, None] == ids[None, :]] = -np.inf
                 floor = some["floor"].to_numpy(zero_copy_only=False)
                 score[score < np.nan_to_num(floor, nan=-np.inf)[:, None]] = -np.inf
-                row, col = best(score, k)
+                row, col = best_of_groups(score, codes, k) if per_group else best(score, k)
                 yield pa.RecordBatch.from_arrays([pa.array(asking[row]), some["grp"].take(pa.array(row)), pa.array(ids[col]), groups.take(pa.array(col)), pa.array(score[row, col])], schema=schema)
 
     if "floor" not in asked.columns:
@@ -154,6 +176,29 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.abs(np.linalg.norm(x, axis=1) - 1) < 1e-9
 
 
+def distinct_groups(corpus: DataFrame, queries: DataFrame, k: int, kernel: Kernel = COSINE, pool: int = 80, exclude_self: bool = True) -> DataFrame:
+    """query_id, query_grp, id, grp, score, rank: the best row of each of the k best groups (samples).
+
+    A first search takes the `pool` best rows, or 4 k if that is more. Queries whose pool has k groups, or all rows there
+    are, are done. The others, whose nearest rows belong to few groups, meet all cells once more, and each cell gives its
+    best row a group; so a group may hold any number of the first places, and no pool is grown to get past it.
+    """
+    pool = max(pool, 4 * k)
+    n = corpus.where("id IS NOT NULL AND v IS NOT NULL").count()
+    found = written(topk(corpus, queries, pool, kernel, exclude_self=exclude_self))
+    same = Window.partitionBy("query_id", "grp").orderBy(F.desc("score"), F.asc("id"))
+    first = found.drop("rank").withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    if pool >= n:
+        return ranked(first, k)
+    full = found.groupBy("query_id").agg((F.count_distinct("grp") + F.max(F.col("grp").isNull().cast("int"))).alias("groups")).where(F.col("groups") >= k).select("query_id")
+    rest = queries.join(full, F.col("id") == F.col("query_id"), "left_anti")
+    rows, asked = (_plain(t).withColumn("_g", F.lit(0).cast("long")) for t in (corpus, rest))
+    rows, asked = _split(rows, asked, corpus.sparkSession.range(1).select(F.lit(0).cast("long").alias("_g"), F.lit(n).alias("n")))
+    again = meet(rows, asked, k, kernel, exclude_self, per_group=True)
+    again = again.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    return ranked(first.join(full, "query_id", "left_semi").unionByName(again), k)
+
+
 def near_centres(rows: DataFrame, centres: np.ndarray, embed: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """rows with _g, the centre of the largest product, and its angle; rows that aren't of length 1 have the angle pi, so no bound excludes them."""
 
