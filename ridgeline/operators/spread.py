@@ -4,6 +4,7 @@ The rule is sequential: in the order of ids, a row is kept unless a kept one bef
 Rounds find what doesn't depend on the order of work: a row without an undecided earlier neighbour is kept, and its later
 neighbours go. A round asks only whether there is such a neighbour, so no list of pairs is made, however many copies a row
 has. Rounds are as many as the longest chain of rows that wait for one another; copies and dense groups take one or two.
+Once no more rows are undecided than a cell holds, one task goes through them in order.
 """
 
 from __future__ import annotations
@@ -56,6 +57,25 @@ def has_earlier(rows: DataFrame, asked: DataFrame, floor: float, kernel: nearest
     return both.repartition("_g", "_c").sortWithinPartitions("_g", "_c", "_kind").mapInArrow(run, "id long").distinct()
 
 
+def _settled(rows: DataFrame, floor: float, kernel: nearest.Kernel) -> DataFrame:
+    """The kept ones of at most SHARD rows, by the sequential rule in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            whole = pa.Table.from_batches(parts)
+            x = nearest.matrix(whole["v"].combine_chunks())
+            kept: list[int] = []
+            blocked = np.zeros(len(x), bool)
+            for n in np.argsort(whole["id"].to_numpy(), kind="stable").tolist():
+                if not blocked[n]:
+                    kept.append(n)
+                    blocked |= np.round(kernel.score(x[n : n + 1], x)[0], 9) >= floor
+            yield from whole.take(pa.array(kept)).to_batches()
+
+    return rows.select("id", "grp", "v").repartition(1).mapInArrow(run, "id long, grp long, v array<double>")
+
+
 def first_kept(rows: DataFrame, floor: float, kernel: nearest.Kernel = nearest.COSINE) -> DataFrame:
     """(id, grp, v) of the rows that are kept. Ids are keys and give the order; rows without an id or a vector are left out.
 
@@ -65,21 +85,22 @@ def first_kept(rows: DataFrame, floor: float, kernel: nearest.Kernel = nearest.C
         raise ValueError("the kernel must have an embedding")
     plain = nearest._plain(rows)
     n = plain.count()
+    if n <= nearest.SHARD:
+        return _settled(plain, floor, kernel)
     most = max(1, min(nearest.CENTRES, -(-n // nearest.SHARD)))
     seeds = plain.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(most).select("v").toArrow()  # CENTRES rows at most
-    if not seeds.num_rows:
-        return plain
     centres = vectors.units(kernel.embed(nearest.matrix(seeds["v"].combine_chunks())))
     placed = written(nearest.near_centres(plain, centres, kernel.embed))
     known = placed.groupBy("_g").agg(F.max("angle").alias("angle")).toArrow()
     reach = np.full(len(centres), np.nan)
     reach[known["_g"].to_numpy()] = known["angle"].to_numpy()
     open_, kept = placed.drop("angle"), None
-    while not open_.isEmpty():
+    while open_.count() > nearest.SHARD:
         waits = written(has_earlier(open_, open_, floor, kernel, centres, reach))
         free = written(open_.join(waits, "id", "left_anti"))
         kept = free if kept is None else kept.unionByName(free)
         rest = open_.join(waits, "id", "left_semi")
         gone = has_earlier(free, rest, floor, kernel, centres, reach)
         open_ = written(rest.join(gone, "id", "left_anti"))
-    return kept.select("id", "grp", "v") if kept is not None else plain
+    rest = _settled(open_, floor, kernel)
+    return rest if kept is None else kept.select("id", "grp", "v").unionByName(rest)
