@@ -1,10 +1,12 @@
 """Exact top-k search by inner product: ball-tree branch and bound in every shard of the candidates.
 
-Components become integers, floor(1024 x), and scores are integer inner products. Queries come in blocks of a bounded
-size, each broadcast; every task cuts its candidates into shards, builds a ball tree over each and visits nodes in the
-order of their upper bounds, q.c + r|q|. A query leaves a subtree whose bound is below its current kth score. That score
-is shared: it starts as the kth best within the query's own block, which all tasks know, and a task carries it from
-shard to shard. What is left of all tasks, at most k rows of each for a query, is ranked.
+Components become integers, floor(1024 x), and scores are integer inner products. Candidates are dealt out once, to shards
+of rows near one of CENTRES rows at most; a centre with more than SHARD rows is several shards. Every shard is a ball: no
+score of its rows is above q.c + r|q|. A query first goes to the shards of the ball of the largest bound; its kth score
+there is shared with all tasks, as it goes on only to balls whose bound reaches it, and takes it along. A task builds a
+ball tree over a shard, streams the queries sent to it and visits nodes in the order of their bounds; a query leaves a
+subtree whose bound is below its current kth score. What is left of all shards, at most k rows of each for a query, is
+ranked. Queries never pass through the driver, which sees counts, centres and radii.
 
 Vectors that are null, empty or hold null, NaN or infinite components take no part, nor do rows without an id. Vectors
 are compared with those of their own length only. Ties go to the smaller id, and a bound equal to the kth score is still
@@ -20,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import written
+from ridgeline.llm.common import bounded, written
+from ridgeline.operators.nearest import runs, split
 
-LEAF, SHARD, BLOCK = 64, 1 << 15, 4096
+#: Rows of a leaf, of a shard; centres, which all tasks hold; queries that visit a tree together.
+LEAF, SHARD, CENTRES, BLOCK = 64, 1 << 13, 4096, 4096
 #: No score; its negative exists too.
 NONE = -(2**63 - 1)
 
@@ -114,66 +118,143 @@ class Search:
         self.kth[who] = np.maximum(self.kth[who], np.where(last == NONE, -np.inf, last.astype(float)))
 
 
-def _by_length(ids: list[int], vectors: list[list[int]]):
-    """Ids and matrices of the vectors of each length."""
-    groups: dict[int, tuple[list, list]] = {}
-    for i, v in zip(ids, vectors):
-        a, b = groups.setdefault(len(v), ([], []))
-        a.append(i)
-        b.append(v)
-    return {n: (np.asarray(a, np.int64), np.asarray(b, np.int64)) for n, (a, b) in groups.items()}
+def bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """At least the score of every row of each ball, for each query; the last terms cover rounding."""
+    norms = np.linalg.norm(q, axis=1)[:, None]
+    centre, reach = q @ centres.T, norms * radii[None, :]
+    return centre + reach + 1e-9 * (np.abs(centre) + reach) + 1e-12 * norms * np.linalg.norm(centres, axis=1)[None, :] + 0.5
 
 
-def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of each query row. is_query: a condition on the column id."""
-    spark = df.sparkSession
-    rows = integers(df, key, vector)
-    asked = written(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    parts = []
-    for block in range(blocks):  # as many as the stated query set needs; each passes once over the candidates
-        mine = asked.where(F.pmod(F.xxhash64("id"), blocks) == block).orderBy("id").toArrow()
-        state = {}
-        for n, (ids, q) in _by_length(mine["id"].to_pylist(), mine["v"].to_pylist()).items():
-            seed = Search(ids, q, k)
-            for at in range(0, len(ids), 512):
-                seed.add(np.arange(len(ids)), ids[at : at + 512], products(q, q[at : at + 512]))
-            state[n] = (ids, q, seed.kth)
-        shared = spark.sparkContext.broadcast(state)  # at most about BLOCK vectors
-        parts.append(rows.mapInArrow(_task(shared, k), "query_id long, vec_id long, score long"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def lengths(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of the vectors v of a batch: the places of its rows, and their matrix."""
+    size = batch["v"].value_lengths().to_numpy()
+    out = []
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        out.append((at, batch["v"].take(pa.array(at)).flatten().to_numpy().reshape(len(at), n)))
+    return out
+
+
+class Balls:
+    """Centres of each length of vectors, with the place of each among all, and radii once these are known."""
+
+    def __init__(self, seeds: list[list[int]]) -> None:
+        self.at: dict[int, np.ndarray] = {}
+        self.centres: dict[int, np.ndarray] = {}
+        for n in {len(s) for s in seeds}:
+            self.at[n] = np.array([i for i, s in enumerate(seeds) if len(s) == n])
+            self.centres[n] = np.array([seeds[i] for i in self.at[n]], float)
+        self.radii = np.full(len(seeds), np.nan)
 
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each row and its distance; minus the length, where no centre has it."""
+        n = x.shape[1]
+        if n not in self.at:
+            return np.full(len(x), -n), np.zeros(len(x))
+        c = self.centres[n]
+        x = x.astype(float)
+        at = ((c**2).sum(axis=1)[None, :] - 2 * (x @ c.T)).argmin(axis=1)
+        return self.at[n][at], np.linalg.norm(x - c[at], axis=1)
+
+    def reached(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The balls of the queries' length that have rows, and the queries' bounds there."""
+        n = q.shape[1]
+        at = self.at.get(n, np.zeros(0, np.int64))
+        known = ~np.isnan(self.radii[at])
+        if not known.any():
+            return np.array([-n]), np.full((len(q), 1), np.inf)
+        return at[known], bounds(q.astype(float), self.centres[n][known], self.radii[at[known]])
+
+
+def _placed(rows: DataFrame, balls: Balls) -> DataFrame:
+    """rows with _g, the ball, and the distance from its centre."""
 
-def _task(shared, k: int):
     def run(batches):
-        searches = {n: Search(ids, q, k, kth) for n, (ids, q, kth) in shared.value.items()}
-        ids: list[int] = []
-        vectors: list[list[int]] = []
+        for batch in batches:
+            g, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for at, x in lengths(batch):
+                g[at], far[at] = balls.nearest(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g), pa.array(far)], names=[*batch.schema.names, "_g", "far"])
 
-        def shard() -> None:
-            for n, (i, v) in _by_length(ids, vectors).items():
-                if n in searches:
-                    searches[n].visit(Ball(i, v), np.arange(len(searches[n].ids)))
-            ids.clear()
-            vectors.clear()
+    return rows.mapInArrow(run, "id long, v array<long>, _g long, far double")
 
+
+def _sent(asked: DataFrame, balls: Balls, again: bool) -> DataFrame:
+    """A row (id, v, floor, _g) for the ball of a query's largest bound; again: for every other one that reaches its floor."""
+    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.int64())), ("floor", pa.int64()), ("_g", pa.int64())])
+
+    def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                ids += part.column(0).to_pylist()
-                vectors += part.column(1).to_pylist()
-                if len(ids) >= SHARD:
-                    shard()
-        shard()
-        for s in searches.values():
-            for at in range(0, len(s.ids), 1024):
-                scores, found = s.scores[at : at + 1024], s.found[at : at + 1024]
-                real = (scores != NONE) & (scores >= shared.value[s.q.shape[1]][2][at : at + 1024][:, None])
-                asked = np.repeat(s.ids[at : at + 1024], real.sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found[real]), pa.array(scores[real])], names=["query_id", "vec_id", "score"])
-
-    return run
+            for at, q in lengths(batch):
+                places, bound = balls.reached(q)
+                first = bound.argmax(axis=1)
+                row = np.arange(len(q))
+                if again:
+                    floor = batch["floor"].take(pa.array(at)).to_numpy(zero_copy_only=False).astype(float)
+                    wanted = ~(bound < floor[:, None])  # no floor: all
+                    wanted[row, first] = False
+                    row, first = np.nonzero(wanted)
+                for s in range(0, len(row), BLOCK):
+                    some = batch.take(pa.array(at[row[s : s + BLOCK]]))
+                    yield pa.RecordBatch.from_arrays([some["id"], some["v"], some["floor"], pa.array(places[first[s : s + BLOCK]])], schema=schema)
+
+    return asked.select("id", "v", "floor").mapInArrow(run, "id long, v array<long>, floor long, _g long")
+
+
+def _met(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each shard (_g, _c) for each query that was sent to it."""
+
+    def run(batches):
+        now, parts, ball = None, [], None
+        for (g, c, kind), batch in runs(batches, 3):
+            if (g, c) != now:
+                now, parts, ball = (g, c), [], None
+            if not kind:
+                parts.append(batch)
+                continue
+            if not parts:
+                continue
+            if ball is None:
+                ids, v = (pa.chunked_array([p[name] for p in parts]).combine_chunks() for name in ("id", "v"))
+                ball = Ball(ids.to_numpy(), v.flatten().to_numpy().reshape(len(ids), -1))
+            for at in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(at, BLOCK)
+                q = some["v"].flatten().to_numpy().reshape(some.num_rows, -1)
+                floor = some["floor"].to_numpy(zero_copy_only=False).astype(float)
+                floor[np.isnan(floor)] = -np.inf
+                s = Search(some["id"].to_numpy(), q, k, floor)
+                s.visit(ball, np.arange(len(q)))
+                real = (s.scores != NONE) & (s.scores >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s.ids, real.sum(axis=1))), pa.array(s.found[real]), pa.array(s.scores[real])], names=["query_id", "vec_id", "score"])
+
+    columns = ["_g", "_c", "_kind", "id", "v", "floor"]
+    rows = rows.withColumns({"_kind": F.lit(0).cast("long"), "floor": F.lit(None).cast("long")}).select(columns)
+    both = rows.unionByName(asked.withColumn("_kind", F.lit(1).cast("long")).select(columns))
+    return both.repartition("_g", "_c").sortWithinPartitions("_g", "_c", "_kind").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of each query row. is_query: a condition on the column id."""
+    bounded(df.sparkSession)
+    rows = integers(df, key, vector)
+    n = rows.count()
+    seeds = rows.orderBy(F.xxhash64("id", "v"), "id").limit(min(CENTRES, -(-n // SHARD)) or 1).select("v").toArrow()  # CENTRES rows at most
+    balls = Balls(seeds["v"].to_pylist())
+    placed = written(_placed(rows, balls))
+    counts = written(placed.groupBy("_g").agg(F.count("*").alias("n"), F.max("far").alias("far")))
+    known = counts.where("_g >= 0").toArrow()  # a row a centre at most
+    balls.radii[known["_g"].to_numpy()] = known["far"].to_numpy()
+    asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")).withColumn("floor", F.lit(None).cast("long"))
+    here, first = split(placed.drop("far"), _sent(asked, balls, False), counts, SHARD)
+    found = _met(here, first, k)
+    if known.num_rows > 1:
+        found = written(found)
+        floors = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        here, then = split(placed.drop("far"), _sent(asked.drop("floor").join(floors, "id", "left"), balls, True), counts, SHARD)
+        found = found.unionByName(_met(here, then, k))
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")

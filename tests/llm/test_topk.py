@@ -89,3 +89,20 @@ def test_query_equals_brute_force(spark):
     got = op6_topk(spark, sf)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_bounds_spare_balls(spark, monkeypatch):
+    """Of clustered vectors, queries go on to few of the other balls, and the result is that of all pairs."""
+    r = random.Random(7)
+    middle = [[r.gauss(0, 8) for _ in range(6)] for _ in range(10)]
+    rows = [(i, [x + r.gauss(0, 0.05) for x in middle[i % 10]]) for i in range(400)]
+    sent = []
+
+    def counted(placed, asked, k):
+        sent.append(asked.count())
+        return met(placed, asked, k)
+
+    met = topk._met
+    monkeypatch.setattr(topk, "_met", counted)
+    assert run(spark, rows, monkeypatch) == brute(rows, 4)
+    assert len(sent) == 2 and sum(sent) < 0.7 * 80 * 10  # ten shards of 40 rows
