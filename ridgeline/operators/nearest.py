@@ -138,9 +138,10 @@ def _plain(t: DataFrame) -> DataFrame:
     return t.select(F.col("id").cast("long").alias("id"), F.col("grp").cast("long").alias("grp"), F.col("v").cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
 
 
-def _split(rows: DataFrame, asked: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with _c: parts of _g in which counts (_g, n) has more than SHARD rows; queries go to every part."""
-    large = counts.where(F.col("n") > SHARD).select(F.col("_g").alias("_large"), F.ceil(F.col("n") / SHARD).cast("long").alias("_parts"))
+def split(rows: DataFrame, asked: DataFrame, counts: DataFrame, shard: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _c: parts of _g in which counts (_g, n) has more than SHARD rows (or `shard`); queries go to every part."""
+    shard = shard or SHARD
+    large = counts.where(F.col("n") > shard).select(F.col("_g").alias("_large"), F.ceil(F.col("n") / shard).cast("long").alias("_parts"))
     n = large.count()
     if not n:
         return rows.withColumn("_c", F.lit(0).cast("long")), asked.withColumn("_c", F.lit(0).cast("long"))
@@ -161,12 +162,12 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, kernel: Kernel = COSINE,
     rows, asked = _plain(corpus), _plain(queries)
     if same_group:
         rows, asked = (t.where("grp IS NOT NULL").withColumn("_g", F.col("grp")) for t in (rows, asked))
-        rows, asked = _split(rows, asked, rows.groupBy("_g").agg(F.count("*").alias("n")))
+        rows, asked = split(rows, asked, rows.groupBy("_g").agg(F.count("*").alias("n")))
         return ranked(meet(rows, asked, k, kernel, exclude_self), k)
     n = rows.count()
     if n <= SHARD or kernel.embed is None:
         rows, asked = (t.withColumn("_g", F.lit(0).cast("long")) for t in (rows, asked))
-        rows, asked = _split(rows, asked, corpus.sparkSession.range(1).select(F.lit(0).cast("long").alias("_g"), F.lit(n).alias("n")))
+        rows, asked = split(rows, asked, corpus.sparkSession.range(1).select(F.lit(0).cast("long").alias("_g"), F.lit(n).alias("n")))
         return ranked(meet(rows, asked, k, kernel, exclude_self), k)
     return _pruned(rows, asked, n, k, kernel, exclude_self)
 
@@ -193,7 +194,7 @@ def distinct_groups(corpus: DataFrame, queries: DataFrame, k: int, kernel: Kerne
     full = found.groupBy("query_id").agg((F.count_distinct("grp") + F.max(F.col("grp").isNull().cast("int"))).alias("groups")).where(F.col("groups") >= k).select("query_id")
     rest = queries.join(full, F.col("id") == F.col("query_id"), "left_anti")
     rows, asked = (_plain(t).withColumn("_g", F.lit(0).cast("long")) for t in (corpus, rest))
-    rows, asked = _split(rows, asked, corpus.sparkSession.range(1).select(F.lit(0).cast("long").alias("_g"), F.lit(n).alias("n")))
+    rows, asked = split(rows, asked, corpus.sparkSession.range(1).select(F.lit(0).cast("long").alias("_g"), F.lit(n).alias("n")))
     again = meet(rows, asked, k, kernel, exclude_self, per_group=True)
     again = again.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
     return ranked(first.join(full, "query_id", "left_semi").unionByName(again), k)
@@ -248,11 +249,11 @@ def _pruned(rows: DataFrame, asked: DataFrame, n: int, k: int, kernel: Kernel, e
     reach[known["_g"].to_numpy()] = known["angle"].to_numpy()
     counts = rows.sparkSession.createDataFrame(known.select(["_g", "n"]).to_pandas()) if known.num_rows else placed.select("_g", F.lit(0).alias("n"))
     mine = near_centres(asked, centres, kernel.embed).drop("angle")
-    here, first = _split(placed.drop("angle"), mine, counts)
+    here, first = split(placed.drop("angle"), mine, counts)
     found = written(meet(here, first, k, kernel, exclude_self))
     floors = ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("floor"))
     waiting = mine.join(floors, F.col("id") == F.col("_q"), "left").select("id", "grp", "v", "_g", "floor")
-    here, then = _split(placed.drop("angle"), sent_on(waiting, centres, reach, kernel.embed), counts)
+    here, then = split(placed.drop("angle"), sent_on(waiting, centres, reach, kernel.embed), counts)
     return ranked(found.unionByName(meet(here, then, k, kernel, exclude_self)), k)
 
 

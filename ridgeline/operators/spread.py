@@ -51,7 +51,7 @@ def has_earlier(rows: DataFrame, asked: DataFrame, floor: float, kernel: nearest
     counts = rows.groupBy("_g").agg(F.count("*").alias("n"))
     own = asked.select("_g", "id", "grp", "v")
     others = nearest.sent_on(asked.withColumn("floor", F.lit(floor)), centres, reach, kernel.embed).drop("floor")
-    here, there = nearest._split(rows, own.unionByName(others), counts)
+    here, there = nearest.split(rows, own.unionByName(others), counts)
     columns = ["_g", "_c", "_kind", "id", "v"]
     both = here.withColumn("_kind", F.lit(0).cast("long")).select(columns).unionByName(there.withColumn("_kind", F.lit(1).cast("long")).select(columns))
     return both.repartition("_g", "_c").sortWithinPartitions("_g", "_c", "_kind").mapInArrow(run, "id long").distinct()
