@@ -200,22 +200,29 @@ def test_monotone_logistic(spark):
         learn.monotone_logistic(df.where("y = 1"), ["a", "b"], "y")
 
 
-def test_farthest_points(spark):
+def chosen_plainly(rows, most, seeds=()):
+    """Row by row: the least similar to those chosen before, or to the middle at first."""
+    unit = {i: np.array(v) / max(np.linalg.norm(v), 1e-12) for i, v in sorted(rows)}
+    out = [i for i in sorted(unit) if i in seeds][:most]
+    while len(out) < min(most, len(unit)):
+        middle = np.mean(list(unit.values()), axis=0)
+        before = [unit[i] for i in out] or [middle / max(np.linalg.norm(middle), 1e-12)]
+        out.append(min((max(round(float(v @ b), 9) for b in before), i) for i, v in unit.items() if i not in out)[1])
+    return out
+
+
+@pytest.mark.parametrize("alone", [16_384, 25])
+@pytest.mark.parametrize("seeds", [(), (4, 7, 58)])
+def test_farthest_points(spark, monkeypatch, alone, seeds):
+    """Groups within one task, and in passes over their rows; with rows chosen beforehand in one group."""
+    monkeypatch.setattr(learn, "ALONE", alone)
     r = random.Random(2)
-    rows = [(i, i % 2, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)]
-    got = learn.farthest_points(vectors_table(spark, rows), "grp", "id", "v", 10).collect()
-    for g in (0, 1):
-        mine = [(i, np.array(v)) for i, h, v in rows if h == g]
-        at = learn._spread(np.stack([v for _, v in mine]), np.array([i for i, _ in mine]), 10)
-        assert [x.id for x in sorted((x for x in got if x.grp == g), key=lambda x: x.step)] == [mine[k][0] for k in at]
-
-
-def test_farthest_points_of_large_groups(spark):
-    r = np.random.default_rng(5)
-    x = r.normal(size=(9000, 4))
-    rows = [(i, 7, v.tolist()) for i, v in enumerate(x)]
-    got = learn.farthest_points(vectors_table(spark, rows), "grp", "id", "v", 10).orderBy("step").collect()
-    assert [g.id for g in got] == learn._spread(x, np.arange(9000), 10)
+    rows = [(i, i % 2 if i < 60 else None, [r.gauss(0, 1) for _ in range(4)]) for i in range(66)]
+    df = vectors_table(spark, rows).withColumn("first", F.col("id").isin(*seeds) if seeds else F.lit(None).cast("boolean")).repartition(3)
+    got = learn.farthest_points(df, "grp", "id", "v", 10, "first").collect()
+    for g in (0, 1, None):
+        want = chosen_plainly([(i, v) for i, h, v in rows if h == g], 10, seeds)
+        assert [x.id for x in sorted((x for x in got if x.grp == g), key=lambda x: x.step)] == want
 
 
 def test_choose_blend(spark):
