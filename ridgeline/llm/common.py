@@ -20,13 +20,21 @@ BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keeps Arrow batches of this session small, as every Python worker and its executor hold some; smaller bounds stay."""
+    """Keeps Arrow batches of this session small from now on, as every Python worker and its executor hold some; smaller bounds stay."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
         if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a bound with a unit was set by hand
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A name like the given one that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

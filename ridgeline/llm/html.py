@@ -2,8 +2,10 @@
 
 A page is cut into flat blocks at block-level tags. A block's features are its word count and link density, those of
 the blocks before and after it, and where it stands: inside an article, inside a menu, header, footer, sidebar, notice,
-advert, form or comment section, in a heading. A decision tree (Gini, grown in numpy) is trained on the small labelled
-table below; blocks that it takes for content are joined in page order.
+advert, form or comment section, in a heading. A tag or a class made of such words alone says so outright (2); one that
+only contains such a word, as "ad-hoc" or "footer-notes" do, is a hint (1), and then it depends on words and links of the
+block and its neighbours. A decision tree (Gini, grown in numpy) is trained on the small labelled table below; blocks that
+it takes for content are joined in page order.
 
 Null and empty html: empty text. Markup that is cut off or not closed: the rest of the page counts as far as it goes; an
 unfinished tag or comment at the end is markup, an unfinished character reference stays as html.unescape leaves it.
@@ -42,9 +44,14 @@ WEAK_WORDS = frozenset("side related recommended share social promo banner notic
 COMPANIONS = frozenset("bar box block area section container wrapper panel col column content list links items posts post articles stories news buttons button icons form nav message media".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Words that add nothing to a side word, and those of an article itself, which do so for all but its header.
+PLAIN_WORDS = frozenset(
+    "top bottom left right main inner outer wrap site page global primary secondary mobile desktop sticky fixed slot unit zone body title text label toggle icon btn link item row grid policy settings banner field count thread feed author user reader js sm md lg xl wide small large first last new".split()
+)
+OWN_WORDS = frozenset("post article story entry".split())
 PART = re.compile(r"[_-]+")
 
-#: words, links, words before, links before, words after, links after, article (1 inside, -1 outside of one, 0 none), side, heading -> content
+#: words, links, words before, links before, words after, links after, article (1 inside, -1 outside of one, 0 none), side (2, hint 1), heading -> content
 LABELLED = [
     # fixed table: an article's paragraphs, titles and lists, short ones included
     (120, 0.0, 40, 0.0, 90, 0.0, 1, 0, 0, 1), (3, 0.0, 80, 0.0, 60, 0.0, 1, 0, 0, 1), (9, 0.0, 3, 0.1, 70, 0.0, 1, 0, 1, 1),
@@ -55,12 +62,12 @@ LABELLED = [
     (4, 0.25, 30, 0.0, 5, 0.0, 1, 0, 0, 1), (2, 1.0, 9, 0.0, 9, 0.0, 1, 0, 0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1), (7, 0.9, 2, 0.0, 1, 0.0, 1, 0, 0, 1),
     (4, 0.0, 30, 0.0, 41, 0.0, 1, 0, 1, 1), (3, 0.3, 8, 0.5, 4, 1.0, 1, 0, 0, 1), (30, 0.9, 4, 0.0, 3, 0.0, 1, 0, 0, 1), (4, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1),
     # inside an article, yet a menu, form, advert, notice or comment
-    (40, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0, 0), (5, 1.0, 60, 0.0, 5, 1.0, 1, 1, 0, 0), (3, 0.0, 90, 0.0, 80, 0.0, 1, 1, 1, 0),
-    (12, 0.3, 70, 0.0, 0, 0.0, 1, 1, 0, 0), (150, 0.0, 100, 0.0, 20, 0.0, 1, 1, 0, 0), (1, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 0),
+    (40, 0.0, 60, 0.0, 50, 0.0, 1, 2, 0, 0), (5, 1.0, 60, 0.0, 5, 1.0, 1, 2, 0, 0), (3, 0.0, 90, 0.0, 80, 0.0, 1, 2, 1, 0),
+    (12, 0.3, 70, 0.0, 0, 0.0, 1, 2, 0, 0), (150, 0.0, 100, 0.0, 20, 0.0, 1, 2, 0, 0), (1, 0.0, 0, 0.0, 0, 0.0, 1, 2, 0, 0),
     # outside the article of a page that has one
-    (10, 0.0, 1, 1.0, 9, 0.0, -1, 1, 0, 0), (40, 0.0, 5, 1.0, 9, 0.0, -1, 0, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, -1, 0, 0, 0),
-    (15, 0.2, 200, 0.0, 0, 0.0, -1, 1, 0, 0), (90, 0.0, 60, 0.0, 60, 0.0, -1, 0, 0, 0), (6, 0.0, 0, 0.0, 20, 0.0, -1, 0, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, -1, 1, 0, 0), (220, 0.0, 30, 0.0, 3, 0.0, -1, 1, 0, 0), (30, 0.7, 2, 0.0, 2, 0.0, -1, 0, 0, 0),
+    (10, 0.0, 1, 1.0, 9, 0.0, -1, 2, 0, 0), (40, 0.0, 5, 1.0, 9, 0.0, -1, 0, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, -1, 0, 0, 0),
+    (15, 0.2, 200, 0.0, 0, 0.0, -1, 2, 0, 0), (90, 0.0, 60, 0.0, 60, 0.0, -1, 0, 0, 0), (6, 0.0, 0, 0.0, 20, 0.0, -1, 0, 1, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, -1, 2, 0, 0), (220, 0.0, 30, 0.0, 3, 0.0, -1, 2, 0, 0), (30, 0.7, 2, 0.0, 2, 0.0, -1, 0, 0, 0),
     # pages without an article: long blocks, short ones between long ones, headings before them
     (80, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (45, 0.1, 3, 1.0, 50, 0.0, 0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
     (20, 0.1, 40, 0.0, 2, 1.0, 0, 0, 0, 1), (7, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1),
@@ -70,12 +77,19 @@ LABELLED = [
     (88, 0.0, 88, 0.0, 1, 1.0, 0, 0, 0, 1), (90, 0.0, 1, 0.0, 88, 0.0, 0, 0, 0, 1), (200, 0.05, 3, 1.0, 150, 0.1, 0, 0, 0, 1),
     (130, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 1), (60, 0.0, 90, 0.0, 4, 1.0, 0, 0, 0, 1), (300, 0.1, 200, 0.0, 1, 1.0, 0, 0, 0, 1),
     (70, 0.1, 1, 1.0, 2, 1.0, 0, 0, 0, 1), (16, 0.0, 90, 0.0, 1, 1.0, 0, 0, 0, 1), (110, 0.2, 6, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (88, 0.0, 88, 0.0, 1, 1.0, 0, 1, 0, 0), (90, 0.0, 1, 0.0, 88, 0.0, 0, 1, 0, 0), (16, 0.0, 90, 0.0, 80, 0.0, 0, 1, 0, 0),
-    (200, 0.0, 100, 0.0, 90, 0.0, 1, 1, 0, 0), (20, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 0), (300, 0.1, 2, 0.0, 5, 0.0, 1, 1, 0, 0),
+    (88, 0.0, 88, 0.0, 1, 1.0, 0, 2, 0, 0), (90, 0.0, 1, 0.0, 88, 0.0, 0, 2, 0, 0), (16, 0.0, 90, 0.0, 80, 0.0, 0, 2, 0, 0),
+    (200, 0.0, 100, 0.0, 90, 0.0, 1, 2, 0, 0), (20, 0.0, 40, 0.0, 30, 0.0, 1, 2, 0, 0), (300, 0.1, 2, 0.0, 5, 0.0, 1, 2, 0, 0),
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0), (6, 0.8, 50, 0.0, 5, 0.9, 0, 0, 0, 0),
     (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (30, 0.9, 20, 0.8, 25, 0.9, 0, 0, 0, 0), (18, 0.6, 4, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 4, 0.7, 2, 0.5, 0, 0, 1, 0), (40, 0.0, 50, 0.0, 60, 0.0, 0, 1, 0, 0), (6, 0.0, 30, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0, 0), (100, 0.1, 5, 0.0, 5, 0.0, 0, 1, 0, 0), (4, 0.0, 3, 1.0, 80, 0.0, 0, 1, 1, 0),
+    (3, 0.0, 4, 0.7, 2, 0.5, 0, 0, 1, 0), (40, 0.0, 50, 0.0, 60, 0.0, 0, 2, 0, 0), (6, 0.0, 30, 0.0, 0, 0.0, 0, 2, 0, 0),
+    (2, 1.0, 0, 0.0, 2, 1.0, 0, 2, 0, 0), (100, 0.1, 5, 0.0, 5, 0.0, 0, 2, 0, 0), (4, 0.0, 3, 1.0, 80, 0.0, 0, 2, 1, 0),
+    # a class hints at a side part: prose and titles stay, links and what stands among links go
+    (40, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0, 1), (6, 0.0, 30, 0.0, 40, 0.0, 1, 1, 0, 1), (3, 0.0, 0, 0.0, 70, 0.0, 1, 1, 1, 1), (120, 0.1, 5, 0.0, 0, 0.0, 1, 1, 0, 1),
+    (15, 0.2, 20, 0.0, 16, 0.1, 1, 1, 0, 1), (2, 0.0, 9, 0.0, 12, 0.0, 1, 1, 0, 1), (60, 0.3, 4, 0.0, 3, 0.0, 1, 1, 0, 1), (9, 0.0, 80, 0.0, 0, 0.0, 1, 1, 0, 1), (30, 0.1, 2, 1.0, 40, 0.0, 1, 1, 0, 1),
+    (3, 1.0, 60, 0.0, 3, 1.0, 1, 1, 0, 0), (5, 0.8, 3, 1.0, 4, 1.0, 1, 1, 0, 0), (12, 0.9, 40, 0.0, 0, 0.0, 1, 1, 0, 0), (2, 1.0, 2, 1.0, 50, 0.0, 1, 1, 0, 0), (25, 0.7, 9, 0.0, 8, 0.0, 1, 1, 0, 0),
+    (2, 0.0, 3, 1.0, 2, 1.0, 1, 1, 0, 0), (4, 0.0, 70, 0.0, 3, 1.0, 1, 1, 0, 0), (3, 0.0, 50, 0.0, 2, 0.9, 1, 1, 1, 0), (1, 0.0, 4, 0.8, 6, 0.9, 1, 1, 0, 0),
+    (40, 0.0, 60, 0.0, 50, 0.0, 0, 1, 0, 1), (25, 0.1, 30, 0.0, 28, 0.1, 0, 1, 0, 1), (90, 0.0, 3, 1.0, 50, 0.0, 0, 1, 0, 1), (4, 1.0, 30, 0.0, 5, 0.9, 0, 1, 0, 0), (3, 0.0, 4, 0.7, 2, 0.8, 0, 1, 0, 0), (6, 0.8, 20, 0.0, 30, 0.0, 0, 1, 0, 0),
+    (40, 0.0, 60, 0.0, 50, 0.0, -1, 1, 0, 0), (8, 0.0, 3, 1.0, 9, 0.0, -1, 1, 0, 0),
 ]
 
 
@@ -109,18 +123,25 @@ def decide(tree: tuple | int, row: tuple) -> int:
     return tree
 
 
-def _is_side(tag: str, attributes: str, inside_article: bool) -> bool:
+def _side(tag: str, attributes: str, inside_article: bool) -> int:
+    """2: a side part, 1: a class, id or role hints at one."""
     if tag in SIDE_TAGS or tag == "header" and not inside_article:
-        return True
+        return 2
+    hint = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return 2
         for word in value.split() if name in ("class", "id", "role") else ():
-            parts = {*PART.split(word)}
-            if parts & SIDE_WORDS or tag not in ("p", "li") and parts & WEAK_WORDS and (len(parts) == 1 or parts & COMPANIONS):
-                return True
-    return False
+            parts = {p for p in PART.split(word) if p and not p.isdigit()}
+            if tag not in ("p", "li") and parts & WEAK_WORDS and (len(parts) == 1 or parts & COMPANIONS):
+                return 2
+            if side := parts & SIDE_WORDS:
+                rest = parts - SIDE_WORDS - WEAK_WORDS - COMPANIONS - PLAIN_WORDS
+                if not rest or rest <= OWN_WORDS and side != {"header"}:
+                    return 2
+                hint = 1
+    return hint
 
 
 @cache
@@ -129,19 +150,20 @@ def _end_of(tag: str) -> re.Pattern:
 
 
 def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
-    """Text, words, linked words, article (1 inside, else 0), side and heading of each flat block with text."""
+    """Text, words, linked words, article (1 inside, else 0), side (2, hint 1) and heading of each flat block with text."""
     out: list[tuple[str, int, int, int, int, int]] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, whether article, whether side
+    stack: list[tuple[str, bool, int]] = []  # open containers: tag, whether article, side
     open_tags: Counter[str] = Counter()  # so that an end tag without a start isn't looked for
-    article = side = heading = linked = 0
+    article = heading = linked = 0
+    sides = [0, 0, 0]  # open containers of each kind of side
     at, n = 0, len(html)
 
     def close() -> None:
         text = " ".join(unescape("".join([t for t, _ in parts])).split())
         if text:
             links = sum(len(unescape(t).split()) for t, a in parts if a)
-            out.append((text, text.count(" ") + 1, links, int(article > 0), int(side > 0), int(heading > 0)))
+            out.append((text, text.count(" ") + 1, links, int(article > 0), 2 if sides[2] else 1 if sides[1] else 0, int(heading > 0)))
         parts.clear()
 
     while at < n:
@@ -195,22 +217,22 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int, int]]:
                         name, a, s = stack.pop()
                         open_tags[name] -= 1
                         article -= a
-                        side -= s
+                        sides[s] -= 1
                     linked = heading = 0
             elif tag not in VOID_TAGS:
                 is_article = tag in ("article", "main")
-                is_side = _is_side(tag, attributes, article > 0)
+                is_side = _side(tag, attributes, article > 0)
                 if tag not in ("p", "li") or is_side:
                     if tag in ("p", "li") :  # closed by the next one at latest
                         tag = "p "
                     stack.append((tag, is_article, is_side))
                     open_tags[tag] += 1
                     article += is_article
-                    side += is_side
+                    sides[is_side] += 1
             if tag in ("p", "li"):
                 while stack and stack[-1][0] == "p ":
                     open_tags["p "] -= 1
-                    side -= stack.pop()[2]
+                    sides[stack.pop()[2]] -= 1
     close()
     return out
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import Marks, bounded, hash_words, mix64, small_batches, utf8, written
+from ridgeline.llm.common import Marks, bounded, free_name, hash_words, mix64, small_batches, utf8, written
 
 CHUNK, NEAR = 20, 24
 #: Hashes with more copies than SOME, and one in HOT places besides, are hot: fewer than HOT are, and their first chunks are broadcast.
@@ -342,7 +342,7 @@ def having(df: DataFrame, hashed: Column, shared, yes: bool) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.has(batch.column(width).to_numpy(zero_copy_only=False)) == yes)).select(range(width))
 
-    return df.select(*[df[c] for c in df.columns], hashed.alias("_dedup_k")).mapInArrow(run, df.schema)
+    return df.select(*[df[c] for c in df.columns], hashed.alias(free_name(df.columns, "_dedup_k"))).mapInArrow(run, df.schema)
 
 
 def dedup(df: DataFrame, key: str, text: str, copies: float | None = None) -> DataFrame:
@@ -354,7 +354,7 @@ def dedup(df: DataFrame, key: str, text: str, copies: float | None = None) -> Da
     bounded(df.sparkSession)
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     spans = written(repeats(docs).groupBy("id", "h").agg(F.collect_set(F.struct("a", "b", "fid", "fh", "fn")).alias("gone")))
-    names = {"id": "_dedup_id", "h": "_dedup_h", "gone": "_dedup_gone"}
+    names = {c: free_name(df.columns, f"_dedup_{c}") for c in ("id", "h", "gone")}
     schema = T.StructType([*df.schema.fields, T.StructField("n_removed", T.LongType()), T.StructField("left_share", T.DoubleType())])
     at, width = df.columns.index(text), len(df.columns)
     shared = df.sparkSession.sparkContext.broadcast(Marks(spans, F.xxhash64("id", "h")))
@@ -375,7 +375,7 @@ def dedup(df: DataFrame, key: str, text: str, copies: float | None = None) -> Da
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(left, pa.float64())], names=schema.names)
 
     touched = having(df, hashed, shared, True)
-    joined = touched.join(spans.withColumnsRenamed(names), (touched[key].cast("long") == F.col("_dedup_id")) & (F.xxhash64(touched[text]) == F.col("_dedup_h")), "left")
-    new = joined.select(*[touched[c] for c in df.columns], "_dedup_gone").mapInArrow(removing, schema)
+    joined = touched.join(spans.withColumnsRenamed(names), (touched[key].cast("long") == F.col(names["id"])) & (F.xxhash64(touched[text]) == F.col(names["h"])), "left")
+    new = joined.select(*[touched[c] for c in df.columns], names["gone"]).mapInArrow(removing, schema)
     same = having(df, hashed, shared, False)
     return new.unionByName(same.select("*", F.lit(0).cast("long").alias("n_removed"), F.lit(1.0).alias("left_share")))

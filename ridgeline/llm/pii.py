@@ -6,6 +6,11 @@ Every rewritten character remembers the source characters that it stands for, so
 rewritten text maps back to a span of the source. Such a span is added unless it lies in a plain one of its kind, so an
 address of which only a part is plain is found whole, besides its plain part.
 
+Bounds of disguised addresses (plain ones have none): names of 64 characters, six labels of 63, endings of 24 letters; "mail"
+and the like count up to 32 characters before a name. Between words stand single blanks, tabs or line ends; dashes, low
+lines and stars ("jo-at-example-dot-com") and blanks around plain signs ("jo @ example . com") count before the endings in
+ENDINGS alone, as words and code use them too.
+
 Null and empty text: no spans. Very long texts: searched whole, in time linear in their length. Repeated rows: each
 searched. Ties: detectors take the leftmost match and never overlap themselves. Columns besides those named are dropped,
 so their names can't clash. Empty table: empty result.
@@ -50,15 +55,23 @@ DIGIT_RUN = re.compile(rf"(?=[0-9{FIRST}])(?<![^\W_])(?:(?:{DIGIT_WORD}|[0-9]+)(
 SPELLED_WORD = re.compile(rf"(?=[{FIRST}])(?<![^\W_])(?:{DIGIT_WORD})(?![^\W_])", re.I)
 BRACKETED_AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@|arroba|arobase)[ ]?[\])}>][ ]?", re.I)
 BRACKETED_DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.|punto|point|punkt)[ ]?[\])}>][ ]?", re.I)
+# Endings that leave no doubt.
+ENDINGS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ru|jp|cn|br|nl|ch"
+#: What stands around "at" and "dot": white space, or signs that join.
+BLANK, JOINT = r"[ \t\r\n]", r"[ ]?[-_*]{1,2}[ ]?"
 #: Without brackets only as a whole: name at host dot name, where every dot after the host is a word or a full stop.
-WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ ]dot[ ][A-Za-z0-9_%+-]{1,64}){0,3}[ ]at[ ][A-Za-z0-9-]{1,63}(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]{1,63}){0,4}[ ]dot[ ][A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
+WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{BLANK}dot{BLANK}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}{BLANK}at{BLANK}[A-Za-z0-9-]{{1,63}}(?:(?:{BLANK}dot{BLANK}|\.)[A-Za-z0-9-]{{1,63}}){{0,4}}{BLANK}dot{BLANK}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.I)
+JOINED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{JOINT}at{JOINT}[A-Za-z0-9-]{{1,63}}(?:(?:{JOINT}dot{JOINT}|\.)[A-Za-z0-9-]{{1,63}}){{0,4}}{JOINT}dot{JOINT}(?:{ENDINGS})(?![A-Za-z0-9_-])", re.I)
+STARRED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+-]{{1,64}}(?:\*{{1,2}}at\*{{1,2}}|_at_)(?=[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}}\.(?:{ENDINGS})(?![A-Za-z0-9_-]))", re.I)
+SPACED = re.compile(rf"(?<=[A-Za-z0-9])[ ]?@[ ]?[A-Za-z0-9-]{{1,63}}(?:[ ]?\.[ ]?[A-Za-z0-9-]{{1,63}}){{0,4}}[ ]?\.[ ]?(?:{ENDINGS})(?![A-Za-z0-9-])")
+WORD_AT, WORD_DOT, JOINED_AT = re.compile(rf"{BLANK}at{BLANK}"), re.compile(rf"{BLANK}dot{BLANK}"), re.compile(r"[-_*][ ]?at[ ]?[-_*]")
 #: An address with @, whose dots on either side may be words.
 DOTS_AFTER = re.compile(r"@[A-Za-z0-9-]{1,63}(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]{1,63}){0,4}[ ]dot[ ][A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
 DOTS_BEFORE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:[ ]dot[ ][A-Za-z0-9_%+-]{1,64}){1,3}(?=@[A-Za-z0-9-]+\.)", re.I)
 #: A name at a host with plain dots is prose ("look at example.com"), unless the name isn't a word or what is before it speaks of mail.
-PLAIN_HOST = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})[ ]at[ ][A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
+PLAIN_HOST = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}){BLANK}at{BLANK}[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.I)
 HANDLE = re.compile(r"[A-Za-z0-9][._%+-][A-Za-z0-9]|[0-9]")
-MAIL_BEFORE = re.compile(r"(?:mail|courriel|correo|adress|address|adresse|dirección|kontakt|contact)[^\W_]*(?:[ ]?[:=]|[ ](?:is|ist|est|es|me|us|to|an))?[ ]?\Z", re.I)
+MAIL_BEFORE = re.compile(r"(?:mail|courriel|correo|adress|address|adresse|dirección|kontakt|contact)[^\W_]*(?:[ ](?:is|ist|est|es|me|us|to|an|at|mich|uns)){0,2}[ ]?[:=]?[ ]?\Z", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ ]@[ ](?=[A-Za-z0-9-]+[ ]?\.)|(?<=[A-Za-z0-9])[ ]@(?=[A-Za-z0-9-]+\.)")
 PLUS = re.compile(r"(?<![^\W_])plus[ ](?=[0-9])", re.I)
 FIGURE = re.compile(rf"(?P<word>{DIGIT_WORD})|(?P<dot>[ ]dot[ ])|, |[ ]", re.I)
@@ -163,17 +176,23 @@ def normalise(text: str) -> Mapped:
     m.rewrite([(*x.span(), "@") for x in BRACKETED_AT.finditer(m.text)])
     m.rewrite([(*x.span(), ".") for x in BRACKETED_DOT.finditer(m.text)])
     low = m.text.lower()
+    at, dot = WORD_AT.search(low), WORD_DOT.search(low)  # what the patterns can't match without
     edits = []
-    for x in WORDED.finditer(m.text) if " at " in low and " dot " in low else ():  # what it can't match without
-        for y in re.finditer(r"[ ](at|dot)[ ]", x[0], re.I):
+    for x in WORDED.finditer(m.text) if at and dot else ():
+        for y in re.finditer(rf"{BLANK}(at|dot){BLANK}", x[0], re.I):
             edits.append((x.start() + y.start(), x.start() + y.end(), "@" if y[1].lower() == "at" else "."))
-    for x in PLAIN_HOST.finditer(m.text) if " at " in low else ():
+    for x in PLAIN_HOST.finditer(m.text) if at else ():
         if HANDLE.search(x[1]) or MAIL_BEFORE.search(m.text, max(0, x.start() - 32), x.start()):
             edits.append((x.end(1), x.end(1) + 4, "@"))
     m.rewrite(sorted({*edits}))
+    if JOINED_AT.search(low):
+        m.rewrite([(x.start() + y.start(), x.start() + y.end(), "@" if y[1].lower() == "at" else ".") for x in JOINED.finditer(m.text) for y in re.finditer(rf"{JOINT}(at|dot){JOINT}", x[0], re.I)])
+        m.rewrite([(x.start() + y.start(), x.end(), "@") for x in STARRED.finditer(m.text) for y in re.finditer(r"(?:\*{1,2}at\*{1,2}|_at_)\Z", x[0], re.I)])
+    if "@ " in m.text or " ." in m.text and "@" in m.text:
+        m.rewrite([(x.start() + y.start(), x.start() + y.end(), y[1]) for x in SPACED.finditer(m.text) for y in re.finditer(r"[ ]?([@.])[ ]?", x[0]) if y[0] != y[1]])
     if " @" in m.text:
         m.rewrite([(*x.span(), "@") for x in SPACED_AT.finditer(m.text)])
-    if "@" in m.text and " dot " in low:
+    if "@" in m.text and dot:
         for part in (DOTS_AFTER, DOTS_BEFORE):
             m.rewrite([(x.start() + y.start(), x.start() + y.end(), ".") for x in part.finditer(m.text) for y in re.finditer(r"[ ]dot[ ]", x[0], re.I)])
     spelled = SPELLED_WORD.search(m.text)  # without one and without " dot ", no run would change

@@ -92,3 +92,34 @@ def test_link_density_and_neighbours_decide_without_articles():
     assert "four words of text" in text(f"<div>{long}</div><div>four words of text</div><div>{long}</div>")
     assert "four words of text" not in text(f"<div>{link}</div><div>four words of text</div><div>{link}</div>")
     assert text(f"<div>{link}</div><div>{link}</div><div>{link}</div>") == ""
+
+
+#: Pages that no row of the table was taken from, with what is their main text.
+HELD_OUT = [
+    ("<article><h1>Plans</h1><div class='ad-hoc'><p>Ad hoc committees met twice a week in the old hall.</p></div></article>", "Plans\n\nAd hoc committees met twice a week in the old hall."),
+    ("<article><p>He wrote a book.</p><section id='replies-to-critics'><h2>Replies</h2><p>To his critics he said that they had not read it.</p></section></article>", "He wrote a book.\n\nReplies\n\nTo his critics he said that they had not read it."),
+    ("<article><p>Body of it.</p><div class='footer-notes'><p>Notes are printed at the foot of each page.</p></div></article>", "Body of it.\n\nNotes are printed at the foot of each page."),
+    ("<article><div class='article-header'><h1>A title</h1></div><p>Words follow it.</p></article>", "A title\n\nWords follow it."),
+    ("<article><p>Words.</p><div class='navigation-aids'><a href=1>Back</a> <a href=2>Forth</a></div></article>", "Words."),
+    ("<article><p>Words.</p><div class='menu-like-list'><div><a href=1>Back to it</a></div><div>or</div><div><a href=2>Go on</a></div></div></article>", "Words."),
+    ("<article><p>Words.</p><div class='post-comments'><p>I liked this very much, thank you for it all.</p></div><div class='cookie-banner-2'>We use them.</div></article>", "Words."),
+    ("<div class='ad-hoc'><p>" + "Committees met in the hall. " * 12 + "</p></div><div class='ad-slot'>Buy</div>", ("Committees met in the hall. " * 12).strip()),
+]
+
+
+def test_hints_are_weighed_with_words_and_links():
+    for page, want in HELD_OUT:
+        assert text(page) == want, page[:60]
+
+
+def test_the_tree_asks_for_words_links_and_neighbours():
+    asked = set()
+
+    def walk(node):
+        if not isinstance(node, int):
+            asked.add(node[0])
+            walk(node[2])
+            walk(node[3])
+
+    walk(TREE)
+    assert {0, 1, 5} <= asked

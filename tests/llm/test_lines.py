@@ -248,3 +248,13 @@ def test_copies_left_whole(spark):
     assert [got[i] for i in range(3)] == [t for _, t in rows[:3]] and got[3] == other
     every = {r.doc_id: (r.text, r.left_share) for r in lines.dedup(df, "doc_id", "text").collect()}
     assert every[2] == ("", 0.0) and "Something else" in every[1][0] and 0 < every[1][1] < 0.1 and every[0][1] == 1.0
+
+
+def test_columns_of_any_name(spark):
+    """Helper names are ones that the table doesn't have."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{i} start {text}", "a", i, "b", 2.5) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, t string, _dedup_k string, _dedup_id int, _DEDUP_H string, _dedup_gone double")
+    got = lines.dedup(df, "id", "t")
+    assert got.columns == [*df.columns, "n_removed", "left_share"]
+    assert sorted(r.n_removed for r in got.collect()) == [0, 1, 1, 1]

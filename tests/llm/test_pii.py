@@ -121,3 +121,14 @@ def test_digits_of_other_scripts():
     for text in ("ip \u09e7\u09e8.1.2.\u09e9 x", "ip \u0e51\u0e52.1.2.\u0e53 x", "plus 1 988 555 2485"):
         base, every = pii.find(text)
         assert not any(base.values()) and sum(map(len, every.values())) == 1, text
+
+
+def test_joints_tabs_and_spaced_signs():
+    """Each disguise is one span of the whole; prose and code of the same shape have none."""
+    for s in ("jo @ example . com", "jo -at- example -dot- com", "jo_at_example_dot_com", "jo-at-example-dot-com", "jo*at*ex.com", "jo_at_example.com", "jo\tat\texample dot com", "jo at\nexample dot com", "jo@example . org"):
+        base, every = pii.find(f"so {s} it is")
+        assert ("so " + s + " it is")[slice(*every["email"][-1])] == s, s
+    for s in ("mail me: jo at example.com", "write an e-mail to us: jo at example.com", "contact is jo at example.com"):
+        assert [s[a:b] for a, b in pii.find(s)[1]["email"]] == ["jo at example.com"], s
+    for s in ("value_at_index_dot_product", "look at example.com", "score @ home . We went", "state-of-the-art-at-home", "see a_at_b.py", "mail was sent to all at example.com yesterday", "5 @ 3 . 2", "I was at home. dot com"):
+        assert pii.find(s)[1]["email"] == [], s
