@@ -262,3 +262,43 @@ def ranked(rows: DataFrame, k: int | None = None, by: str = "score", per: str =
     order = Window.partitionBy(per).orderBy(F.desc(by), F.asc("id"))
     out = rows.withColumn("rank", F.row_number().over(order).cast("long"))
     return out if k is None else out.where(F.col("rank") <= k)
+
+
+def counted_above(corpus: DataFrame, marks: DataFrame, kernel: Kernel = COSINE, exclude_self: bool = True) -> DataFrame:
+    """query_id, above: how many rows stand before a mark in each query's full ranking, without the ranking.
+
+    marks: (id, grp, v, mark, mark_id), a query with the score and the id of the row in question. Rows count that score
+    more, or the same with a smaller id. Each cell gives one number a query.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, cell = None, [], None
+        for (g, c, kind), batch in runs(batches, 3):
+            if (g, c) != now:
+                now, parts, cell = (g, c), [], None
+            if not kind:
+                parts.append(batch)
+                continue
+            if not parts:
+                continue
+            if cell is None:
+                whole = pa.Table.from_batches(parts)
+                cell = matrix(whole["v"].combine_chunks()), whole["id"].to_numpy()
+            x, ids = cell
+            for at in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(at, BLOCK)
+                asking, mark, mark_id = (some[c].to_numpy() for c in ("id", "mark", "mark_id"))
+                score = np.round(kernel.score(matrix(some["v"]), x), 9)
+                before = (score > mark[:, None]) | (score == mark[:, None]) & (ids[None, :] < mark_id[:, None])
+                if exclude_self:
+                    before &= asking[:, None] != ids[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(asking), pa.array(before.sum(axis=1))], names=["query_id", "above"])
+
+    rows = _plain(corpus).withColumn("_g", F.lit(0).cast("long"))
+    asked = marks.select("id", "grp", F.col("v").cast("array<double>").alias("v"), "mark", "mark_id").withColumn("_g", F.lit(0).cast("long"))
+    rows, asked = split(rows, asked, rows.groupBy("_g").agg(F.count("*").alias("n")))
+    columns = ["_g", "_c", "_kind", "id", "v", "mark", "mark_id"]
+    rows = rows.withColumns({"_kind": F.lit(0).cast("long"), "mark": F.lit(None).cast("double"), "mark_id": F.lit(None).cast("long")}).select(columns)
+    both = rows.unionByName(asked.withColumn("_kind", F.lit(1).cast("long")).select(columns))
+    met = both.repartition("_g", "_c").sortWithinPartitions("_g", "_c", "_kind").mapInArrow(run, "query_id long, above long")
+    return met.groupBy("query_id").agg(F.sum("above").alias("above"))

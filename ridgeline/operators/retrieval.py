@@ -118,7 +118,7 @@ def shifted_similarity(rows: DataFrame, left: str, right: str, name: str) -> Dat
                 out[at] = np.clip(np.max(each, axis=0), 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, from_pandas=True)], names=[*batch.schema.names, name])
 
-    return rows.mapInArrow(run, rows.select("*", F.lit(0.0).alias(name)).schema)
+    return rows.mapInArrow(run, rows.select("*", F.lit(None).cast("double").alias(name)).schema)
 
 
 def swap_leaders(rows: DataFrame) -> DataFrame:
