@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by the order columns; a partial maximum, so a key of any size is met before the shuffle."""
-    rest = [c for c in rows.columns if c not in key]
-    first = [c for c in order if c in rest]
-    best = rows.groupBy(*key).agg(F.max(F.struct(*first, *[c for c in rest if c not in first])).alias("_m"))
-    return best.select(*key, *[F.col(f"_m.{c}").alias(c) for c in rest])
+from ridgeline.operators import runs
+from ridgeline.operators.tables import latest  # noqa: F401
 
 
 def encounters(rows: DataFrame, key: list[str], created: str, arrived: str, label: str) -> DataFrame:
     """duplicates, conflicts: rows that met one retained before, and those of them with another label than it.
 
-    Rows arrive in the order of `arrived`; the retained row is that of the largest (created, arrived) so far.
+    Rows arrive in the order of `arrived`, a key; the retained row is that of the largest (created, arrived) so far.
     """
-    before = Window.partitionBy(*key).orderBy(arrived).rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.max_by(label, F.struct(created, arrived)).over(before)
-    return rows.select(kept.alias("kept"), F.col(label).alias("mine")).agg(F.count("kept").alias("duplicates"), F.count_if(F.col("kept") != F.col("mine")).alias("conflicts"))
+    known = rows.select(*key, arrived, F.col(label).alias("mine"), F.struct(created, arrived, label).alias("_row"))
+    met = runs.running(known, key, [arrived], "_row", "max", "_kept").select(F.col(f"_kept.{label}").alias("kept"), "mine")
+    return met.agg(F.count("kept").alias("duplicates"), F.count_if(F.col("kept") != F.col("mine")).alias("conflicts"))
 
 
 def consensus(rows: DataFrame, pair: list[str], rater: str, label: str, features: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Matrices
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +115,7 @@ def _by_steps(rows: DataFrame, most: int) -> DataFrame:
     rows = rows.withColumn("v", vectors.let(F.greatest(F.sqrt(_dot(F.col("v"), F.col("v"))), F.lit(1e-12)), lambda n: F.transform("v", lambda x: x / n)))
     rows = written(rows.withColumn("r", F.monotonically_increasing_id()))
     seeds = rows.where("seed").groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "r", "v"))), 1, most).alias("first"))
-    sums = rows.select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.avg("x").alias("x"))
-    middle = sums.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+    middle = rows.groupBy("g").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("v")))).alias("m"))
     length = F.greatest(F.sqrt(_dot(F.col("m"), F.col("m"))), F.lit(1e-12))
     begun = middle.withColumn("m", F.transform("m", lambda x: x / length)).join(seeds.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g")), "left")
     none = F.array().cast("array<long>")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import vectors
+from ridgeline.operators.tables import numbered
 
 # Fixed values of formats, limits and priors.
 IMAGE_TYPES, IMAGE_NAME = ("image/png", "image/jpeg", "image/webp"), r"(?i)\.(png|jpe?g|webp)$"
@@ -64,11 +67,17 @@ def graded_negatives(rows: DataFrame, oracle: DataFrame) -> DataFrame:
     return rows.where((F.col("query_id") != F.col("id")) & (F.col("grp") == F.col("query_grp"))).join(near, ["query_id", "id"], "left_anti")
 
 
+def mean_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """group, mean: the mean vector of each group, by partial sums of whole vectors."""
+    dense = rows.where(F.col(vector).isNotNull()).select(group, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return dense.groupBy(group).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("mean"))
+
+
 def prototypes(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """group, at, value: the mean vector of each group, of length 1 unless it is next to nothing."""
-    mean = rows.select(group, F.posexplode(vector).alias("at", "x")).groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    length = mean.groupBy(group).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("_n"))
-    return mean.join(length, group).select(group, F.col("at").cast("long").alias("at"), F.when(F.col("_n") > vectors.EPS32, F.col("m") / F.col("_n")).otherwise(F.col("m")).alias("value"))
+    unit = vectors.let(vectors.norm(F.col("mean")), lambda n: F.transform("mean", lambda m: F.when(n > vectors.EPS32, m / n).otherwise(m)))
+    out = mean_vectors(rows, group, vector).select(group, F.posexplode(unit).alias("at", "value"))
+    return out.select(group, F.col("at").cast("long").alias("at"), "value")
 
 
 def best_state(rows: DataFrame) -> DataFrame:
@@ -96,11 +105,11 @@ def text_page(rows: DataFrame, text: str, wanted: str, order: list[str], offset:
 
 def one_of(rows: DataFrame, group: str, key: str, previous: str, r: float) -> DataFrame:
     """The row at floor(r n) of each group by key, the previous one left out where there are others."""
-    n = F.count("*").over(Window.partitionBy(group))
-    left = rows.withColumn("_n", n).where((F.col("_n") == 1) | (F.col(key) != F.col(previous)) | F.col(previous).isNull()).drop("_n")
-    w = Window.partitionBy(group)
-    at = F.row_number().over(w.orderBy(key)) - 1
-    return left.withColumn("_at", at).withColumn("_n", F.count("*").over(w)).where(F.col("_at") == F.least(F.floor(F.lit(r) * F.col("_n")), F.col("_n") - 1)).drop("_at", "_n")
+    n = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_group")
+    known = rows.join(n, F.col(group).eqNullSafe(F.col("_group")))
+    left = known.where((F.col("_n") == 1) | (F.col(key) != F.col(previous)) | F.col(previous).isNull()).select(*rows.columns)
+    placed = numbered(left, [group], [key], "_at")
+    return placed.where(F.col("_at") - 1 == F.least(F.floor(F.lit(r) * F.col("_at_of")), F.col("_at_of") - 1)).drop("_at", "_at_of")
 
 
 def normalised(profile: Column) -> Column:
@@ -193,13 +202,15 @@ def smooth(df: DataFrame, profile: str, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for p in batch.column(place).to_pylist():
-                if p is None or len(p) != n or None in p:
-                    out.append(None)
-                    continue
-                y = np.clip(matrix @ np.asarray(p, float), 0, None)
-                out.append((y / y.max() if y.max() > 0 else y).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names, "smooth"])
+            column = batch.column(place)
+            size = column.value_lengths().to_numpy(zero_copy_only=False)
+            fits = np.flatnonzero(np.nan_to_num(size, nan=-1) == n)
+            values = column.take(pa.array(fits)).flatten()
+            y = values.to_numpy(zero_copy_only=False).astype(float).reshape(len(fits), n)
+            whole = ~values.is_null().to_numpy(zero_copy_only=False).reshape(len(fits), n).any(axis=1)
+            y = np.clip(y[whole] @ matrix.T, 0, None)
+            top = y.max(axis=1, initial=0.0, keepdims=True)
+            found = dict(zip(fits[whole].tolist(), (y / np.where(top > 0, top, 1.0)).tolist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([found.get(i) for i in range(batch.num_rows)], pa.list_(pa.float64()))], names=[*batch.schema.names, "smooth"])
 
     return df.mapInArrow(run, df.select("*", F.lit(None).cast("array<double>").alias("smooth")).schema)

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.operators.feedback import latest
 from ridgeline.storage import written
 
 
+def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by the order columns; a partial maximum, so a key of any size is met before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    first = [c for c in order if c in rest]
+    best = rows.groupBy(*key).agg(F.max(F.struct(*first, *[c for c in rest if c not in first])).alias("_m"))
+    return best.select(*key, *[F.col(f"_m.{c}").alias(c) for c in rest])
+
+
 def upsert(target: DataFrame, source: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The target with the last source row of each key in place of its own."""
     last = latest(source, [key], order)
@@ -36,9 +43,17 @@ def keyset_page(rows: DataFrame, created: str, key: str, size: int, after: tuple
 
 
 def rolling_count(rows: DataFrame, who: str, ts: str, seconds: int = 86_400) -> DataFrame:
-    """in_window: rows of the same contributor within the last seconds, up to and with this one."""
-    w = Window.partitionBy(who).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("in_window", F.count("*").over(w))
+    """in_window: rows of the same contributor within the last seconds, up to and with this one, and those of the same time.
+
+    Time is cut into pieces of the window's length, and each row also goes to the next piece as its history: so a
+    contributor with very many rows is as many windows as there are pieces.
+    """
+    micros, length = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    piece = F.floor(micros / length).cast("long")
+    spread = rows.withColumn("_at", micros).withColumn("_piece", F.explode(F.array_distinct(F.array(piece, piece + 1))))
+    w = Window.partitionBy(who, "_piece").orderBy("_at").rangeBetween(-length, 0)
+    out = spread.withColumn("in_window", F.count("*").over(w)).where(F.floor(F.col("_at") / length).eqNullSafe(F.col("_piece")))
+    return out.drop("_at", "_piece")
 
 
 def fingerprint_dedup(rows: DataFrame, content: Column, key: str) -> DataFrame:

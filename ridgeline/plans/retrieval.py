@@ -8,6 +8,7 @@ from ridgeline.functions import vectors
 from ridgeline.operators import hypotheses, retrieval, search
 from ridgeline.plans.search import _E, _FIRST, _WHOLE, _top, corpus
 from ridgeline.sources import parquet
+from ridgeline.storage import written
 
 LEAST_PEAK = 0.12
 
@@ -30,7 +31,7 @@ def described(spark, sf_dir):
 
 
 def descriptor_search(spark, sf_dir):
-    d = described(spark, sf_dir)
+    d = written(described(spark, sf_dir))  # read by every step
     out = retrieval.search_similar(d, d, 8)
     return out.select("query_id", "id", "rank", "pool", F.round("retrieval", 6).alias("retrieval"), F.round("base", 6).alias("base"), F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,10 +139,10 @@ def neighbor_recall(spark, sf_dir):
 
 def style_invariance_pairs(spark, sf_dir):
     """The mean cosine over all unordered pairs of a group, from the length of the sum of its unit vectors: no pair is made."""
-    units = corpus(spark, sf_dir).select("grp", F.posexplode(vectors.unit(F.col("v"))).alias("i", "x"))
-    sums = units.groupBy("grp", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("n"))
-    n = F.max("n")
-    return sums.groupBy("grp").agg((n * (n - 1) / 2).cast("long").alias("pairs"), F.round((F.sum(F.col("s") * F.col("s")) - F.sum("own")) / (n * (n - 1)), 6).alias("mean_cosine"))
+    units = corpus(spark, sf_dir).select("grp", vectors.unit(F.col("v")).alias("u"))
+    sums = units.groupBy("grp").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("u")))).alias("s"), F.sum(vectors.dot(F.col("u"), F.col("u"))).alias("own"), F.count("*").alias("n"))
+    n = F.col("n")
+    return sums.select("grp", (n * (n - 1) / 2).cast("long").alias("pairs"), F.round((vectors.dot(F.col("s"), F.col("s")) - F.col("own")) / (n * (n - 1)), 6).alias("mean_cosine"))
 
 
 def topk_set_overlap(spark, sf_dir):
