@@ -47,6 +47,25 @@ def test_encoder(spark):
     assert np.allclose(encoder.encoded(df, "v", m, False).first().code, m.candidate(target[:1])[0])
 
 
+def test_encoder_from_sums_equals_that_from_rows(spark):
+    """Axes and regression from sums over partitions, with repeated targets and a component that never changes."""
+    r = np.random.default_rng(7)
+    target = np.repeat(r.normal(size=(60, 6)), 3, axis=0)
+    query = np.concatenate([target[:, :4] + 0.1 * r.normal(size=(180, 4)), np.full((180, 1), 2.5)], axis=1)
+    df = spark.createDataFrame([(q.tolist(), t.tolist()) for q, t in zip(query, target)] + [(None, target[0].tolist())], "q array<double>, t array<double>").repartition(7)
+    for options in ({"dims": 3, "ridge": 2.0}, {"dims": 40, "ridge": 0.5}):
+        a, b = encoder.train(df, "q", "t", **options), encoder.fit(query, target, **options)
+        assert np.allclose(a.candidate(target), b.candidate(target), atol=1e-8) and np.allclose(a.query(query), b.query(query), atol=1e-8)
+    net = encoder.train(df.where("q IS NOT NULL"), "q", "t", dims=3, hidden=8, steps=50)
+    assert net.query(query).shape == (180, 3)
+    for few in (df.limit(0), df.where("q IS NOT NULL").limit(1)):
+        try:
+            encoder.train(few, "q", "t")
+            raise AssertionError
+        except ValueError:
+            pass
+
+
 def test_pairs(spark):
     df = spark.createDataFrame([("s", i) for i in range(4)] + [("t", 9)], "sample string, id int")
     assert sorted((x.a, x.b) for x in reports.positives(df, "sample", "id", 1).collect()) == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (9, 9)]
