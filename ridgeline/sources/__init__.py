@@ -148,3 +148,40 @@ def snapshot(fetch, page_size: int, most: int, retries: int = 2) -> list[dict]:
             if attempt == max(0, min(retries, 2)):
                 raise
     return []
+
+
+def snapshot_table(spark: SparkSession, fetch, schema: T.StructType | str, path: str, page_size: int, most: int, retries: int = 1) -> DataFrame:
+    """`snapshot` for more rows than a driver holds: every page is written as it comes, and the rows are checked as a table.
+
+    The driver holds one page and the cursors. A try that fails leaves its own directory, which nothing reads.
+    """
+    for attempt in range(1 + max(0, retries)):
+        at, cursors, cursor, number = f"{path.rstrip('/')}/try-{uuid.uuid4().hex}", set(), None, 0
+        try:
+            while True:
+                page = fetch(cursor, page_size)
+                if len(page["candidates"]) > page_size:
+                    raise ValueError("a page is larger than it may be")
+                spark.createDataFrame(page["candidates"], schema).coalesce(1).write.parquet(f"{at}/page={number}")
+                cursor, number = page.get("nextCursor"), number + 1
+                if cursor is None:
+                    break
+                if cursor in cursors or number * page_size > most + page_size:
+                    raise ValueError("a cursor came twice, or there are more pages than there may be")
+                cursors.add(cursor)
+            rows = spark.read.parquet(at).drop("page")
+            n, ids = rows.agg(F.count("*"), F.count_distinct("id")).first()
+            if not n == ids == page["candidateCount"] <= most:
+                raise ValueError(f"{n} rows of {ids} ids, declared {page['candidateCount']}")
+            return rows
+        except ValueError:
+            if attempt == max(0, retries):
+                raise
+    raise ValueError("no try was made")
+
+
+def write_feedback(ratings: DataFrame, pairs: DataFrame, summary: DataFrame, path: str) -> None:
+    """Ratings and pairs as JSON lines, split over files as they come, and the summary as one document."""
+    for rows, name in ((ratings, "ratings"), (pairs, "pairs")):
+        rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
+    write_report(summary, f"{path}/summary")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline import sources, streaming
-from ridgeline.functions import shape, text, vectors
+from ridgeline.functions import irregular, shape, text, vectors
 from ridgeline.operators import feedback, intake, learn, metrics, nearest, search, tables
 
 T_PAIR = T.StructType([T.StructField("q", shape.DESCRIPTOR), T.StructField("c", shape.DESCRIPTOR)])
@@ -160,6 +160,51 @@ def test_streamed_upserts(spark, tmp_path):
     assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, "b"), (2, "c")]
 
 
+def test_snapshot_as_a_table(spark, tmp_path):
+    rows = [{"id": f"c{i}", "n": i} for i in range(5)]
+
+    def fetch(cursor, size):
+        at = int(cursor or 0)
+        return {"candidateCount": 5, "nextCursor": str(at + size) if at + size < 5 else None, "candidates": rows[at : at + size]}
+
+    got = sources.snapshot_table(spark, fetch, "id string, n long", f"{tmp_path}/s", 2, 10)
+    assert sorted(map(tuple, got.collect())) == [(r["id"], r["n"]) for r in rows]
+    for bad in (lambda c, s: fetch("0", s) | {"nextCursor": "2"}, lambda c, s: fetch(c, s) | {"candidateCount": 6}, lambda c, s: fetch(c, s) | {"candidates": rows[:2]}, lambda c, s: fetch(c, s + 1)):
+        with pytest.raises(ValueError):
+            sources.snapshot_table(spark, bad, "id string, n long", f"{tmp_path}/s", 2, 10)
+
+
+def test_irregularity(spark):
+    def plainly(p, d):
+        clamp = lambda x: max(0.0, min(1.0, x))
+        avg = lambda a: sum(a) / len(a) if len(a) else 0.0
+        cv = lambda a: float(np.std(a) / abs(np.mean(a))) if len(a) > 1 else 0.0
+        at = [math.floor(x * (len(p) - 1) + 0.5) for x in d["peak_locations"]]
+        sides = []
+        for i, k in enumerate(at):
+            low = (at[i - 1] + k) // 2 if i else 0
+            high = -(-(k + at[i + 1]) // 2) if i + 1 < len(at) else len(p) - 1
+            r = min(k - low, high - k)
+            sides.append(avg([abs(p[k - o] - p[k + o]) for o in range(1, r + 1)]) if r >= 2 else 0.0)
+        smooth = [sum(p[j] * (7 - abs(j - i)) for j in range(max(0, i - 6), min(len(p), i + 7))) / sum(7 - abs(j - i) for j in range(max(0, i - 6), min(len(p), i + 7))) for i in range(len(p))]
+        t, n, m = d["tail_slopes"], d["peak_count"], d["observed_peak_count"]
+        states = max(clamp(0.25 + abs(m - n) / max(1, m, n)) if d["regularized"] else 0.0, 0.0 if 1 <= n <= 20 else 1.0)
+        return clamp(
+            0.3 * states + 0.17 * clamp(cv(np.diff(d["peak_locations"])) / 0.55) + 0.13 * clamp(cv(d["peak_widths"]) / 0.75) + 0.13 * clamp(avg([abs(x - 0.5) * 2 for x in d["valley_position_ratios"]]) / 0.75)
+            + 0.11 * clamp(avg(sides) / 0.35) + 0.07 * clamp(avg([abs(t[2 * i] - t[2 * i + 1]) / max(1e-6, t[2 * i] + t[2 * i + 1]) for i in range(len(t) // 2)])) + 0.05 * clamp(avg(d["valley_heights"]))
+            + 0.04 * clamp(avg([abs(x - y) for x, y in zip(p, smooth)]) / 0.08)
+        )
+
+    r = random.Random(3)
+    rows = []
+    for k in (0, 1, 2, 5, 21):
+        d = {"peak_locations": sorted(r.random() for _ in range(k)), "peak_widths": [r.random() for _ in range(k)], "valley_heights": [r.random() for _ in range(max(0, k - 1))], "tail_slopes": [r.random() for _ in range(2 * max(0, k - 1))], "valley_position_ratios": [r.random() for _ in range(max(0, k - 1))], "peak_count": k, "observed_peak_count": max(0, k - k % 2), "regularized": k % 2 == 1}
+        rows.append(([r.random() for _ in range(40)], d))
+    kind = "p array<double>, d struct<peak_locations: array<double>, peak_widths: array<double>, valley_heights: array<double>, tail_slopes: array<double>, valley_position_ratios: array<double>, peak_count: int, observed_peak_count: int, regularized: boolean>"
+    got = [x[0] for x in spark.createDataFrame(rows, kind).select(irregular.irregularity(F.col("p"), F.col("d"))).collect()]
+    assert np.allclose(got, [plainly(p, d) for p, d in rows])
+
+
 def test_snapshot():
     rows = [{"id": str(i)} for i in range(5)]
 
