@@ -78,3 +78,22 @@ def test_lengths_must_agree(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 2.0]), (2, 1, [1.0])], "id long, grp long, v array<double>")
     with pytest.raises(Exception, match="one length"):
         nearest.topk(df, df.where(F.col("id") == 1), 1).collect()
+
+
+@pytest.mark.parametrize("n", [2306, 4096])
+def test_what_is_left_out_comes_last_in_wide_cells(n):
+    """What stands for -inf times the columns of a whole cell must stay within 64 bits."""
+    r = np.random.default_rng(n)
+    score = np.round(r.uniform(-1, 1, size=(3, n)), 9)
+    score[:, :5] = -np.inf
+    score[1, 7:] = -np.inf
+    row, col = nearest.best(score, 10)
+    want = [np.argsort(-s, kind="stable")[: min(10, np.isfinite(s).sum())] for s in score]
+    assert [col[row == i].tolist() for i in range(3)] == [w.tolist() for w in want]
+    row, col = nearest.best_of_groups(score, np.arange(n) % 4, 2)
+    assert [len(set((col[row == i] % 4).tolist())) for i in range(3)] == [2, 2, 2] and np.isfinite(score[row, col]).all()
+
+
+def test_scores_of_any_size_keep_their_order():
+    score = np.array([[3e6, -3e6, -np.inf, 3e6] * 1000])
+    assert nearest.best(score, 2001)[1].tolist() == [c for c in range(4000) if c % 4 in (0, 3)] + [1]
