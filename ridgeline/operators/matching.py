@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import vectors
-from ridgeline.operators import nearest
+from ridgeline.operators import hypotheses, nearest
 from ridgeline.storage import written
 
 # Least similarity of equal or neighbouring state counts, of 7 against 9, the margin, state counts there are.
@@ -21,8 +21,7 @@ ALONE = 1_000_000
 
 
 def _accepts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least similarity for every pair of a submitted and a source's state count; infinite where none will do."""
-    a, b = a[:, None], b[None, :]
+    """The least similarity of a submitted and a source's state count; infinite where none will do."""
     near = (a == b) | (np.abs(a - b) <= 1) & (b >= STATES[0]) & (b <= STATES[1])
     swapped = (a == 7) & (b == 9) | (a == 9) & (b == 7)
     return np.where(near, SAME_STATES, np.where(swapped, SEVEN_NINE, np.inf))
@@ -31,9 +30,20 @@ def _accepts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _series_score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The aligned similarity, 4 more where it is accepted. The first component is the state count."""
     score = np.round(vectors.aligned(a[:, 1:], b[:, 1:]), 9)
+    return score + 4.0 * (score >= _accepts(a[:, :1], b[None, :, 0]))
+
+
+def _series_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_series_score of row i of a with row i of b."""
+    score = np.round(hypotheses.paired_scores(a[:, 1:], b[:, 1:], 1), 9)
     return score + 4.0 * (score >= _accepts(a[:, 0], b[:, 0]))
 
 
+SERIES = nearest.Kernel(
+    _series_score, left=lambda a: hypotheses.left(a[:, 1:]), right=lambda b: hypotheses.right(b[:, 1:]), views=hypotheses.VIEWS, pairs=_series_pairs, always=min(SAME_STATES, SEVEN_NINE),
+)
+
+
 def match_series(submitted: DataFrame, series: DataFrame, margin: float = MARGIN) -> DataFrame:
     """id, status, series, similarity, runner_up of every submitted curve.
 
@@ -43,7 +53,7 @@ def match_series(submitted: DataFrame, series: DataFrame, margin: float = MARGIN
     source, and meet in a partial maximum; a source of any size is many cells.
     """
     curves = [t.select("id", F.col("source").cast("long").alias("grp"), F.concat(F.array(F.col("states").cast("double")), F.col("v").cast("array<double>")).alias("v")) for t in (series, submitted)]
-    found = nearest.topk(*curves, 2, nearest.Kernel(_series_score), same_group=True, exclude_self=False)
+    found = nearest.topk(*curves, 2, SERIES, same_group=True, exclude_self=False)
     at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
     two = found.groupBy(F.col("query_id").alias("_id")).agg(at(1, "id").alias("series"), at(1, "score").alias("first"), at(2, "score").alias("second"))
     out = submitted.select("id").join(two, F.col("id") == F.col("_id"), "left")

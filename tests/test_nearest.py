@@ -97,3 +97,46 @@ def test_what_is_left_out_comes_last_in_wide_cells(n):
 def test_scores_of_any_size_keep_their_order():
     score = np.array([[3e6, -3e6, -np.inf, 3e6] * 1000])
     assert nearest.best(score, 2001)[1].tolist() == [c for c in range(4000) if c % 4 in (0, 3)] + [1]
+
+
+@pytest.mark.parametrize("name", ["cosine", "views", "aligned", "series"])
+@pytest.mark.parametrize("k", [1, 6, 50])
+def test_a_cell_in_chunks_equals_all_scores(monkeypatch, name, k):
+    """Also copies, rows without length and null components; scores come in single precision first."""
+    from ridgeline.operators import hypotheses, matching
+
+    monkeypatch.setattr(nearest, "SHARD", 90)
+    kernel = {"cosine": nearest.COSINE, "views": search.two_views(), "aligned": hypotheses.ALIGNED, "series": matching.SERIES}[name]
+    r = np.random.default_rng(k)
+    x = r.normal(size=(400, 24))
+    x[200:260] = x[:60]
+    x[300], x[301, 3] = 0.0, np.nan
+    if name == "series":
+        x = np.concatenate([(np.arange(400) % 12)[:, None], x], axis=1)
+    ids, asking = np.arange(400) * 3, np.arange(150) * 3
+    floor = np.where(np.arange(150) % 4 == 0, 0.2, -np.inf)
+    want = np.round(kernel.score(x[:150], x), 9)
+    want[asking[:, None] == ids[None, :]] = -np.inf
+    want[want < floor[:, None]] = -np.inf
+    row, col = nearest.best(want, k)
+    got = nearest.Cell(x, ids, kernel).nearest(x[:150], asking, k, floor, True)
+    assert [g.tolist() for g in got] == [row.tolist(), col.tolist(), want[row, col].tolist()]
+
+
+def test_without_bounds_few_copies_are_dealt(spark, monkeypatch):
+    """Vectors of no order: the grid copies less than a query for every cell of SHARD rows, and nothing is lost."""
+    monkeypatch.setattr(nearest, "SHARD", 20)
+    monkeypatch.setattr(nearest, "WIDE", 320)
+    monkeypatch.setattr(nearest, "TASKS", 4)
+    seen, plain = [], nearest.meet
+
+    def counted(rows, asked, *rest):
+        seen.append(rows.count() + asked.count())
+        return plain(rows, asked, *rest)
+
+    monkeypatch.setattr(nearest, "meet", counted)
+    r = np.random.default_rng(9)
+    rows = [(i, i % 3, r.normal(size=24).tolist()) for i in range(600)]
+    df = frame(spark, rows)
+    assert answers(nearest.topk(df, df, 5)) == all_pairs(rows, rows, 5, nearest.COSINE)
+    assert seen[-1] <= 600 * (2 + 2)
