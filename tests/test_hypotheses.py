@@ -90,3 +90,14 @@ def test_one_sample_holds_the_first_500_places(spark, monkeypatch):
                 best[g] = min(best.get(g, (2, 0)), (-round(float(vectors.cosines(np.array([v]), np.array([w]))[0, 0]), 9), i))
         want += [(q, n, i) for n, (_, i) in enumerate(sorted(best.values())[:8], 1)]
     assert got == sorted(want)
+
+
+def test_leading_rows_decide_most(spark, monkeypatch):
+    """The first rows settle their copies without a round; what they leave is the rule's."""
+    monkeypatch.setattr(nearest, "SHARD", 40)
+    monkeypatch.setattr(spread, "has_earlier", lambda *a: pytest.fail("a round was made"))
+    r = np.random.default_rng(4)
+    middle = r.normal(size=(8, 12))
+    rows = [(i, 0, (middle[i % 8] + 0.05 * r.normal(size=12)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, grp long, v array<double>").repartition(3)
+    assert sorted(x.id for x in spread.first_kept(df, 0.9).collect()) == sequential(rows, 0.9)
