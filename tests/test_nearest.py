@@ -140,3 +140,31 @@ def test_without_bounds_few_copies_are_dealt(spark, monkeypatch):
     df = frame(spark, rows)
     assert answers(nearest.topk(df, df, 5)) == all_pairs(rows, rows, 5, nearest.COSINE)
     assert seen[-1] <= 600 * (2 + 2)
+
+
+@pytest.mark.parametrize("same_group", [False, True])
+@pytest.mark.parametrize("kernel", [nearest.COSINE, search.two_views(), nearest.Kernel(vectors.cosines)])
+def test_lists_do_not_grow_with_the_cells(spark, monkeypatch, kernel, same_group):
+    """Many cells of rows, copies and null groups among them: a task gives k rows a query, and results are those of all pairs."""
+    for name, value in (("SHARD", 20), ("WIDE", 40), ("TASKS", 4), ("PROBE", 50), ("BLOCK", 64)):
+        monkeypatch.setattr(nearest, name, value)
+    seen, plain = [], nearest.gather
+
+    def counted(rows, asked, k, *rest):
+        out = plain(rows, asked, k, *rest)
+        seen.append((asked.count(), rows.count() / 20, out.count(), k))
+        return out
+
+    monkeypatch.setattr(nearest, "gather", counted)
+    r = np.random.default_rng(4)
+    rows = [(i, i % 7 and 1, r.normal(size=16).tolist()) for i in range(500)]
+    rows += [(500 + i, g, v) for i, (_, g, v) in enumerate(rows[:90])] + [(600 + i, 2, r.normal(size=16).tolist()) for i in range(15)]
+    if not same_group:
+        rows = [(i, g or None, v) for i, g, v in rows]
+    df = frame(spark, rows)
+    got = nearest.topk(df, df, 6, kernel, same_group)
+    groups = [[x for x in rows if x[1] == g] for g in (0, 1, 2)] if same_group else [rows]
+    assert answers(got) == sorted(a for g in groups for a in all_pairs(g, g, 6, kernel))
+    kinds = {key: g for key, g, _ in rows}
+    assert all(x.grp == kinds[x.id] and x.query_grp == kinds[x.query_id] for x in got.collect())
+    assert seen and all(lists <= asked * k and cells > 3 for asked, cells, lists, k in seen)
