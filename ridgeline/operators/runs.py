@@ -27,6 +27,8 @@ TRANSITIONS = {
     ("resetting", "purge"): ("none", "purged"),
 }
 REFUSED = "refused"
+#: Boxes of a page that one task sorts.
+PAGE = 65_536
 
 
 def step(status: str, action: str | None) -> tuple[str, str]:
@@ -109,8 +111,26 @@ def reading_order(boxes: DataFrame, page: str, key: str) -> DataFrame:
     """boxes (left, top, right, bottom) with `row`, `place` (both from 1, on the page) and `on_page`, the number of its boxes.
 
     A sweep from the top: a row goes on while a box begins above the lowest bottom so far, so boxes that overlap through
-    others are one row. Within a row, order is by left, top and key, from left to right.
+    others are one row. Within a row, order is by left, top and key, from left to right. Pages of up to PAGE boxes are
+    windows, dealt out once; larger ones go over ranges.
     """
+    large = written(boxes.groupBy(page).agg(F.count("*").alias("_n")).where(F.col("_n") > PAGE).select(F.col(page).alias("_large")))
+    if large.isEmpty():
+        return _read(boxes, page, key)
+    same = F.col(page).eqNullSafe(F.col("_large"))
+    return _read(boxes.join(large, same, "left_anti"), page, key).unionByName(_read_ranges(boxes.join(large, same, "left_semi"), page, key))
+
+
+def _read(boxes: DataFrame, page: str, key: str) -> DataFrame:
+    whole = Window.partitionBy(page)
+    swept = whole.orderBy("top", "bottom", key)
+    lowest = F.max("bottom").over(swept.rowsBetween(Window.unboundedPreceding, -1))
+    starts = boxes.withColumn("_starts", F.coalesce(F.col("top") >= lowest, F.lit(True)).cast("long"))
+    rows = starts.withColumn("row", F.sum("_starts").over(swept.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select(*boxes.columns, "row", F.row_number().over(whole.orderBy("row", "left", "top", key)).cast("long").alias("place"), F.count("*").over(whole).alias("on_page"))
+
+
+def _read_ranges(boxes: DataFrame, page: str, key: str) -> DataFrame:
     swept = running(boxes, [page], ["top", "bottom", key], "bottom", "max", "_lowest")
     starts = swept.withColumn("_starts", F.coalesce(F.col("top") >= F.col("_lowest"), F.lit(True)).cast("long"))
     rows = running(starts, [page], ["top", "bottom", key], "_starts", "sum", "_rows").withColumn("row", F.coalesce("_rows", F.lit(0)) + F.col("_starts")).select(*boxes.columns, "row")

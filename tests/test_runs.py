@@ -157,3 +157,19 @@ def test_streams_equal_the_batch_rule(spark, tmp_path):
     lives = streamed(spark, tmp_path, rows, lambda s: stateful.lifecycle(s, "who", "ts", "id", "action"), "lives")
     table = runs.lifecycle(df, "who", ["ts", "id"], "action").select("who", "id", "before", "after", "answer")
     assert sorted(lives) == sorted(tuple(x) for x in table.collect())
+
+
+def test_small_pages_are_dealt_once(spark, monkeypatch):
+    """Pages of any size read alike, a null page too; where none is large, nothing goes over ranges."""
+    r = random.Random(8)
+    rows = [(p, i, *(float(r.randrange(40)) for _ in range(2))) for p, n in ((1, 90), (2, 7), (None, 12), (3, 1), (None, 30)) for i in range(n)]
+    rows = [(p, n, x, y, x + 5, y + 1 + n % 4) for n, (p, _, x, y) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "page long, box long, left double, top double, right double, bottom double").repartition(3)
+    used, plain = [], runs.running
+    monkeypatch.setattr(runs, "running", lambda *a: used.append(a) or plain(*a))
+    read = lambda: sorted((tuple(x) for x in runs.reading_order(df, "page", "box").collect()), key=str)
+    at_once = read()
+    assert not used and len(at_once) == len(rows)
+    for most in (0, 20):
+        monkeypatch.setattr(runs, "PAGE", most)
+        assert read() == at_once and used
