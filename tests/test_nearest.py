@@ -168,3 +168,29 @@ def test_lists_do_not_grow_with_the_cells(spark, monkeypatch, kernel, same_group
     kinds = {key: g for key, g, _ in rows}
     assert all(x.grp == kinds[x.id] and x.query_grp == kinds[x.query_id] for x in got.collect())
     assert seen and all(lists <= asked * k and cells > 3 for asked, cells, lists, k in seen)
+
+
+def test_a_task_holds_its_queries_and_little_beside_them():
+    """Products of a whole cell with many queries, and vectors of the batches that came, aren't in memory at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, dims = 6000, 64
+    r = np.random.default_rng(6)
+
+    def batches(first):
+        for s in range(0, n, 1000):
+            v = pa.ListArray.from_arrays(pa.array(np.arange(1001, dtype=np.int32) * dims), pa.array(r.normal(size=1000 * dims)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + 1000) + first), pa.array(np.ones(1000, np.int64)), v, pa.array([None] * 1000, pa.float64())], names=["id", "grp", "v", "floor"])
+
+    asked, rows = list(batches(0)), list(batches(n))
+    tracemalloc.start()
+    lists = nearest.Lists(asked, 5, nearest.COSINE, True)
+    lists.meet(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and not asked and not rows
+    assert sum(b.num_rows for b in lists.found()) == 5 * n
+    with pytest.raises(ValueError, match="one length"):
+        nearest.stacked([pa.RecordBatch.from_arrays([pa.array([[1.0] * d], pa.list_(pa.float64()))], names=["v"]) for d in (2, 3)])
