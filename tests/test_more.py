@@ -27,6 +27,16 @@ def test_overlaps_equal_brute_force(spark):
     assert boxes.best_boxes(df, 5).count() == 10
 
 
+def test_overlaps_broadcast_no_boxes(spark, tmp_path):
+    """Boxes in small files, each in many cells: the join deals both sides out, whatever the files' size says."""
+    rows = [(0, i, 0.0, 0.0, 500.0 + i, 400.0, 0.5) for i in range(20)]
+    spark.createDataFrame(rows, "page int, id int, left double, top double, right double, bottom double, confidence double").write.parquet(str(tmp_path / "boxes"))
+    found = boxes.overlaps(spark.read.parquet(str(tmp_path / "boxes")), 8.0)
+    assert found.count() == 190
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_islands_and_gaps(spark):
     df = spark.createDataFrame([(1, i) for i in (1, 2, 4, 9, 10)], "g int, i int")
     assert [tuple(x) for x in boxes.islands(df, "g", "i").orderBy("first").select("first", "last", "centre", "n").collect()] == [(1, 4, 2, 3), (9, 10, 10, 2)]
