@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import vectors
-from ridgeline.operators import nearest, quotas
+from ridgeline.operators import nearest, places, quotas
 from ridgeline.operators.intake import errors
 from ridgeline.storage import written
 
@@ -17,18 +17,20 @@ STATES, MOST_VALUE, LEAST_RANGE, POINTS, MOST_STATES = (2, 4, 8, 16), 1.5, 0.05,
 CURSOR, CREATED = r"^[a-zA-Z0-9_-]{8,256}$", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
-def _compatible(a: np.ndarray, b: np.ndarray, relevant: bool) -> np.ndarray:
-    """The cosine of everything after two codes, of product group and relevance; -inf where groups differ, or relevance does if it is asked for. 0 is blank."""
-    score = vectors.cosines(a[:, 2:], b[:, 2:])
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the codes that rows begin with are the same, or one is blank (0)."""
     g, h = a[:, 0][:, None], b[:, 0][None, :]
-    fits = (g == h) | (g == 0) | (h == 0)
-    if relevant:
-        fits &= (a[:, 1][:, None] == b[:, 1][None, :]) & (a[:, 1] != 0)[:, None]
-    return np.where(fits, score, -np.inf)
+    return (g == h) | (g == 0) | (h == 0)
 
 
-CANDIDATES = nearest.Kernel(lambda a, b: _compatible(a, b, False))
-RELEVANT = nearest.Kernel(lambda a, b: _compatible(a, b, True))
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.clip(np.einsum("ij,ij->i", vectors.units(a[:, 1:]), vectors.units(b[:, 1:])), -1.0, 1.0)
+
+
+#: The cosine of everything after a code, of rows that fit.
+FITTING = nearest.Kernel(
+    lambda a, b: np.where(_fits(a, b), vectors.cosines(a[:, 1:], b[:, 1:]), -np.inf), left=lambda a: [vectors.units(a[:, 1:])], right=lambda b: [vectors.units(b[:, 1:])], pairs=_paired, fits=_fits
+)
 
 
 def _code(c: str) -> Column:
@@ -41,22 +43,23 @@ def leave_one_out(rows: DataFrame) -> DataFrame:
     """id, candidates, relevant, first_rank and hits at 5 and at 10 of every row against all others.
 
     rows: (id, product, similar, v). Rows of different products aren't candidates of each other unless one has none; those
-    of the same `similar`, if it isn't blank, are relevant. Candidates and relevant ones are counted by group, the ten best
-    come from the cells of the search, and the rank of the first relevant one is how many stand before it: no row's full
-    ranking is made.
+    of the same `similar`, if it isn't blank, are relevant. Candidates and relevant ones are counted by group. The ten best
+    relevant ones come from a search within each `similar`; the rank of the first is how many stand before it, and the
+    tenth is a floor of the ten best. No row's full ranking is made.
     """
-    coded = written(rows.select("id", F.lit(0).cast("long").alias("grp"), F.concat(F.array(_code("product"), _code("similar")), F.transform("v", lambda x: x.cast("double"))).alias("v"), F.trim("similar").alias("similar")))
+    code = lambda c: _code(c).cast("long")
+    coded = rows.where("id IS NOT NULL AND v IS NOT NULL").select(F.col("id").cast("long").alias("id"), code("product").alias("code"), code("similar").alias("name"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    coded = written(coded)
     counts = quotas.compatible_counts(rows.select("id", "product", "similar"), "id", "product", "similar")
-    name = coded.select(F.col("id").alias("_id"), F.col("similar").alias("_theirs"))
-    best = nearest.topk(coded, coded, 10, CANDIDATES).join(name, F.col("id") == F.col("_id")).drop("_id")
-    mine = coded.select(F.col("id").alias("_id"), F.col("similar").alias("_mine"))
-    good = best.join(mine, F.col("query_id") == F.col("_id")).where("_mine <> '' AND _mine = _theirs")
-    hits = good.groupBy("query_id").agg(F.count_if(F.col("rank") <= 5).alias("at_5"), F.count("*").alias("at_10"))
-    first = nearest.topk(coded, coded, 1, RELEVANT).select(F.col("query_id").alias("_id"), F.col("score").alias("mark"), F.col("id").alias("mark_id"))
-    marks = coded.join(first, F.col("id") == F.col("_id")).select("id", "grp", "v", "mark", "mark_id")
-    above = nearest.counted_above(coded, marks, CANDIDATES)
-    out = counts.join(hits.withColumnRenamed("query_id", "_h"), F.col("id") == F.col("_h"), "left").join(above, F.col("id") == F.col("query_id"), "left")
-    return out.select("id", "candidates", F.col("relevant_candidates").alias("relevant"), (F.col("above") + 1).alias("first_rank"), F.coalesce("at_5", F.lit(0)).alias("at_5"), F.coalesce("at_10", F.lit(0)).alias("at_10"))
+    named = coded.select("id", F.nullif("name", F.lit(0)).alias("grp"), F.concat(F.array(F.col("code").cast("double")), "v").alias("v"))
+    rank = F.col("rank")
+    first = nearest.topk(named, named, 10, FITTING, same_group=True).groupBy(F.col("query_id").alias("_id")).agg(
+        F.max(F.when(rank == 1, F.col("score"))).alias("mark"), F.max(F.when(rank == 1, F.col("id"))).alias("mark_id"), F.max(F.when(rank == 10, F.col("score"))).alias("floor")
+    )
+    placed = places.places(coded, coded.join(first, F.col("id") == F.col("_id"), "left").drop("_id"), 10)
+    hits = lambda k: F.greatest(F.size(F.filter(F.slice("best", 1, k), lambda x: x["good"])), F.lit(0)).cast("long").alias(f"at_{k}")
+    out = counts.join(placed, F.col("id") == F.col("query_id"), "left")
+    return out.select("id", "candidates", F.col("relevant_candidates").alias("relevant"), (F.col("above") + 1).alias("first_rank"), *(hits(k) for k in (5, 10)))
 
 
 def share(hit: Column, of: Column) -> Column:
