@@ -26,16 +26,6 @@ def _columns(batches: list[pa.RecordBatch], *names: str) -> list[np.ndarray]:
     return [t[n].to_numpy() for n in names]
 
 
-def _true(hit: np.ndarray) -> np.ndarray:
-    """Flat places of what is true, eight at a time: few are."""
-    flat = hit.reshape(-1)
-    if flat.size % 8:
-        return np.flatnonzero(flat)
-    eight = np.flatnonzero(flat.view(np.uint64))
-    at, n = np.nonzero(flat.reshape(-1, 8)[eight])
-    return eight[at] * 8 + n
-
-
 class Held:
     """Queries in the order of their codes; the k best rows of each and how many stood before its mark so far."""
 
@@ -94,7 +84,7 @@ class Held:
             hit = near >= reach[:, None]
             if not np.isfinite(reach).all():
                 hit &= near > -np.inf
-            flat = _true(hit)
+            flat = nearest.hits_of(hit)
             row, col = np.divmod(flat, b - a)
             value = near.ravel()[flat].astype(float)
             sure = value > over[row]

@@ -101,3 +101,25 @@ def test_leading_rows_decide_most(spark, monkeypatch):
     rows = [(i, 0, (middle[i % 8] + 0.05 * r.normal(size=12)).tolist()) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, grp long, v array<double>").repartition(3)
     assert sorted(x.id for x in spread.first_kept(df, 0.9).collect()) == sequential(rows, 0.9)
+
+
+def test_lists_of_known_floor_meet_in_tiles(monkeypatch):
+    """Once floors are known, no products of all alternatives are held; lists, ties and near copies are those of all pairs."""
+    monkeypatch.setattr(nearest, "TILE", 16)
+    r = np.random.default_rng(6)
+    x = np.array([np.concatenate((hs + [hs[0]] * 3)[:3]) for _, _, hs in lists(r, 120, spread=0.5)])
+    x[100:104] = x[3]
+    kernel = hypotheses.kernel(3)
+    every = np.round(kernel.score(x[:30], x), 9)
+    every[np.arange(30), np.arange(30)] = -np.inf
+    floor = -np.sort(-every, axis=1)[:, 6]
+    seen = []
+    plain = nearest._by_tiles
+    monkeypatch.setattr(nearest, "_by_tiles", lambda *a: seen.append(plain(*a)) or seen[-1])
+    row, col, score = nearest.Cell(x, np.arange(120), kernel).nearest(x[:30], np.arange(30), 5, floor, True)
+    want = nearest.best(every, 5)
+    assert len(seen) == 1 and len(seen[0][0]) < 30 * 12
+    assert row.tolist() == want[0].tolist() and col.tolist() == want[1].tolist() and np.allclose(score, every[want])
+    monkeypatch.setattr(nearest, "_by_tiles", lambda *a: plain(*a[:-1], 3))  # too many reach
+    again = nearest.Cell(x, np.arange(120), kernel).nearest(x[:30], np.arange(30), 5, floor, True)
+    assert again[0].tolist() == row.tolist() and again[1].tolist() == col.tolist()
